@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import markup, mojibake, unify
+from foliary.llm import markup, mojibake, textstats, unify
 from foliary.runtime import table
 
 
@@ -61,3 +61,16 @@ def p3_wrappers(spark: SparkSession, sf: str) -> DataFrame:
     """The wrappers of each host and how many line streams each reads."""
     found = markup.line_streams(_marked(spark, sf), ["tbl", "record_id"], "source_path", "_text")
     return markup.wrappers(found).groupBy("host", "wrapper").agg(F.count(F.lit(1)).alias("streams"), F.min("kinds").alias("kinds"))
+
+
+def p4_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics and the class of every text of both tables."""
+    ce = table(spark, sf, "cache_entry").select(F.lit("cache_entry").alias("tbl"), F.col("entry_id").alias("record_id"), F.col("extracted_text").alias("_text"))
+    ac = table(spark, sf, "artifact_candidate").select(F.lit("artifact_candidate").alias("tbl"), F.col("candidate_no").alias("record_id"), F.col("display_text").alias("_text"))
+    return textstats.statistics(ce, ["tbl", "record_id"], "_text").unionByName(textstats.statistics(ac, ["tbl", "record_id"], "_text", single=True))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    inline = table(spark, sf, "artifact_candidate").filter("kind = 'inline_artifact'").select(F.lit("artifact_candidate").alias("tbl"), F.col("candidate_no").alias("record_id"))
+    off = p4_stats(spark, sf).filter(F.col("text_class").isin("list", "table", "junk")).select("tbl", "record_id")
+    return off.join(inline, ["tbl", "record_id"], "left_anti").distinct()
