@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import markup, mojibake, textstats, unify
+from foliary.llm import markup, mojibake, scans, textstats, unify
 from foliary.runtime import table
 
 
@@ -63,14 +63,41 @@ def p3_wrappers(spark: SparkSession, sf: str) -> DataFrame:
     return markup.wrappers(found).groupBy("host", "wrapper").agg(F.count(F.lit(1)).alias("streams"), F.min("kinds").alias("kinds"))
 
 
+def _stats(ce: DataFrame, ac: DataFrame) -> DataFrame:
+    ce = ce.select(F.lit("cache_entry").alias("tbl"), F.col("entry_id").alias("record_id"), F.col("extracted_text").alias("_text"))
+    ac = ac.select(F.lit("artifact_candidate").alias("tbl"), F.col("candidate_no").alias("record_id"), F.col("display_text").alias("_text"))
+    return textstats.statistics(ce, ["tbl", "record_id"], "_text").unionByName(textstats.statistics(ac, ["tbl", "record_id"], "_text", single=True))
+
+
 def p4_stats(spark: SparkSession, sf: str) -> DataFrame:
     """The statistics and the class of every text of both tables."""
-    ce = table(spark, sf, "cache_entry").select(F.lit("cache_entry").alias("tbl"), F.col("entry_id").alias("record_id"), F.col("extracted_text").alias("_text"))
-    ac = table(spark, sf, "artifact_candidate").select(F.lit("artifact_candidate").alias("tbl"), F.col("candidate_no").alias("record_id"), F.col("display_text").alias("_text"))
-    return textstats.statistics(ce, ["tbl", "record_id"], "_text").unionByName(textstats.statistics(ac, ["tbl", "record_id"], "_text", single=True))
+    return _stats(table(spark, sf, "cache_entry"), table(spark, sf, "artifact_candidate"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    inline = table(spark, sf, "artifact_candidate").filter("kind = 'inline_artifact'").select(F.lit("artifact_candidate").alias("tbl"), F.col("candidate_no").alias("record_id"))
-    off = p4_stats(spark, sf).filter(F.col("text_class").isin("list", "table", "junk")).select("tbl", "record_id")
-    return off.join(inline, ["tbl", "record_id"], "left_anti").distinct()
+    lines = table(spark, sf, "artifact_candidate").filter(~F.col("kind").eqNullSafe("inline_artifact"))
+    return _stats(table(spark, sf, "cache_entry"), lines).filter(F.col("text_class").isin("list", "table", "junk")).select("tbl", "record_id").distinct()
+
+
+def _scanned(spark: SparkSession, sf: str) -> DataFrame:
+    ce = table(spark, sf, "cache_entry").filter("document_type = 'pdf'")
+    ce = ce.select(F.lit("cache_entry").alias("tbl"), F.col("entry_id").alias("record_id"), F.coalesce("page_texts", F.array("extracted_text")).alias("_pages"))
+    oe = table(spark, sf, "ocr_extraction").select(F.lit("ocr_extraction").alias("tbl"), F.col("ocr_id").alias("record_id"), F.col("page_texts").alias("_pages"))
+    op = table(spark, sf, "ocr_page").select(F.lit("ocr_page").alias("tbl"), F.col("ocr_page_id").alias("record_id"), F.array("text").alias("_pages"))
+    return ce.unionByName(oe).unionByName(op)
+
+
+def _editor(rows: DataFrame) -> scans.Editor:
+    return scans.fit(rows.select(F.explode("_pages").alias("_page")), "_page")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _scanned(spark, sf)
+    got = scans.scan(rows, ["tbl", "record_id"], "_pages", _editor(rows), build=False)
+    return got.filter("splits + misread + furniture > 0").select("tbl", "record_id").distinct()
+
+
+def p5_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record as continuous paragraphs, with the noise that was taken out."""
+    rows = _scanned(spark, sf)
+    return scans.scan(rows, ["tbl", "record_id"], "_pages", _editor(rows))
