@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import markup, mojibake, scans, textstats, unify
+from foliary.llm import leaks, levels, markup, mojibake, scans, textstats, unify
 from foliary.runtime import table
 
 
@@ -101,3 +101,24 @@ def p5_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     """Every record as continuous paragraphs, with the noise that was taken out."""
     rows = _scanned(spark, sf)
     return scans.scan(rows, ["tbl", "record_id"], "_pages", _editor(rows))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.find(table(spark, sf, "documents"), table(spark, sf, "eval_item"))
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents each item leaked into; items that leaked nowhere have 0."""
+    items = table(spark, sf, "eval_item")
+    n = p7_found(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    return items.select("item_id", "task").join(n, "item_id", "left").select("item_id", "task", F.coalesce("n_docs", F.lit(0).cast("long")).alias("n_docs"))
+
+
+def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """The estimated reading level of every document."""
+    docs = table(spark, sf, "documents")
+    return levels.levels(docs, levels.fit(docs, table(spark, sf, "level_label")))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_levels(spark, sf).filter("level >= 4.5").select("doc_id").distinct()
