@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import leaks, levels, markup, mojibake, scans, textstats, unify
+from foliary.llm import leaks, levels, markup, mixture, mojibake, scans, textstats, unify
 from foliary.runtime import table
 
 
@@ -122,3 +122,35 @@ def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_levels(spark, sf).filter("level >= 4.5").select("doc_id").distinct()
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.Mixture(table(spark, sf, "documents"), table(spark, sf, "source_target")).positions()
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixture.Mixture(table(spark, sf, "documents"), table(spark, sf, "source_target")).shares()
+
+
+# Passages of 13 words are compared as joined words; DuckDB does so over whole tables.
+P7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, array_to_string(ws[k : k + 12], ' ') AS g FROM w, generate_series(1, len(ws) - 12) AS s(k)),
+v AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM eval_item WHERE text IS NOT NULL),
+i AS (SELECT DISTINCT item_id, array_to_string(ws[k : k + 12], ' ') AS g FROM v, generate_series(1, len(ws) - 12) AS s(k))
+SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)
+"""
+
+
+def queries() -> dict:
+    return {
+        "p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_clean": p3_clean, "p3_wrappers": p3_wrappers,
+        "p4_found": p4_found, "p4_stats": p4_stats, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p7_found": p7_found, "p7_report": p7_report,
+        "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    report = f"WITH f AS ({P7_SQL}) SELECT e.item_id, e.task, count(f.doc_id) AS n_docs FROM eval_item e LEFT JOIN f ON f.item_id = e.item_id GROUP BY e.item_id, e.task"
+    return {"p7_found": P7_SQL, "p7_report": report}
