@@ -1,9 +1,344 @@
-"""Queries of the engine's own operators and the SQL they are held against."""
+"""Queries of the engine's own operators and the SQL they are held against.
 
+The documents carry few artefacts of their own, so most queries run on documents with artefacts added from ``doc_id`` by one
+expression, written down for both engines. Every query runs over whole tables and whole texts.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliary.config import CleaningConfig, RemovalRule, ScanConfig
+from foliary.functions import cleaning as C
+from foliary.functions import profile as P
+from foliary.functions.text import count_class, line_key, lines, longest_run, nfkc, staged, strip_diacritics, strip_nonspacing, tokens, ws_trim
+from foliary.operators import artifacts as A
+from foliary.operators import export as X
+from foliary.operators import pages as G
+from foliary.operators import search as S
+from foliary.runtime import table
+from foliary.sources import corpus as R
+
+TERM = "The provenance of"
+PATTERNS = ("institutional ", "das ", "The provenance")
+PAIRS = (("each", "every"), ("Page", "P."))
+SCAN = ScanConfig(include_two_line_blocks=True, include_three_line_blocks=True, include_numeric=True)
+COMBINED = CleaningConfig(
+    normalize_line_endings=True, lowercase=True, remove_page_delimiters=True, remove_page_indicators=True, remove_standalone_page_numbers=True, remove_standalone_roman_page_numbers=True,
+    remove_patterns=("institutional ",), replace_patterns=(("each", "every"),), trim_lines=True, collapse_blank_lines=True,
+)
+RULES = (RemovalRule("r1", "literal", "------"), RemovalRule("r2", "literal", "xiv"))
+KEYS = (RemovalRule("k1", "key", "page #"), RemovalRule("k2", "key", "page # here"))
+ZONES = (RemovalRule("z1", "key", "running head of gazette #", "page_top"), RemovalRule("z2", "key", "folio #", "page_bottom"))
+
+
+def injected(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    i = lambda k: F.pmod("doc_id", F.lit(k)).cast("string")
+    parts = [
+        F.lit("Running head of "), F.coalesce("source", F.lit("none")), F.lit("\n"), F.col("text"), F.lit("\n"), i(400), F.lit("\nPage "), i(90), F.lit(" here\n--- Page "), i(30),
+        F.lit(" ---\nxiv\n------\n\n\n\n  tail of text \t\na\r\n<br>&amp; x = "), i(7), F.lit(" + y; see&nbsp;below\nMean SD n min max\n12.5 3.1 "), i(11),
+    ]
+    return d.withColumn("text", F.concat(*parts))
+
+
+def paged(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as pages of 12 lines under a running head and over a folio."""
+    d = table(spark, sf, "documents").filter("text <> ''").select("doc_id", lines(F.col("text")).alias("_l"))
+    n = F.ceil(F.size("_l") / 12).cast("int")
+    body = lambda k: F.array_join(F.slice("_l", k * 12 + 1, 12), "\n")
+    page = lambda k: F.concat(F.lit("Running head of Gazette 7\n"), body(k), F.lit("\n●●●●●\nFolio "), (k + 1).cast("string"), F.lit("\n"), (k + 1).cast("string"))
+    return d.select("doc_id", F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), page).alias("pages"))
+
+
+def inj_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return injected(spark, sf).select("doc_id", F.posexplode(lines(F.col("text"))).alias("line", "x"))
+
+
+def _cleaned(step: Callable[[Column], Column]) -> Callable:
+    return lambda spark, sf: injected(spark, sf).select("doc_id", step(F.col("text")).alias("cleaned"))
+
+
+def _config(cfg: CleaningConfig) -> Callable:
+    return _cleaned(lambda c: C.clean_text(c, cfg))
+
+
+# -- SQL building blocks ---------------------------------------------------------------------------------------------
+
+_WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_INJ = r"""inj AS (SELECT doc_id, lang, source, 'Running head of ' || coalesce(source, 'none') || E'\n' || text || E'\n' || (doc_id % 400) || E'\nPage ' || (doc_id % 90) || E' here\n--- Page ' || (doc_id % 30)
+ || E' ---\nxiv\n------\n\n\n\n  tail of text \t\na\r\n<br>&amp; x = ' || (doc_id % 7) || E' + y; see&nbsp;below\nMean SD n min max\n12.5 3.1 ' || (doc_id % 11) AS text FROM documents)"""
+
+
+def _re(x: str, pattern: str, by: str = "") -> str:
+    return f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+
+
+def _trim(x: str) -> str:
+    return _re(_re(x, f"^{_WS}+"), f"{_WS}+$")
+
+
+_B = r"\-—–\[\]\(\)\{\}\.,\*/\\_\|•°"
+
+
+def _key(x: str) -> str:
+    return _trim(_re(_re(f"lower({_trim(_re(_re(_trim(x), f'^[{_B}]+'), f'[{_B}]+$'))})", r"\p{Nd}+", "#"), f"{_WS}+", " "))
+
+
+def _cut(x: str) -> str:
+    """Lines of a text, without the empty one after a last terminator."""
+    return f"list_filter(regexp_split_to_array({x}, '\\r?\\n'), lambda v, i: i < len(regexp_split_to_array({x}, '\\r?\\n')) OR v <> '')"
+
+
+_LINES = _INJ + rf""", l0 AS (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS a FROM inj),
+ l1 AS (SELECT doc_id, a, len(a) - (a[len(a)] = '')::int AS n FROM l0),
+ ln AS (SELECT doc_id, (k - 1)::int AS line, a[k] AS x, n::int AS n FROM l1, generate_series(1, n) AS s(k))"""
+
+
+def _n(x: str, cls: str) -> str:
+    return f"length(regexp_replace({x}, '[^{cls}]', '', 'g'))"
+
+
+_AL, _ND = r"\p{L}\p{M}", r"\p{Nd}"
+_SYM = rf"length(regexp_replace(T, '[\p{{L}}\p{{M}}\p{{N}}]|{_WS}', '', 'g'))"
+
+
+def _class(t: str) -> str:
+    s, a, d, n = _SYM.replace("T", t), _n(t, _AL), _n(t, _ND), f"length({t})"
+    return (
+        f"CASE WHEN {n} = 0 THEN 'text_dominant' WHEN {s} >= 0.5 * {n} THEN 'symbol_noise_dominant' WHEN {d} >= 0.6 * {n} AND {d} > 0 THEN 'numeric_dominant' "
+        f"WHEN {a} > 0 AND {d} > 0 AND {a} >= {d} THEN 'mixed_text_numbers' WHEN {d} > {a} THEN 'numeric_dominant' ELSE 'text_dominant' END"
+    )
+
+
+def _sql_clean(expr: str) -> str:
+    return f"WITH {_INJ} SELECT doc_id, {expr} AS cleaned FROM inj"
+
+
+_DELIM = _re("text", r"(?im)^[ \t]*-+[ \t]*(?:page|pag\.)[ \t]*(?:[0-9]+|[ivxlcdm]+)[ \t]*-+[ \t]*$\n?")
+_IND = r"(?i)\b(?:page|pag\.)[ \t]*(?:[0-9]+|[ivxlcdm]+)\b"
+_NUM, _ROM = r"(?m)^[ \t]*\p{Nd}+[ \t]*$\n?", r"(?im)^[ \t]*[ivxlcdm]+[ \t]*$\n?"
+_EOL = r"replace(replace(text, E'\r\n', E'\n'), E'\r', E'\n')"
+
+
+def _trim_lines(x: str) -> str:
+    return f"array_to_string(list_transform(string_split({x}, E'\\n'), lambda v: {_trim('v')}), E'\\n')"
+
+
+def _sql_combined() -> str:
+    x = f"lower({_EOL})"
+    for p in (r"(?im)^[ \t]*-+[ \t]*(?:page|pag\.)[ \t]*(?:[0-9]+|[ivxlcdm]+)[ \t]*-+[ \t]*$\n?", _IND, _NUM, _ROM):
+        x = _re(x, p)
+    x = f"replace(replace({x}, 'institutional ', ''), 'each', 'every')"
+    return _sql_clean(_re(_trim_lines(x), r"\n{3,}", r"\n\n").replace(r"'\n\n', 'g'", "E'\\n\\n', 'g'"))
+
+
+_IRREGULAR = (
+    "array_to_string(list_filter(list_transform(string_split(" + _EOL + r", E'\n\n'), lambda p: regexp_replace(array_to_string(list_filter(list_transform(string_split(p, E'\n'), lambda v: "
+    + _trim("v") + r"), lambda v: length(v) > 1), ' '), ' {2,}', ' ', 'g')), lambda p: p <> ''), E'\n\n')"
+)
+_KEEP = r"array_to_string(list_filter(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), lambda v: NOT ({})), '')"
+
+_VALID = _LINES + f""", va AS (SELECT doc_id, line, n, {_trim('x')} AS t, CASE WHEN line < greatest(n // 10, 1) THEN 'top' WHEN line >= n - greatest(n // 10, 1) THEN 'bottom' ELSE 'middle' END AS pos FROM ln),
+ v AS (SELECT *, {_class('t')} AS cls FROM va WHERE length(t) BETWEEN 4 AND 300)"""
+_TOTAL = "count(*) AS occurrences, count(DISTINCT doc_id) AS files, count(*) FILTER (pos = 'top') AS top, count(*) FILTER (pos = 'middle') AS middle, count(*) FILTER (pos = 'bottom') AS bottom"
+_EXACT = f"SELECT 'exact_line' AS kind, t AS key, {_TOTAL} FROM v GROUP BY t"
+_NORM = f"SELECT 'normalized_line' AS kind, k AS key, {_TOTAL} FROM (SELECT *, {_key('t')} AS k FROM v) WHERE k <> '' GROUP BY k"
+
+
+def _sql_block(size: int) -> str:
+    word = {2: "two", 3: "three"}[size]
+    leads = ", ".join(f"lead(t, {k}) OVER w AS t{k}, lead(line, {k}) OVER w AS l{k}" for k in range(1, size))
+    text = " || E'\\n' || ".join(["t", *[f"t{k}" for k in range(1, size)]])
+    return f"WITH {_VALID}, b AS (SELECT *, {leads} FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY line)) SELECT '{word}_line_block' AS kind, {text} AS key, {_TOTAL} FROM b WHERE l{size - 1} = line + {size - 1} GROUP BY ALL"
+
+
+_INLINE_LIST = "[" + ", ".join(f"'{p}'" for p in P.INLINE_PATTERNS) + "]"
+_INLINE = f"""SELECT 'inline_artifact' AS kind, p AS key, sum(c)::bigint AS occurrences, count(DISTINCT doc_id) AS files, coalesce(sum(c) FILTER (pos = 'top'), 0)::bigint AS top, coalesce(sum(c) FILTER (pos = 'middle'), 0)::bigint AS middle, coalesce(sum(c) FILTER (pos = 'bottom'), 0)::bigint AS bottom
+ FROM (SELECT doc_id, pos, p, (length(x) - length(replace(x, p, ''))) // length(p) AS c FROM (SELECT ln.doc_id, ln.x, va.pos FROM ln JOIN va USING (doc_id, line)) , unnest({_INLINE_LIST}) AS u(p)) WHERE c > 0 GROUP BY p"""
+
+
+def _kind(kind: str) -> Callable:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        flags = {"exact_line": "include_exact_lines", "normalized_line": "include_normalized_lines", "two_line_block": "include_two_line_blocks", "three_line_block": "include_three_line_blocks", "inline_artifact": "include_inline_artifacts"}
+        cfg = ScanConfig(**({f: k == kind for k, f in flags.items()} | {"include_numeric": True}))
+        return A.totals(A.observations(injected(spark, sf), cfg)).select("kind", "key", "occurrences", "files", "top", "middle", "bottom")
+
+    return run
+
+
+_HEADINGS = "(" + ", ".join(f"'{h}'" for h in P.HEADING_KEYS) + ")"
+_LABELS = "(" + ", ".join(f"'{h}'" for h in P.PAGE_LABEL_KEYS) + ")"
+
+
+def _sql_candidates() -> str:
+    nsym = _SYM.replace("T", "display")
+    return f"""WITH {_VALID}, o AS (SELECT 'exact_line' AS kind, t AS key, t AS display, doc_id, line, pos, 1 AS c FROM v UNION ALL SELECT 'normalized_line', {_key('t')}, t, doc_id, line, pos, 1 FROM v WHERE {_key('t')} <> ''
+ UNION ALL SELECT 'inline_artifact', p, p, ln.doc_id, ln.line, va.pos, (length(ln.x) - length(replace(ln.x, p, ''))) // length(p) FROM ln JOIN va ON va.doc_id = ln.doc_id AND va.line = ln.line, unnest({_INLINE_LIST}) AS u(p) WHERE contains(ln.x, p)),
+ g AS (SELECT kind, key, sum(c)::bigint AS occurrences, count(DISTINCT doc_id) AS files, coalesce(sum(c) FILTER (pos = 'top'), 0)::bigint AS top, coalesce(sum(c) FILTER (pos = 'middle'), 0)::bigint AS middle, coalesce(sum(c) FILTER (pos = 'bottom'), 0)::bigint AS bottom,
+   arg_min(display, (doc_id, line)) AS display, count(DISTINCT display) AS variants FROM o GROUP BY kind, key HAVING sum(c) >= 5),
+ f AS (SELECT g.*, top + bottom AS edge, CASE kind WHEN 'inline_artifact' THEN '' WHEN 'normalized_line' THEN key ELSE {_key('display')} END AS normalized_key FROM g
+   WHERE NOT (kind = 'normalized_line' AND variants <= 1 AND EXISTS (SELECT 1 FROM g e WHERE e.kind = 'exact_line' AND e.display = g.display AND e.occurrences = g.occurrences AND e.files = g.files))),
+ s AS (SELECT *, ln(1 + occurrences) * ln(1 + files) * (1.0 + edge::double / occurrences * 2.0) * (CASE WHEN length(display) <= 3 THEN 0.2 WHEN length(display) <= 8 THEN 0.6 ELSE 1.0 END)::double * (1.0::double + {nsym}::double / length(display) * 1.5) AS score,
+   CASE WHEN normalized_key IN {_HEADINGS} THEN 'common_section_heading_review_carefully' WHEN {nsym} >= 0.5 * length(display) THEN 'symbol_or_noise_candidate' WHEN occurrences >= 3 AND edge >= 0.75 * occurrences THEN 'strong_header_footer_candidate'
+    WHEN normalized_key IN {_LABELS} AND occurrences >= 3 THEN CASE WHEN edge >= 0.5 * occurrences THEN 'strong_header_footer_candidate' ELSE 'possible_boilerplate' END WHEN files >= 2 THEN 'possible_boilerplate' ELSE 'ambiguous' END AS risk,
+   CASE kind WHEN 'exact_line' THEN 'exact_' WHEN 'normalized_line' THEN 'norm_' ELSE 'inline_' END || substr(sha256(key), 1, 16) AS id FROM f)
+ SELECT id, kind, display, normalized_key, occurrences, files, top, middle, bottom, round(score, 6) AS score, risk, CASE WHEN kind = 'normalized_line' THEN variants ELSE 0 END AS variants FROM s ORDER BY s.score DESC, kind, key LIMIT 100"""
+
+
+CANDIDATE_SCAN = ScanConfig(include_numeric=True)
+
+
+def _found(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    d = injected(spark, sf)
+    obs = A.observations(d, CANDIDATE_SCAN)
+    return d, obs, A.candidates(obs, CANDIDATE_SCAN)
+
+
+def artifact_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(spark, sf)[2].select("id", "kind", "display", "normalized_key", "occurrences", "files", "top", "middle", "bottom", F.round("score", 6).alias("score"), "risk", "variants")
+
+
+def artifact_examples(spark: SparkSession, sf: str) -> DataFrame:
+    d, obs, found = _found(spark, sf)
+    return A.examples(d, obs, found, CANDIDATE_SCAN)
+
+
+def artifact_signals(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(spark, sf)[2].select("id", "content_class", "signal", "reasons", "text_profile", "raw_variants")
+
+
+def artifact_promoted_clean(spark: SparkSession, sf: str) -> DataFrame:
+    d, _, found = _found(spark, sf)
+    cfg = A.promote(found.filter(F.col("risk").isin("strong_header_footer_candidate", "symbol_or_noise_candidate")), CleaningConfig(trim_lines=True))
+    return d.select("doc_id", C.clean_text(F.col("text"), cfg).alias("cleaned"))
+
+
+def line_profile(spark: SparkSession, sf: str) -> DataFrame:
+    t = ws_trim(F.col("x"))
+    rows = inj_lines(spark, sf).select("doc_id", "line", t.alias("t"))
+    return rows.select("doc_id", "line", F.length("t").alias("chars"), F.size(tokens(F.col("t"))).alias("tokens"), count_class(F.col("t"), P.ALPHA).alias("letters"), count_class(F.col("t"), P.DIGIT).alias("digits"), longest_run(F.col("t")).alias("longest_run"))
+
+
+def line_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return P.with_profile(inj_lines(spark, sf), "x").select("doc_id", "line", *[c for c in P.PROFILE if c.startswith(("looks", "has"))])
+
+
+def text_signal(spark: SparkSession, sf: str) -> DataFrame:
+    rows = P.with_profile(inj_lines(spark, sf), "x")
+    no = F.lit(False)
+    rows = staged(rows, {"label": P.text_signal(P.content_class(F.col("x")) == "text_dominant", no, no, no, F.lit(0.0))})
+    return rows.select("label", P.signal_reasons(F.col("label"), F.lit(0.0)).alias("reasons")).groupBy("label", "reasons").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def line_model(spark: SparkSession, sf: str) -> DataFrame:
+    rows = paged(spark, sf).select("doc_id", F.posexplode("pages").alias("page", "p")).select("doc_id", "page", lines(F.col("p")).alias("l"))
+    return rows.select("doc_id", "page", F.posexplode("l").alias("line", "x"), F.size("l").alias("n_lines")).select("doc_id", "page", "line", "n_lines", (F.col("line") < 3).alias("is_top"), (F.col("line") >= F.col("n_lines") - 3).alias("is_bottom"))
+
+
+def pdf_header_footer(spark: SparkSession, sf: str) -> DataFrame:
+    rows = paged(spark, sf).select("doc_id", G.strip_pages(F.col("pages"), headers=True, labels=False).alias("p"))
+    return rows.select("doc_id", F.array_join("p", "\n\n").alias("text"))
+
+
+_PAGED = r"""d0 AS (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS a FROM documents WHERE text <> ''), d1 AS (SELECT doc_id, CASE WHEN a[len(a)] = '' THEN a[1 : len(a) - 1] ELSE a END AS a FROM d0),
+ pg AS (SELECT doc_id, k AS page, 'Running head of Gazette 7' || E'\n' || array_to_string(a[k * 12 + 1 : k * 12 + 12], E'\n') || E'\n●●●●●\nFolio ' || (k + 1) || E'\n' || (k + 1) AS p FROM d1, generate_series(0, greatest(ceil(len(a) / 12.0)::int, 1) - 1) AS s(k)),
+ pl AS (SELECT doc_id, page, string_split(p, E'\n') AS l FROM pg)"""
+_PAGE_LABEL_SQL = r"(?i)^(?:\p{Nd}+|page\s+\p{Nd}+|p\.\s*\p{Nd}+|[-–—]\s*\p{Nd}+\s*[-–—]|\p{Nd}+\s*(?:of|/)\s*\p{Nd}+)$"
+
+
+def _sql_pages(drop: str, extra: str = "") -> str:
+    return f"""WITH {_PAGED}, x AS (SELECT doc_id, page, k, l[k] AS v, len(l) AS n FROM pl, generate_series(1, len(l)) AS s(k)){extra}, kept AS (SELECT doc_id, page, {_trim("string_agg(v, E'" + chr(92) + "n' ORDER BY k)")} AS p FROM x WHERE NOT ({drop}) GROUP BY doc_id, page)
+ SELECT d1.doc_id, coalesce(string_agg(p, E'\\n\\n' ORDER BY page) FILTER (p <> ''), '') AS text FROM d1 LEFT JOIN kept USING (doc_id) GROUP BY d1.doc_id"""
+
+
+_EDGE = "(k <= 3 OR k > n - 3)"
+_HEADERS = f""", e AS (SELECT DISTINCT doc_id, page, {_key('v')} AS key FROM x WHERE {_EDGE}), c AS (SELECT doc_id, max(page) + 1 AS pages FROM x GROUP BY doc_id),
+ h AS (SELECT e.doc_id, e.key FROM e JOIN c USING (doc_id) WHERE e.key <> '' AND c.pages >= 3 GROUP BY e.doc_id, e.key, c.pages HAVING count(*) >= greatest(3, (c.pages + 1) // 2))"""
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    docs = lambda spark, sf: table(spark, sf, "documents")
+    strip = lambda **k: lambda spark, sf: paged(spark, sf).select("doc_id", F.array_join(G.strip_pages(F.col("pages"), **k), "\n\n").alias("text"))
+    zoned = CleaningConfig(rules=ZONES)
+    return {
+        "corpus_summary": lambda s, d: S.corpus_summary(docs(s, d), ["lang"], F.length("text")).select("lang", "n_docs", F.col("total_size").alias("total_chars"), F.round("mean_size", 6).alias("mean_chars")),
+        "scan_summary": lambda s, d: R.summary(table(s, d, "scan_record")),
+        "clean_line_endings": _cleaned(C.line_endings), "clean_lowercase": _cleaned(F.lower), "clean_page_delimiters": _cleaned(C.page_delimiters), "clean_page_indicators": _cleaned(C.page_indicators),
+        "clean_page_numbers": _cleaned(C.page_numbers), "clean_roman_numbers": _cleaned(C.roman_numbers), "clean_irregular_breaks": _cleaned(C.irregular_breaks), "clean_join_lines": _cleaned(C.join_lines),
+        "clean_trim_lines": _cleaned(C.trim_lines), "clean_collapse_blank": _cleaned(C.collapse_blank),
+        "clean_diacritics_nfc": lambda s, d: docs(s, d).select("doc_id", strip_diacritics(F.col("text"), compose=True).alias("cleaned")),
+        "clean_noise_lines": _config(CleaningConfig(remove_obvious_extraction_noise=True)),
+        "clean_whole_line_literal": _config(CleaningConfig(rules=RULES)), "clean_whole_line_family": _config(CleaningConfig(rules=KEYS)),
+        "clean_remove_patterns": _config(CleaningConfig(remove_patterns=PATTERNS)), "clean_replace_patterns": _config(CleaningConfig(replace_patterns=PAIRS)), "clean_combined": _config(COMBINED),
+        "line_model": line_model, "line_profile": line_profile, "line_flags": line_flags, "text_signal": text_signal,
+        "line_key": lambda s, d: inj_lines(s, d).select("doc_id", "line", line_key(F.col("x")).alias("key")),
+        "content_class": lambda s, d: inj_lines(s, d).select(P.content_class(F.col("x")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_lines")),
+        "doc_quality": lambda s, d: docs(s, d).select("doc_id", P.quality(F.col("text")).alias("q")).select("doc_id", "q.char_count", "q.token_count", F.round("q.alphabetic_ratio", 9).alias("alphabetic_ratio"), "q.quality"),
+        "artifact_exact": _kind("exact_line"), "artifact_normalized": _kind("normalized_line"), "artifact_block2": _kind("two_line_block"), "artifact_block3": _kind("three_line_block"), "artifact_inline": _kind("inline_artifact"),
+        "artifact_candidates": artifact_candidates, "artifact_examples": artifact_examples, "artifact_signals": artifact_signals, "artifact_promoted_clean": artifact_promoted_clean,
+        "artifact_diagnostics": lambda s, d: A.diagnostics(injected(s, d), A.observations(injected(s, d), CANDIDATE_SCAN), CANDIDATE_SCAN),
+        "pdf_header_footer": pdf_header_footer, "pdf_page_labels": strip(headers=False, labels=True), "pdf_symbol_heavy": strip(headers=False, labels=False, symbols=True),
+        "pdf_page_range": lambda s, d: G.page_range(paged(s, d), "doc_id", "pages", 2, 2).select("doc", "page", "text", "error"),
+        "pdf_audit": lambda s, d: G.audit(paged(s, d), "doc_id", "pages"), "pdf_worst_profile": lambda s, d: G.worst_profile(G.audit(paged(s, d), "doc_id", "pages")),
+        "pdf_line_kind": lambda s, d: inj_lines(s, d).select(G.line_kind_col(F.col("x")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_lines")),
+        "page_zone_clean": lambda s, d: paged(s, d).select("doc_id", C.clean_pages(F.col("pages"), F.array_join("pages", "\n\n"), zoned).alias("c")).select("doc_id", "c.text"),
+        "search_hits": lambda s, d: S.all_hits(docs(s, d), TERM), "search_top": lambda s, d: S.hits(docs(s, d), TERM), "search_totals": lambda s, d: S.search_totals(docs(s, d), TERM),
+        "word_count": lambda s, d: S.count_words(docs(s, d)), "word_totals": lambda s, d: S.count_words(docs(s, d)).agg(F.sum("words").alias("total_words"), F.round(F.avg("words"), 6).alias("mean_words")),
+        "preview_original": lambda s, d: S.preview(docs(s, d), max_chars=900), "preview_processed": lambda s, d: S.preview(docs(s, d), max_chars=900, config=CleaningConfig(lowercase=True)),
+        "preview_combined": lambda s, d: S.combined_preview(docs(s, d), max_chars=300),
+        "legacy_spacing": _cleaned(C.spacing), "legacy_breaks": _cleaned(C.legacy_breaks), "legacy_biblio_refs": _cleaned(C.biblio_references), "legacy_char_filter": _cleaned(lambda c: C.filter_sequences(c, ["the", "&", "ship"])),
+        "legacy_superscripts": _cleaned(C.super_subscripts), "legacy_page_numbers": _cleaned(C.short_page_numbers), "legacy_newlines": _cleaned(C.newlines_to_spaces), "legacy_stop_words": _cleaned(lambda c: C.stop_words(c, ["the", "of", "a"])),
+        "legacy_nfkc": lambda s, d: docs(s, d).select("doc_id", nfkc(F.col("text")).alias("cleaned")), "legacy_marks": lambda s, d: docs(s, d).select("doc_id", strip_nonspacing(F.col("text")).alias("cleaned")),
+        "legacy_greek": lambda s, d: table(s, d, "file_preview").select("preview_id", C.drop_script(F.col("text"), "Greek").alias("cleaned")),
+        "export_manifest": lambda s, d: X.manifest(table(s, d, "file_preview").groupBy("relative_path").agg(F.min("text").alias("text")), CleaningConfig(lowercase=True)),
+        "warning_kinds": lambda s, d: table(s, d, "export_warning").select(X.warning_kind(F.col("message")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
+        "html_text": lambda s, d: table(s, d, "file_preview").filter("document_type = 'html'").select("preview_id", R.html_text(F.col("text")).alias("text")),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    lit = _trim("v") + " IN ('------', 'xiv')"
+    fam = _key("v") + " IN ('page #', 'page # here')"
+    doc = "FROM documents"
+    term = TERM.lower()
+    zone = f"(k <= 3 AND {_key('v')} = 'running head of gazette #') OR (k > n - 3 AND {_key('v')} = 'folio #')"
+    return {
+        "corpus_summary": f"SELECT lang, count(*) AS n_docs, sum(length(text))::bigint AS total_chars, round(avg(length(text)), 6) AS mean_chars {doc} GROUP BY lang",
+        "scan_summary": "SELECT count(*) AS discovered, count(*) FILTER (document_type IN ('text','html','docx','pdf')) AS supported, count(*) FILTER (coalesce(document_type NOT IN ('text','html','docx','pdf'), true)) AS ignored, coalesce(sum(size_bytes) FILTER (document_type IN ('text','html','docx','pdf')), 0)::bigint AS total_bytes, count(*) FILTER (document_type = 'text') AS text_count, count(*) FILTER (document_type = 'html') AS html_count, count(*) FILTER (document_type = 'docx') AS docx_count, count(*) FILTER (document_type = 'pdf') AS pdf_count FROM scan_record",
+        "clean_line_endings": _sql_clean(_EOL), "clean_lowercase": _sql_clean("lower(text)"), "clean_page_delimiters": _sql_clean(_DELIM), "clean_page_indicators": _sql_clean(_re("text", _IND)),
+        "clean_page_numbers": _sql_clean(_re("text", _NUM)), "clean_roman_numbers": _sql_clean(_re("text", _ROM)), "clean_irregular_breaks": _sql_clean(_IRREGULAR),
+        "clean_join_lines": _sql_clean(_re(_re("text", r"[ \t]*\r?\n[ \t]*", " "), " {2,}", " ")), "clean_trim_lines": _sql_clean(_trim_lines("text")),
+        "clean_collapse_blank": _sql_clean(r"regexp_replace(text, '\n{3,}', E'\n\n', 'g')"), "clean_diacritics_nfc": f"SELECT doc_id, strip_accents(text) AS cleaned {doc}",
+        "clean_whole_line_literal": _sql_clean(_KEEP.format(lit)), "clean_whole_line_family": _sql_clean(_KEEP.format(fam)),
+        "clean_remove_patterns": _sql_clean("replace(replace(replace(text, 'institutional ', ''), 'das ', ''), 'The provenance', '')"), "clean_replace_patterns": _sql_clean("replace(replace(text, 'each', 'every'), 'Page', 'P.')"),
+        "clean_combined": _sql_combined(),
+        "line_model": f"WITH {_PAGED} SELECT doc_id, page::int AS page, (k - 1)::int AS line, len(l)::int AS n_lines, k <= 3 AS is_top, k > len(l) - 3 AS is_bottom FROM pl, generate_series(1, len(l)) AS s(k)",
+        "line_key": f"WITH {_LINES} SELECT doc_id, line, {_key('x')} AS key FROM ln",
+        "line_profile": f"WITH {_LINES}, t AS (SELECT doc_id, line, {_trim('x')} AS t FROM ln) SELECT doc_id, line, length(t)::int AS chars, len(list_filter(regexp_split_to_array(t, '{_WS}+'), lambda v: v <> ''))::int AS tokens, {_n('t', _AL)}::int AS letters, {_n('t', _ND)}::int AS digits, "
+        f"(SELECT coalesce(max(c), 0) FROM (SELECT count(*) AS c FROM (SELECT i - row_number() OVER (PARTITION BY ch ORDER BY i) AS g, ch FROM (SELECT u[i] AS ch, i FROM (SELECT regexp_extract_all(regexp_replace(t, '{_WS}', '', 'g'), '.') AS u), generate_series(1, len(u)) AS q(i))) GROUP BY g, ch))::int AS longest_run FROM t",
+        "content_class": f"WITH {_LINES}, t AS (SELECT {_trim('x')} AS t FROM ln) SELECT {_class('t')} AS class, count(*) AS n_lines FROM t GROUP BY 1",
+        "doc_quality": f"WITH t AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{_WS}+'), lambda v: v <> '') AS k FROM documents), m AS (SELECT doc_id, text, length(text)::int AS n, len(k)::int AS kn, {_n('text', _AL)} AS a, {_n('text', '�')} AS r, length(regexp_replace(text, '[{_AL}{chr(92)}p{{N}}{chr(92)}p{{Cc}}]|{_WS}', '', 'g')) AS s, len(list_filter(k, lambda v: {_n('v', _AL)} * 2 >= length(v))) AS w, coalesce(list_sum(list_transform(k, lambda v: length(v))), 0) AS c FROM t) "
+        "SELECT doc_id, n AS char_count, kn AS token_count, round(a::double / n, 9) AS alphabetic_ratio, CASE WHEN n < 20 THEN CASE WHEN s > 0.5 * n OR r > 0.1 * n THEN 'poor' WHEN w < 0.5 * kn THEN 'suspicious' ELSE 'good' END WHEN r > 0.05 * n OR s > 0.3 * n OR w < 0.4 * kn OR a < 0.3 * n OR c > 40 * kn THEN 'poor' WHEN s > 0.15 * n OR w < 0.6 * kn OR a < 0.5 * n OR c > 20 * kn THEN 'suspicious' ELSE 'good' END AS quality FROM m",
+        "artifact_exact": f"WITH {_VALID} {_EXACT}", "artifact_normalized": f"WITH {_VALID} {_NORM}", "artifact_block2": _sql_block(2), "artifact_block3": _sql_block(3), "artifact_inline": f"WITH {_VALID} {_INLINE}",
+        "artifact_candidates": _sql_candidates(),
+        "pdf_header_footer": _sql_pages(f"{_EDGE} AND EXISTS (SELECT 1 FROM h WHERE h.doc_id = x.doc_id AND h.key = {_key('x.v')})", _HEADERS),
+        "pdf_page_labels": _sql_pages(f"{_EDGE} AND (regexp_matches({_trim('v')}, '{_PAGE_LABEL_SQL}') OR regexp_matches({_trim('v')}, '(?i)^(?:page\\s+)?m{{0,4}}(?:cm|cd|d?c{{0,3}})(?:xc|xl|l?x{{0,3}})(?:ix|iv|v?i{{0,3}})$') AND {_trim('v')} <> '')"),
+        "pdf_symbol_heavy": _sql_pages(f"regexp_matches({_trim('v')}, '^[●•·○■□▲△◆◇.*+_|~^=°\\-\\s]+$')"),
+        "page_zone_clean": f"WITH {_PAGED}, x AS (SELECT doc_id, page, k, l[k] AS v, len(l) AS n FROM pl, generate_series(1, len(l)) AS s(k)), kept AS (SELECT doc_id, page, string_agg(v, E'\\n' ORDER BY k) AS p FROM x WHERE NOT ({zone}) GROUP BY doc_id, page) SELECT doc_id, string_agg(p, E'\\n\\n' ORDER BY page) AS text FROM kept GROUP BY doc_id",
+        "search_hits": f"WITH m AS (SELECT doc_id AS doc, text, generate_subscripts(p, 1) AS k, p FROM (SELECT doc_id, text, string_split(lower(text), '{term}') AS p {doc} WHERE contains(lower(text), '{term}'))), a AS (SELECT doc, text, k, len(p) AS n, list_sum(list_transform(p[1 : k], lambda v: length(v)))::bigint + (k - 1) * {len(term)} AS o FROM m) "
+        f"SELECT doc, (k - 1)::int AS ordinal, text[greatest(o - 79, 1) : o] AS before, text[o + 1 : o + {len(term)}] AS match, text[o + {len(term)} + 1 : o + {len(term)} + 80] AS after FROM a WHERE k < n",
+        "search_totals": f"SELECT coalesce(sum(n), 0)::bigint AS matches, count(*) AS files, coalesce(sum(n), 0) > 1000 AS truncated FROM (SELECT len(string_split(lower(text), '{term}')) - 1 AS n {doc}) WHERE n > 0",
+        "word_count": f"SELECT doc_id AS doc, coalesce(len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda v: v <> '')), 0)::int AS words {doc}",
+        "word_totals": f"WITH w AS (SELECT len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda v: v <> '')) AS n {doc}) SELECT sum(n)::bigint AS total_words, round(avg(n), 6) AS mean_words FROM w",
+        "preview_original": f"SELECT doc_id AS doc, text[1 : 900] AS preview, length(text) > 900 AS truncated, least(length(text), 900)::int AS chars {doc}",
+        "preview_processed": f"SELECT doc_id AS doc, lower(text[1 : 900]) AS preview, length(text) > 900 AS truncated, least(length(text), 900)::int AS chars {doc}",
+        "legacy_biblio_refs": _sql_clean(_re("text", r"\([A-Z][a-z]+(?:[^()]*?\d{4}[^()]*?)?\)")), "legacy_superscripts": _sql_clean(_re("text", r"[\p{No}\p{Sk}]")),
+        "legacy_page_numbers": _sql_clean(_re("text", r"(?m)^[ \t]*[0-9]{1,4}[ \t]*$\n?")), "legacy_newlines": _sql_clean(r"replace(text, E'\n', ' ')"), "legacy_char_filter": _sql_clean(_re("text", r"(?i)\bthe\b|&|\bship\b")),
+        "legacy_stop_words": _sql_clean(f"array_to_string(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda v: v <> '' AND lower(v) NOT IN ('the', 'of', 'a')), ' ')"),
+        "legacy_greek": r"SELECT preview_id, regexp_replace(text, '\p{Greek}', '', 'g') AS cleaned FROM file_preview",
+        "warning_kinds": "SELECT CASE WHEN contains(message, 'Failed') OR contains(message, 'low-quality text') OR contains(message, 'required for this PDF') THEN 'extraction_error' ELSE 'extraction_warning' END AS kind, count(*) AS n FROM export_warning GROUP BY 1",
+    }
