@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,23 +55,35 @@ class NGram:
         return np.log(p)
 
 
-def count_slots(df: DataFrame, text: Column, bits: int, order: int, encode=codes, pad: str = " ") -> np.ndarray:
-    """Hashed n-gram counts over all rows of ``df``: counted per batch, summed by slot. At most order * 2**bits cells reach the driver."""
-    schema = "n int, slot long, k long"
+def count_slots(df: DataFrame, text: Column, bits: int, order: int, encode: Callable[[list[str]], np.ndarray]) -> np.ndarray:
+    """Hashed n-gram counts over all rows of ``df``: counted per partition, summed by slot. ``encode`` makes one array of many
+    texts, with order - 1 symbols of context at its head. At most order * 2**bits cells reach the driver."""
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = np.zeros((order, 1 << bits), dtype=np.int64)
+        held: list[str] = []
+        size = 0
+
+        def add() -> None:
+            for n, s in enumerate(gram_slots(encode(held), bits, order)):
+                acc[n] += np.bincount(s, minlength=1 << bits)
+            held.clear()
+
         for pdf in it:
             for t in pdf["_t"]:
-                c = encode(pad * (order - 1) + t + pad)
-                for n, s in enumerate(gram_slots(c, bits, order)):
-                    np.add.at(acc[n], s, 1) if len(s) < 64 else acc.__setitem__(n, acc[n] + np.bincount(s, minlength=1 << bits)) if len(s) > (1 << (bits - 3)) else np.add.at(acc[n], s, 1)
+                held.append(t)
+                size += len(t)
+                if size > 2_000_000:
+                    add()
+                    size = 0
+        if held:
+            add()
         for n in range(order):
             (at,) = acc[n].nonzero()
             if len(at):
                 yield pd.DataFrame({"n": n, "slot": at, "k": acc[n][at]})
 
-    rows = df.select(text.alias("_t")).filter("_t is not null").mapInPandas(count, schema).groupBy("n", "slot").agg(F.sum("k").alias("k")).toPandas()
+    rows = df.select(text.alias("_t")).filter("_t is not null").mapInPandas(count, "n int, slot long, k long").groupBy("n", "slot").agg(F.sum("k").alias("k")).toPandas()
     out = np.zeros((order, 1 << bits), dtype=np.float64)
     out[rows["n"].to_numpy(dtype=int), rows["slot"].to_numpy(dtype=int)] = rows["k"]
     return out

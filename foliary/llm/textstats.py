@@ -9,6 +9,7 @@ Null texts have null statistics and no class; empty and blank ones the class ``e
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -27,7 +28,8 @@ COMMON = set(
     "el los las y del en un una con por para según cerca junto no pero porque cuando al "
     "и в на с из не близ около как что но когда по за к от у ο η το και από στο στη στον την τον με σε δεν αλλά όταν κοντά μετά".split()
 )
-_WORD = regex.compile(r"[\p{L}\p{M}]+(?:[’'-][\p{L}\p{M}]+)*")
+_WORD = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*")
+_DIGIT = re.compile(r"\d")
 _NUM = regex.compile(r"(?<![\p{L}\p{N}])[-+±]?\d[\d.,:%/]*")
 _MARK = regex.compile(r"^\s*(?:[•▪‣·◦*–—□■+-]\s+|\(?(?:\d{1,3}|[a-z]|[ivxlc]{1,5})[.)]\s+|\[\d{1,3}\]\s+\S)")
 _INLINE_MARK = regex.compile(r"(?:^|\s)\(?(?:\d{1,3}|[a-z])\)\s+(?=\S)")
@@ -85,8 +87,10 @@ def autocorrelation(lengths: list[int]) -> float:
     return max(float((x[k:] * x[:-k]).sum()) / var for k in range(1, min(5, len(lengths) - 1)))
 
 
-def junk_line(s: str) -> bool:
+def junk_line(s: str, words: list[str]) -> bool:
     """No words of any language: codes of glyphs, encoded bytes, signs, letters without vowels."""
+    if " " in s and sum(len(w) > 1 and w.lower() in COMMON for w in words[:16]) >= 2 and "\ufffd" not in s:
+        return False
     body = "".join(s.split())
     if not body:
         return False
@@ -103,7 +107,6 @@ def junk_line(s: str) -> bool:
     longest = max(map(len, s.split()))
     if longest >= 30 and " " not in s.strip() and "://" not in s:
         return len(_CODED.findall(s)) >= 4
-    words = _WORD.findall(s)
     latin = [w for w in words if w.isascii()]
     if len(latin) >= 4 and len(latin) == len(words):
         bare = sum(not _VOWEL.search(w) for w in latin)
@@ -111,9 +114,11 @@ def junk_line(s: str) -> bool:
     return False
 
 
-def table_line(s: str) -> bool:
+def table_line(s: str, ws: list[str]) -> bool:
     """A row of figures or cells."""
-    nums, words = len(_NUM.findall(s)), len(_WORD.findall(s))
+    nums, words = len(_NUM.findall(s)) if _DIGIT.search(s) else 0, len(ws)
+    if nums == 0 and "\t" not in s:
+        return False
     if nums >= 2 and nums >= words:
         return True
     cells = [c for c in _CELL.split(s.strip().strip("|")) if c.strip()]
@@ -121,7 +126,7 @@ def table_line(s: str) -> bool:
         return True
     if "\t" in s and len(cells) >= 3 and all(len(c.split()) <= 4 for c in cells):
         return True
-    return nums >= 3 and nums >= 0.3 * (nums + words) and not _STOP.search(s) and len({"mean", "sd", "n", "min", "max", "median", "total"} & {w.lower() for w in _WORD.findall(s)}) >= 3
+    return nums >= 3 and nums >= 0.3 * (nums + words) and not _STOP.search(s) and len({"mean", "sd", "n", "min", "max", "median", "total"} & {w.lower() for w in ws}) >= 3
 
 
 def measure(text: str, single: bool = False) -> tuple:
@@ -129,7 +134,8 @@ def measure(text: str, single: bool = False) -> tuple:
     plain = _TAG.sub(" ", text.replace("\r\n", "\n").replace("\r", "\n"))
     lines = [x for x in plain.split("\n") if x.strip()]
     body = "".join(plain.split())
-    words = _WORD.findall(plain)
+    found = [_WORD.findall(x) for x in lines]
+    words = [w for ws in found for w in ws]
     n, total = len(words), max(1, len(body))
     if not body:
         return (len(text), 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, "empty")
@@ -142,7 +148,7 @@ def measure(text: str, single: bool = False) -> tuple:
     auto = autocorrelation([len(x.strip()) for x in lines])
     marked = [bool(_MARK.match(x)) for x in lines]
     weight = {"list": 0, "table": 0, "junk": 0, "prose": 0, "head": 0}
-    kinds = [line_kind(x, m, single) for x, m in zip(lines, marked, strict=True)]
+    kinds = [line_kind(x, m, single, ws) for x, m, ws in zip(lines, marked, found, strict=True)]
     kinds = name_runs(lines, kinds) if not single else kinds
     if align >= 0.6 and len(lines) >= 3:
         rows = [k for k, x in enumerate(lines) if kinds[k] != "junk" and not _STOP.search(x) and any(d in x for d in "\t;|")]
@@ -157,23 +163,23 @@ def measure(text: str, single: bool = False) -> tuple:
     return (len(text), n, len(lines), sum(map(len, words)) / max(1, n), symbols, digits, ends, common, stops / max(1, n), align, ind, auto, sum(marked) / len(lines), shares["list"], shares["table"], shares["junk"], cls)
 
 
-def line_kind(s: str, marked: bool, single: bool) -> str:
+def line_kind(s: str, marked: bool, single: bool, words: list[str]) -> str:
     t = s.strip()
-    words = _WORD.findall(t)
-    if junk_line(t):
+    if junk_line(t, words):
         return "junk"
-    if _LEADER.search(t):
+    if t[-1:].isdigit() and _LEADER.search(t):
         return "list"
-    kana = len(_KANA.findall(t))
+    kana = 0 if t.isascii() else len(_KANA.findall(t))
     if kana >= 3 and kana > 0.2 * len(t):
         return "prose"
     if len(t) <= 24 and _LABEL.fullmatch(t):
         return "head"
-    if table_line(t):
+    if table_line(t, words):
         return "table"
     if marked and len(words) <= 14 and not (len(words) > 6 and _STOP.search(t)):
         return "list" if not single or len(t) > 3 and t[0] in "•▪‣·◦*□■" or t.count(";") >= 1 or len(_INLINE_MARK.findall(t)) >= 2 else "head"
-    if len(_INLINE_MARK.findall(t)) >= 3 and not _STOP.search(t) or len(_INLINE_MARK.findall(t)) >= 2 and len(words) <= 10 * len(_INLINE_MARK.findall(t)) and not _STOP.search(t):
+    inline = len(_INLINE_MARK.findall(t)) if ")" in t else 0
+    if inline >= 2 and (inline >= 3 or len(words) <= 10 * inline) and not _STOP.search(t):
         return "list"
     seps = t.count(";") + t.count(",")
     if seps >= 3 and len(words) <= 5 * (seps + 1) and not (stop := len(_STOP.findall(t))) or seps >= 6 and len(words) <= 3.2 * (seps + 1) and len(_STOP.findall(t)) <= 1:
