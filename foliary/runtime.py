@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +58,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     hp = jvm.org.apache.hadoop.fs.Path(path)
     return hp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hp)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, so that its functions run wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_foliary_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="foliary-"), "foliary_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._foliary_shipped = True
