@@ -79,28 +79,30 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return _stats(table(spark, sf, "cache_entry"), lines).filter(F.col("text_class").isin("list", "table", "junk")).select("tbl", "record_id").distinct()
 
 
-def _scanned(spark: SparkSession, sf: str) -> DataFrame:
+def _scanned(spark: SparkSession, sf: str, heads: bool = True) -> DataFrame:
     ce = table(spark, sf, "cache_entry").filter("document_type = 'pdf'")
     ce = ce.select(F.lit("cache_entry").alias("tbl"), F.col("entry_id").alias("record_id"), F.coalesce("page_texts", F.array("extracted_text")).alias("_pages"))
     oe = table(spark, sf, "ocr_extraction").select(F.lit("ocr_extraction").alias("tbl"), F.col("ocr_id").alias("record_id"), F.col("page_texts").alias("_pages"))
-    op = table(spark, sf, "ocr_page").select(F.lit("ocr_page").alias("tbl"), F.col("ocr_page_id").alias("record_id"), F.array("text").alias("_pages"))
-    return ce.unionByName(oe).unionByName(op)
+    op = table(spark, sf, "ocr_page").select("ocr_page_id", "source_path", "page_index", "text")
+    op = scans.with_heads(op, "ocr_page_id", "source_path", "page_index", "text") if heads else op.withColumn("_heads", F.lit(None).cast("array<string>"))
+    op = op.select(F.lit("ocr_page").alias("tbl"), F.col("ocr_page_id").alias("record_id"), F.array("text").alias("_pages"), "_heads")
+    return ce.unionByName(oe).unionByName(op, allowMissingColumns=True)
 
 
-def _editor(rows: DataFrame) -> scans.Editor:
-    return scans.fit(rows.select(F.explode("_pages").alias("_page")), "_page")
+def _editor(spark: SparkSession, sf: str) -> scans.Editor:
+    return scans.fit(_scanned(spark, sf, heads=False).select(F.explode("_pages").alias("_page")), "_page")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = _scanned(spark, sf)
-    got = scans.scan(rows, ["tbl", "record_id"], "_pages", _editor(rows), build=False)
+    got = scans.scan(rows, ["tbl", "record_id"], "_pages", _editor(spark, sf), build=False, heads="_heads")
     return got.filter("splits + misread + furniture > 0").select("tbl", "record_id").distinct()
 
 
 def p5_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     """Every record as continuous paragraphs, with the noise that was taken out."""
     rows = _scanned(spark, sf)
-    return scans.scan(rows, ["tbl", "record_id"], "_pages", _editor(rows))
+    return scans.scan(rows, ["tbl", "record_id"], "_pages", _editor(spark, sf), heads="_heads")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

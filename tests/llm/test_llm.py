@@ -181,6 +181,17 @@ def test_scan_frame(spark):
     assert scans.scan(df.filter("false"), ["id"], "pages", ed).count() == 0
 
 
+def test_heads_of_single_pages(spark):
+    ps = pages(40)
+    head = "Lormarras heterogeneous annotation\n"
+    rows = [(k, "/a/f.pdf", k, (head if k % 2 else "") + ps[k]) for k in range(6)] + [(6, "/a/g.pdf", 0, head + ps[6]), (7, "/a/g.pdf", 0, head + ps[6]), (8, None, 1, head + ps[7]), (9, None, 2, head + ps[8]), (10, "/a/f.pdf", 7, None), (1, "/a/f.pdf", 1, head + ps[1])]
+    df = spark.createDataFrame(rows, "id long, path string, page int, text string")
+    known = scans.with_heads(df, "id", "path", "page", "text").withColumn("pages", F.array("text"))
+    ed = scans.fit(df.select("text"), "text")
+    got = sorted((r["id"], r["furniture"], "Lormarras" in r["text"]) for r in scans.scan(known, ["id"], "pages", ed, heads="_heads").collect())
+    assert got == sorted((i, int(i in (1, 3, 5)), i in (6, 7, 8, 9)) for i, *_ in rows)
+
+
 # -- 7 -----------------------------------------------------------------------------------------------------------
 
 
