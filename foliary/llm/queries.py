@@ -54,7 +54,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
     """Every record with its clean text."""
-    return _marked(spark, sf).select("tbl", "record_id", markup.clean_col(F.col("_text")).alias("clean"))
+    return markup.cleaned(_marked(spark, sf), ["tbl", "record_id"], "source_path", "_text")
 
 
 def p3_wrappers(spark: SparkSession, sf: str) -> DataFrame:

@@ -114,6 +114,21 @@ def test_affected(spark):
     assert markup.affected(df.filter("false"), ["id"], "path", "text").count() == 0
 
 
+def test_wrappers_decide(spark):
+    rows = [(1, "/a/b/c/f", "<entry>A town</entry>"), (2, "/a/b/c/g", "<entry>cut off"), (3, "/a/b/d/f", "<entry>cut off"), (4, "/a/b/e/f", "\\emph{a} \\place{b}"), (5, "/a/b/f/f", "in C:\\dir{1} now"), (6, "/a/b/f/f", None), (None, "/a/b/f/f", "a &amp; b")]
+    df = spark.createDataFrame(rows, "id long, path string, text string")
+    assert {r["id"]: r["kinds"] for r in markup.affected(df, ["id"], "path", "text").collect()} == {1: ["html"], 2: ["html"], 4: ["latex"], None: ["html"]}
+    got = {r["id"]: r["clean"] for r in markup.cleaned(df, ["id"], "path", "text").collect()}
+    assert got == {1: "A town", 2: "cut off", 3: "<entry>cut off", 4: "a b", 5: "in C:\\dir{1} now", 6: None, None: "a & b"}
+
+
+@given(st.lists(st.lists(st.sampled_from(["<p>", "</p>", "<b>", markup.TEXT]), min_size=1, max_size=8).filter(lambda s: set(s) != {markup.TEXT}), min_size=1, max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_wrappers_read_their_streams(found):
+    ws, owner = markup.induce([tuple(s) for s in found])
+    assert all(markup.reads(ws[k], s) for s, k in zip(found, owner, strict=True))
+
+
 # -- 4 -----------------------------------------------------------------------------------------------------------
 
 KINDS = [
