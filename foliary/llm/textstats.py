@@ -68,6 +68,14 @@ def alignment(lines: list[str]) -> float:
     return max(best, sum(bool(a & b) or len(a) == len(b) > 0 for a, b in pairwise(gaps)) / (len(counts) - 1))
 
 
+def padded_columns(lines: list[str]) -> list[int]:
+    """The lines with cells padded by blanks to a column in which a cell of the line before or after begins too."""
+    if not any("  " in x for x in lines):
+        return []
+    gaps = [{m.end() for m in _GAP.finditer(x)} for x in lines]
+    return [k for k, g in enumerate(gaps) if k and g & gaps[k - 1] or k + 1 < len(gaps) and g & gaps[k + 1]]
+
+
 def period(values: list[int]) -> float:
     """Highest share of positions at which a sequence repeats what stood 1 to 4 places before, for sequences with any indent."""
     if len(values) < 3 or not any(values):
@@ -154,6 +162,14 @@ def measure(text: str, single: bool = False) -> tuple:
         rows = [k for k, x in enumerate(lines) if kinds[k] != "junk" and not _STOP.search(x) and any(d in x for d in "\t;|")]
         for k in rows if len(rows) >= 0.5 * len(lines) else []:
             kinds[k] = "table"
+    rows = [k for k in padded_columns(lines) if kinds[k] != "junk" and not _STOP.search(lines[k])] if len(lines) >= 3 else []
+    for k in rows if len(rows) >= 0.6 * len(lines) and align >= 0.6 else []:
+        kinds[k] = "table"
+    # entries without markers: indents or lengths of short lines come back with a period, and neither sentences nor many common words stand there
+    if len(lines) >= 6 and stops <= 0.01 * n and common < 0.3 and symbols < 0.2 and digits < 0.3 and (ind >= 0.8 or 0.6 <= auto < 1):
+        for k, (x, ws) in enumerate(zip(lines, found, strict=True)):
+            if kinds[k] in ("head", "prose") and 1 <= len(ws) <= 8 and not _KANA.search(x):
+                kinds[k] = "list"
     for k, x in zip(kinds, lines, strict=True):
         weight[k] += len("".join(x.split()))
     shares = {k: v / total for k, v in weight.items()}

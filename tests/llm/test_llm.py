@@ -143,6 +143,18 @@ def test_text_class(text, single, want):
     assert textstats.measure(text, single)[-1] == want
 
 
+PERIODIC = [
+    ("river    mill     town\nhouse    garden   window\nmorning  letter   teacher\nmarket   village  museum", "table"), ("old river\n    kept in box\nnew mill\n    kept by hand\nwest town\n    sold in spring\neast house\n    torn down", "list"),
+    ("river\nmill street near old town gate\nhouse\nlong garden row behind church wall\nmarket\nthree bridge lane under castle hill\nmuseum\nupper harbour road beyond north dock", "list"),
+    ("the river went past  the old mill\nand the  town kept the house of the\ncaptain at the market  near the\ngarden where a  letter was found", "prose"), ("  the river went past the old mill\n    and the town kept it for the\n  captain and a sister of the man\n    who was at the market when the\n  letter was found and it had no\n    name on it", "prose"),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), PERIODIC)
+def test_class_by_alignment_and_period(text, want):
+    assert textstats.measure(text)[-1] == want
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(1, "One two. Three", "a"), (2, None, "b"), (3, LONG, "c"), (1, "One two. Three", "a")], "id long, text string, words string")
     got = {r["id"]: r for r in textstats.statistics(df, ["id"], "text").collect()}
