@@ -97,8 +97,8 @@ def autocorrelation(lengths: list[int]) -> float:
 
 def junk_line(s: str, words: list[str]) -> bool:
     """No words of any language: codes of glyphs, encoded bytes, signs, letters without vowels."""
-    if " " in s and sum(len(w) > 1 and w.lower() in COMMON for w in words[:16]) >= 2 and "\ufffd" not in s:
-        return False
+    if " " in s and 10 * sum(map(len, words)) >= 7 * len(s) and "(cid:" not in s and "\ufffd" not in s:
+        return _vowelless(words)  # words fill the line, so that no test on codes or signs can hold
     body = "".join(s.split())
     if not body:
         return False
@@ -115,11 +115,12 @@ def junk_line(s: str, words: list[str]) -> bool:
     longest = max(map(len, s.split()))
     if longest >= 30 and " " not in s.strip() and "://" not in s:
         return len(_CODED.findall(s)) >= 4
-    latin = [w for w in words if w.isascii()]
-    if len(latin) >= 4 and len(latin) == len(words):
-        bare = sum(not _VOWEL.search(w) for w in latin)
-        return bare >= 0.6 * len(latin)
-    return False
+    return _vowelless(words)
+
+
+def _vowelless(words: list[str]) -> bool:
+    """At least four words, all in ASCII, most of them without a vowel."""
+    return len(words) >= 4 and all(map(str.isascii, words)) and sum(not _VOWEL.search(w) for w in words) >= 0.6 * len(words)
 
 
 def table_line(s: str, ws: list[str]) -> bool:

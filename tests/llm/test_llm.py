@@ -155,6 +155,11 @@ def test_class_by_alignment_and_period(text, want):
     assert textstats.measure(text)[-1] == want
 
 
+@pytest.mark.parametrize("tail", ["(cid:12)(cid:7) " * 60, "#^*= ~|_ " * 60, "xkcd brtv wq zzp klm trw " * 20])
+def test_junk_after_words(tail):
+    assert textstats.measure("The town and the mill " + tail)[-1] == "junk"
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(1, "One two. Three", "a"), (2, None, "b"), (3, LONG, "c"), (1, "One two. Three", "a")], "id long, text string, words string")
     got = {r["id"]: r for r in textstats.statistics(df, ["id"], "text").collect()}
