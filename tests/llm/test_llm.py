@@ -224,6 +224,14 @@ def test_heads_of_single_pages(spark):
     assert got == sorted((i, int(i in (1, 3, 5)), i in (6, 7, 8, 9)) for i, *_ in rows)
 
 
+def test_margin_counts_all_held_back(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(mojibake, "HELD_BACK", 1, raising=False)
+    monkeypatch.setattr(mojibake, "fit_margin", lambda r, held: got.append(held.count() if hasattr(held, "count") and not isinstance(held, list) else len(held)) or 4.5)
+    mojibake.train(spark.createDataFrame([(t,) for t in CLEAN], "text string"))
+    assert got[0] > 1
+
+
 # -- 7 -----------------------------------------------------------------------------------------------------------
 
 
