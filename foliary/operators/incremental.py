@@ -1,21 +1,29 @@
 """Problem 6: processing only new or changed records.
 
-A store keeps, for each committed run, the state of every path seen so far, a Merkle tree over it and the run's output.
-Paths fall into key ranges by the leading bits of their hash; a leaf of the tree digests the states of its range, a node the
-digests of its FANOUT children. A run overlays the saved state with its own, and descends from the root only where the two
-trees differ; records of equal leaves are never looked at again. State, tree and output lie in one version folder, which
-counts once its commit marker is written, last: a run that breaks off leaves no trace, and one that is tried again neither
+A store keeps the last state of every key seen in committed runs, cut into key ranges, and a Merkle tree over the ranges'
+digests. A key's place is a number whose leading bits are the hash of its folder and whose further bits are the hash of the
+key, so that keys that change together lie together; a range is a prefix of that number, as long as it takes to hold about
+CAPACITY keys, however many a folder has. A run is digested range by range and compared with the saved tree from the root
+down; ranges of equal digests are neither read nor written. Of the others the saved keys are read, new and changed ones are
+the run's output, and ranges with any are written anew, while the tree goes on pointing at the files of the rest. Output,
+ranges and tree lie in a folder of their own, which counts once the commit marker names it, the last thing written; a marker
+is made once only, so of two writers one fails. A run that breaks off leaves no trace, and one that is tried again neither
 skips nor repeats a record.
 
-Rows with a null path or scan time, or scanned after the end of their run, are left out; a null time of change equals only
-null. A run without rows commits an empty output. Rows repeated within a run count once.
+A range whose keys a run sees only in part has another digest and is read, though nothing in it may have changed. Rows with a
+null path or scan time, or scanned after the end of their run, are left out; a null time of change equals only null. A run
+without rows commits an empty output. Rows repeated within a run count once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
+from bisect import bisect_left
+from collections import defaultdict
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,138 +31,235 @@ from pyspark.sql.types import StructType
 
 from foliary.runtime import scratch, table
 
-LEAF_BITS = 12
-FANOUT_BITS = 4
-LEVELS = LEAF_BITS // FANOUT_BITS
-"""A tree has 2**LEAF_BITS leaves at most, whatever the number of records: that many rows may come to the driver."""
+CAPACITY = 50_000
+"""Keys a range should hold; where the store has more than CAPACITY * MOST_RANGES keys, ranges grow instead of their number."""
+MOST_RANGES = 1 << 16
+"""About how many leaves a tree may have: twice that, beside one a group, is what reaches the driver or is broadcast at most."""
+FOLDER_BITS = 16
+DEEPEST = 40
 
 
-def leaf(path: Column) -> Column:
-    """Key range of a path: the leading bits of its hash."""
-    return F.shiftrightunsigned(F.xxhash64(path), 64 - LEAF_BITS).cast("int")
+def place(key: Column) -> Column:
+    """A key's place: FOLDER_BITS of the hash of its folder, then the hash of the key; 63 bits, never negative."""
+    folder = F.xxhash64(F.regexp_extract(key, r"^(.*)/[^/]*$", 1))
+    low = F.shiftrightunsigned(F.xxhash64(key), FOLDER_BITS + 1)
+    return F.shiftleft(F.shiftrightunsigned(folder, 64 - FOLDER_BITS), 63 - FOLDER_BITS).bitwiseOR(low)
 
 
-def run_state(rows: DataFrame, key: str, version: list[str], order: list[Column], ident: str) -> DataFrame:
-    """The last row of each key by ``order`` (ties to the smallest ``ident``), as the state a run hands in."""
+def bottom(node: int) -> int:
+    """The first place of a node: 1 is the root, 2 n and 2 n + 1 are the halves of n."""
+    depth = node.bit_length() - 1
+    return (node - (1 << depth)) << (63 - depth)
+
+
+def run_state(rows: DataFrame, key: str, version: list[str], order: list[Column], ident: str, by: list[str] | None = None) -> DataFrame:
+    """The last row of each key (and of each value of ``by``) by ``order``, ties to the smallest ``ident``, as the state a run hands in."""
+    by = by or []
     best = F.max_by(F.struct(*version, ident), F.struct(*order, -F.col(ident)))
-    return rows.groupBy(F.col(key).alias("key")).agg(best.alias("_s")).select("key", *[F.col(f"_s.{c}").alias(c) for c in (*version, ident)])
+    return rows.groupBy(*by, F.col(key).alias("key")).agg(best.alias("_s")).select(*by, "key", *[F.col(f"_s.{c}").alias(c) for c in (*version, ident)])
+
+
+def ranges(counts: dict[int, int], capacity: int) -> list[int]:
+    """Leaves that cover all places, from how many keys each group (the first FOLDER_BITS of a place) has: halved until a leaf
+    holds no more than ``capacity``, groups that are too large as often as their size asks."""
+    groups = sorted(counts)
+    sums = [0, *accumulate(counts[g] for g in groups)]
+    out: list[int] = []
+
+    def visit(node: int, depth: int) -> None:
+        low = (node - (1 << depth)) << (FOLDER_BITS - depth)
+        n = sums[bisect_left(groups, low + (1 << (FOLDER_BITS - depth)))] - sums[bisect_left(groups, low)]
+        if n <= capacity:
+            out.append(node)
+        elif depth == FOLDER_BITS:
+            out.extend(halves(node, n, capacity))
+        else:
+            visit(2 * node, depth + 1)
+            visit(2 * node + 1, depth + 1)
+
+    visit(1, 0)
+    return out
+
+
+def halves(node: int, keys: int, capacity: int) -> list[int]:
+    """The nodes below ``node`` that hold about ``capacity`` keys each."""
+    more = min(DEEPEST - node.bit_length() + 1, (-(-keys // capacity) - 1).bit_length())
+    return [(node << more) + k for k in range(1 << more)]
+
+
+def digests_above(leaves: dict[int, list]) -> dict[int, str]:
+    """Digest of every node, from those of the leaves."""
+    by_depth: dict[int, dict[int, str]] = defaultdict(dict)
+    for n, d in leaves.items():
+        by_depth[n.bit_length()][n] = repr(list(d))
+    for bits in range(max(by_depth, default=1), 1, -1):
+        kids: dict[int, list] = defaultdict(list)
+        for n in sorted(by_depth[bits]):
+            kids[n >> 1].append((n, by_depth[bits][n]))
+        for parent, own in kids.items():
+            by_depth[bits - 1][parent] = hashlib.sha256(repr(own).encode()).hexdigest()
+    return {n: d for level in by_depth.values() for n, d in level.items()}
+
+
+def descend(before: dict[int, str], now: dict[int, str], leaves: set[int]) -> list[int]:
+    """Those of ``leaves`` whose digests differ, found from the root down; equal subtrees are not entered."""
+    found, front = [], [1]
+    while front:
+        front = [n for n in front if n in now and now[n] != before.get(n)]
+        found += [n for n in front if n in leaves]
+        front = [k for n in front for k in (2 * n, 2 * n + 1)]
+    return found
 
 
 class Store:
     """A folder of committed versions."""
 
-    def __init__(self, spark: SparkSession, path: str, version: list[str], ident: str):
-        self.spark, self.path, self.version, self.ident = spark, path.rstrip("/"), version, ident
+    def __init__(self, spark: SparkSession, path: str, version: list[str], ident: str, capacity: int = CAPACITY):
+        self.spark, self.path, self.version, self.ident, self.capacity = spark, path.rstrip("/"), version, ident, capacity
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.read_keys = 0
+        """Saved keys that the last run read; they lie in the ranges it touched."""
 
-    def commits(self) -> dict[int, str]:
-        """Version number -> run, of the versions whose marker was written."""
-        root = self._fs_path(self.path)
-        out = {}
-        if self._fs.exists(root):
-            for s in self._fs.listStatus(root):
-                marker = self._fs_path(s.getPath(), "_COMMITTED")
-                if s.getPath().getName().startswith("v") and self._fs.exists(marker):
-                    stream = self._fs.open(marker)
-                    out[int(s.getPath().getName()[1:])] = json.loads(bytes(stream.readAllBytes()).decode())["run"]
-                    stream.close()
-        return out
-
-    def folder(self, v: int) -> str:
-        return f"{self.path}/v{v:08d}"
+    def commits(self) -> dict[int, dict]:
+        """Version number -> run and folder, of the versions whose marker was written."""
+        root = self._fs_path(f"{self.path}/commits")
+        if not self._fs.exists(root):
+            return {}
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
+        return {int(n): json.loads(self._get(f"{self.path}/commits/{n}")) for n in sorted(names) if n.isdigit()}
 
     def process(self, run: str, rows: DataFrame) -> DataFrame:
-        """New or changed records of ``rows`` (key, *version, ident; one a key) since the last committed run that saw them.
+        """New or changed records of ``rows`` (key, *version, ident; one a key; read several times, so best a stored table) since
+        the last committed run that saw them.
 
         A run that is committed already is not processed again: its stored output comes back."""
         done = self.commits()
-        for v, r in done.items():
-            if r == run:
-                return self.spark.read.parquet(f"{self.folder(v)}/output")
+        for c in done.values():
+            if c["run"] == run:
+                return self._output(f"{self.path}/{c['home']}")
         last = max(done, default=0)
-        home = self.folder(last + 1)
-        self._fs.delete(self._fs_path(home), True)
-        saved = self.spark.read.parquet(f"{self.folder(last)}/state") if last else None
-        self._merge(saved, rows).write.parquet(f"{home}/state")
-        state = self.spark.read.parquet(f"{home}/state")
-        now = self._tree(state)
-        self._put(f"{home}/tree.json", json.dumps([[*k, *v] for k, v in now.items()]))
-        before = self._nodes(self.folder(last)) if last else {}
-        changed = descend(before, now)
-        self._changes(state, changed).write.parquet(f"{home}/output")
-        self._put(f"{home}/_COMMITTED", json.dumps({"run": run}))
-        return self.spark.read.parquet(f"{home}/output")
+        name = f"v{last + 1:08d}-{uuid.uuid4().hex[:12]}"
+        home = f"{self.path}/{name}"
+        tree = json.loads(self._get(f"{self.path}/{done[last]['home']}/tree.json")) if last else {"cover": [], "leaves": []}
+        leaves = {n: v for n, *v in tree["leaves"]}  # leaf -> digest, keys, folder of its file
+        cover, leaves = self._run(home, name, rows, tree["cover"], leaves)
+        self._put(f"{home}/tree.json", json.dumps({"cover": cover, "leaves": [[n, *v] for n, v in leaves.items()]}))
+        self._put(f"{self.path}/commits/{last + 1:08d}", json.dumps({"run": run, "home": name}))
+        return self._output(home)
 
-    def _merge(self, saved: DataFrame | None, rows: DataFrame) -> DataFrame:
-        """Saved state overlaid with the run's; a key's saved values stay beside the new ones, so no second join is needed."""
-        cols = ["leaf", "key", *self.version, self.ident]
-        mine = rows.select(leaf(F.col("key")).alias("leaf"), "key", *self.version, self.ident).withColumn("seen", F.lit(True))
-        both = mine if saved is None else mine.unionByName(saved.select(*cols).withColumn("seen", F.lit(False)))
-        both = both.repartition("leaf")
-        values = F.struct(*self.version, self.ident)
-        merged = both.groupBy("leaf", "key").agg(F.max_by(values, "seen").alias("_now"), F.max("seen").alias("seen"), F.max(F.when(~F.col("seen"), values)).alias("_old"))
-        out = merged.select("leaf", "key", *[F.col(f"_now.{c}").alias(c) for c in (*self.version, self.ident)], "seen", F.col("_old").isNull().alias("is_new"), *[F.col(f"_old.{c}").alias(f"old_{c}") for c in self.version])
-        return out.sortWithinPartitions("leaf")
+    def _run(self, home: str, name: str, rows: DataFrame, cover: list[int], leaves: dict[int, list]) -> tuple[list[int], dict[int, list]]:
+        at = rows.select(place(F.col("key")).alias("_at"), "key", *self.version, self.ident)
+        if not cover:
+            groups = at.groupBy(F.shiftrightunsigned("_at", 63 - FOLDER_BITS).cast("int").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+            counts = {r["g"]: r["n"] for r in groups.collect()}  # 2**FOLDER_BITS rows at most
+            cover = ranges(counts, self._size(sum(counts.values())))
+        leafed = self._leafed(at, cover)
+        mine = {r["leaf"]: self._digest_of(r) for r in leafed.groupBy("leaf").agg(*self._digest()).collect()}  # one row a range
+        touched = descend(digests_above({n: v[0] for n, v in leaves.items()}), digests_above(mine), set(mine))
+        old = [n for n in touched if n in leaves]
+        self.read_keys = sum(leaves[n][1] for n in old)
+        both = self._touched(leafed, touched, old, leaves)
+        both.write.parquet(f"{home}/touched")
+        both = self.spark.read.schema(both.schema).parquet(f"{home}/touched")
+        both.filter("changed").select("key", *self.version, self.ident).write.parquet(f"{home}/output")
+        after = {r["leaf"]: r["n"] for r in both.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("changed").alias("c")).filter("c").collect()}
+        leaves = {n: v for n, v in leaves.items() if n not in after}
+        if after:
+            size = self._size(sum(after.values()) + sum(v[1] for v in leaves.values()))
+            into = {n: halves(n, k, size) if k > 2 * size else [n] for n, k in after.items()}
+            cover = [m for n in cover for m in into.get(n, [n])]
+            state = both.join(F.broadcast(self._nodes(after)), "leaf").select("_at", "key", *self.version, self.ident)
+            state = self._leafed(state, cover)
+            state.repartition("leaf").sortWithinPartitions("leaf").write.partitionBy("leaf").parquet(f"{home}/state")
+            for r in self._state(home, state.schema).groupBy("leaf").agg(*self._digest()).collect():
+                leaves[r["leaf"]] = [self._digest_of(r), r["n"], name]
+        self._fs.delete(self._fs_path(f"{home}/touched"), True)
+        return cover, leaves
 
-    def _tree(self, state: DataFrame) -> dict[tuple[int, int], list]:
-        """(level, node) -> digest. Leaves are digested in the cluster; they, and so the tree, are bounded in number."""
+    def _size(self, keys: int) -> int:
+        return max(self.capacity, keys // MOST_RANGES)
+
+    def _digest(self) -> list[Column]:
         content = [F.col("key"), *[x for c in self.version for x in (F.col(c), F.col(c).isNull())]]
-        digest = [F.bit_xor(F.xxhash64(*content)), F.bit_xor(F.xxhash64(F.lit("b"), *content)), F.count(F.lit(1))]
-        nodes = {r[0]: [str(r[1]), str(r[2]), r[3]] for r in state.groupBy("leaf").agg(*digest).collect()}
-        tree = {(LEVELS, n): d for n, d in nodes.items()}
-        for k in range(LEVELS - 1, -1, -1):
-            kids: dict[int, list] = {}
-            for n in sorted(nodes):
-                kids.setdefault(n >> FANOUT_BITS, []).append((n, nodes[n]))
-            nodes = {n: [hashlib.sha256(repr(x).encode()).hexdigest(), "", sum(d[2] for _, d in x)] for n, x in kids.items()}
-            tree |= {(k, n): d for n, d in nodes.items()}
-        return tree
-
-    def _nodes(self, home: str) -> dict[tuple[int, int], list]:
-        stream = self._fs.open(self._fs_path(f"{home}/tree.json"))
+        return [F.bit_xor(F.xxhash64(*content)).alias("a"), F.bit_xor(F.xxhash64(F.lit("b"), *content)).alias("b"), F.count(F.lit(1)).alias("n")]
+
+    @staticmethod
+    def _digest_of(r) -> list:
+        return [str(r["a"]), str(r["b"]), r["n"]]
+
+    def _nodes(self, nodes) -> DataFrame:
+        return self.spark.createDataFrame([(n,) for n in nodes], "leaf long")
+
+    def _leafed(self, at: DataFrame, cover: list[int]) -> DataFrame:
+        """The rows with the leaf they lie in. What is broadcast are the leaves of each group: no more in all than there are
+        leaves and groups."""
+        of: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        bits = min(FOLDER_BITS, max(cover).bit_length() - 1)
+        for n in sorted(cover, key=bottom):
+            g = bottom(n) >> (63 - bits)
+            for k in range(g, g + (1 << max(0, bits - n.bit_length() + 1))):
+                of[k].append((bottom(n), n))
+        if len(cover) == 1:
+            return at.withColumn("leaf", F.lit(cover[0]).cast("long"))
+        table_of = self.spark.createDataFrame(list(of.items()), "_g int, _in array<struct<low: long, node: long>>")
+        rows = at.withColumn("_g", F.shiftrightunsigned("_at", 63 - bits).cast("int")).join(F.broadcast(table_of), "_g")
+        leaf = F.element_at(F.filter("_in", lambda x: x["low"] <= F.col("_at")), -1)["node"]
+        return rows.withColumn("leaf", leaf).drop("_g", "_in")
+
+    def _state(self, home: str, schema: StructType, of: list[int] | None = None) -> DataFrame:
+        """Saved keys of a version, of the leaves ``of`` only, whose files alone are opened."""
+        base = f"{home}/state"
+        kinds = StructType([f for f in schema.fields if f.name != "leaf"] + [schema["leaf"]])
+        return self.spark.read.schema(kinds).option("basePath", base).parquet(*([base] if of is None else [f"{base}/leaf={n}" for n in of]))
+
+    def _touched(self, leafed: DataFrame, touched: list[int], old: list[int], leaves: dict[int, list]) -> DataFrame:
+        """The keys of the touched ranges: the run's over the saved, and whether they are new or changed."""
+        cols = ["leaf", "_at", "key", *self.version, self.ident]
+        rows = leafed.join(F.broadcast(self._nodes(touched)), "leaf").select(*cols, F.lit(True).alias("seen"))
+        homes = defaultdict(list)
+        for n in old:
+            homes[leaves[n][2]].append(n)
+        for home, of in homes.items():
+            rows = rows.unionByName(self._state(f"{self.path}/{home}", leafed.select(*cols).schema, of).select(*cols, F.lit(False).alias("seen")))
+        values = F.struct(*self.version, self.ident)
+        both = rows.groupBy("leaf", "_at", "key").agg(F.max_by(values, "seen").alias("_now"), F.max("seen").alias("seen"), F.max(F.when(~F.col("seen"), values)).alias("_old"))
+        same = reduce(lambda x, y: x & y, [F.col(f"_now.{c}").eqNullSafe(F.col(f"_old.{c}")) for c in self.version])
+        changed = F.col("seen") & (F.col("_old").isNull() | ~same)
+        return both.select("leaf", "_at", "key", *[F.col(f"_now.{c}").alias(c) for c in (*self.version, self.ident)], changed.alias("changed"))
+
+    def _output(self, home: str) -> DataFrame:
+        return self.spark.read.parquet(f"{home}/output")
+
+    def _get(self, path: str) -> str:
+        stream = self._fs.open(self._fs_path(path))
         text = bytes(stream.readAllBytes()).decode()
         stream.close()
-        return {(x[0], x[1]): x[2:] for x in json.loads(text)}
+        return text
 
     def _put(self, path: str, text: str) -> None:
+        """A file that must not be there yet."""
         out = self._fs.create(self._fs_path(path), False)
         out.write(bytearray(text.encode()))
         out.close()
 
-    def _changes(self, state: DataFrame, leaves: list[int]) -> DataFrame:
-        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in self.version])
-        hit = state.filter("seen").filter(F.col("is_new") | ~same).select("leaf", "key", *self.version, self.ident)
-        if len(leaves) == 1 << LEAF_BITS:
-            return hit
-        wanted = self.spark.createDataFrame([(x,) for x in leaves], "leaf int")  # no more rows than leaves
-        return hit.join(F.broadcast(wanted), "leaf", "left_semi")
-
-
-def descend(before: dict, now: dict) -> list[int]:
-    """Leaves whose digests differ, found from the root down; equal subtrees are not entered."""
-    front = [0] if now.get((0, 0)) != before.get((0, 0)) else []
-    for level in range(1, LEVELS + 1):
-        kids = [(n << FANOUT_BITS) + k for n in front for k in range(1 << FANOUT_BITS)]
-        front = [n for n in kids if now.get((level, n)) != before.get((level, n))]
-    return front
-
 
-def changed_scans(scans: DataFrame, runs: DataFrame, store_path: str) -> DataFrame:
-    """``scan_id`` of the files that each succeeded run of ``runs`` finds new or changed, run by run through one store."""
+def changed_scans(scans: DataFrame, runs: DataFrame, store_path: str, capacity: int = CAPACITY) -> DataFrame:
+    """``scan_id`` of the files that each succeeded run of ``runs`` finds new or changed, run by run through one store. The
+    scans are read once: the states of all runs are made together and laid down by run."""
     spark = scans.sparkSession
     version = ["size_bytes", "modified_time_secs"]
-    store = Store(spark, store_path, version, "scan_id")
-    outputs = []
-    done = runs.filter("run_status = 'succeeded' and run_id is not null").orderBy("run_id").collect()
-    for r in done:  # runs follow each other by nature; a run's records are processed in the cluster
-        rows = scans.filter((F.col("run_id") == r["run_id"]) & F.col("source_path").isNotNull() & F.col("scanned_at").isNotNull())
-        if r["finished_at"] is not None:
-            rows = rows.filter(F.col("scanned_at") <= F.lit(r["finished_at"]))
-        state = run_state(rows.select("source_path", *version, "scanned_at", "scan_id"), "source_path", version, [F.col("scanned_at")], "scan_id")
-        outputs.append(store.process(str(r["run_id"]), state))
-    if not outputs:
+    store = Store(spark, store_path, version, "scan_id", capacity)
+    good = runs.filter("run_status = 'succeeded' and run_id is not null").select(F.col("run_id").alias("_run"), "finished_at")
+    done = [r["_run"] for r in good.select("_run").distinct().orderBy("_run").collect()]  # one row a run, as runs follow each other
+    if not done:
         return spark.createDataFrame([], StructType([scans.schema["scan_id"]]))
+    rows = scans.select("run_id", "source_path", *version, "scanned_at", "scan_id").filter("source_path is not null and scanned_at is not null")
+    rows = rows.join(F.broadcast(good), F.col("run_id") == F.col("_run")).filter("finished_at is null or scanned_at <= finished_at")
+    states = run_state(rows, "source_path", version, [F.col("scanned_at")], "scan_id", ["run_id"])
+    states.write.partitionBy("run_id").parquet(f"{store.path}/incoming")
+    states = spark.read.schema(StructType([*[states.schema[c] for c in states.columns[1:]], states.schema["run_id"]])).parquet(f"{store.path}/incoming")
+    outputs = [store.process(str(r), states.filter(F.col("run_id") == r).drop("run_id")) for r in done]
     return reduce(DataFrame.unionByName, outputs).select("scan_id")
 
 
