@@ -75,21 +75,22 @@ def test_garble_round_trip(true):
 MARKED = [
     "<p class='x'>A</p>", "a &amp; b", "# Title\ntext", "* **bold**", "```python\nx\n```", "[a](http://x.invalid)", "text[^1]\n\n[^1]: note", "== Head ==", "see [[Town|a town]]", "{{Infobox\n| a = 1\n}}", "{| class=\"w\"\n|-\n| a || 2\n|}",
     "''it''", "\\section{A}", "We write $x^2 + y$ here", "\\[ x \\leq 2 \\]", "\\begin{equation}\nx\n\\end{equation}", "| a | n |\n|:---|---:|\n| b | 1 |", "> quoted words", "run `total()` now",
+    "Title\n=====", "a\n<!-- over\ntwo lines -->", "$$\nx^2\n$$", "in \\mathbb{R} we", "\\textcolor{red}{word}", "[a]: http://x.invalid/y", "<svg><path d='M0'/></svg>", "= Head =", "a {\\it red} day",
 ]
 PLAIN = [
     "A & B kept it; 5 * 4 = 20 pages.", "C:\\scans\\Town\\1823.", "was < 21 in spring and > 68 in autumn", "$ 38 and the next $ 52 at", "scan_45_final_v8.txt", "(a/b) ~ 2 % held [...]", "Item #33 [sic] from box 28 [3].",
-    "The tally* is old.\n\n*) See box 12.", "-- A, in a letter", "1. one\n2. two", "• a\n• b", "Title\n=====", "|\\.*\\_*_..^=#*^=#*~-=", "a  12  3\nb  4  5", "", "~ ·", "(cid:12)",
+    "The tally* is old.\n\n*) See box 12.", "-- A, in a letter", "1. one\n2. two", "• a\n• b", "def __init__(self):", "|\\.*\\_*_..^=#*^=#*~-=", "a  12  3\nb  4  5", "", "~ ·", "(cid:12)",
 ]
 
 
 @pytest.mark.parametrize("text", MARKED)
 def test_markup(text):
-    assert markup.streams(text)
+    assert markup.own_marks(text)
 
 
 @pytest.mark.parametrize("text", PLAIN)
 def test_no_markup(text):
-    assert not markup.streams(text)
+    assert not markup.own_marks(text)
 
 
 def test_wrappers():
@@ -114,6 +115,16 @@ def test_affected(spark):
     assert markup.affected(df.filter("false"), ["id"], "path", "text").count() == 0
 
 
+def test_wrappers_judge_signs(spark, monkeypatch):
+    rows = [(k, f"/a/b/{k % 3}/f", f"The town has *old {w}* and `{w} house` by the {w}.") for k, w in enumerate(["mill", "river", "garden", "stone", "bridge", "tower"])]
+    rows += [(100 + k, f"/a/b/{k % 3}/g", f"The call {w} of __init__ comes first.") for k, w in enumerate(["one", "two", "three", "four", "five"])] + [(200, "/a/b/0/h", "a <b>c</b>")]
+    df = spark.createDataFrame(rows, "id long, path string, text string")
+    ids = lambda: sorted(r["id"] for r in markup.affected(df, ["id"], "path", "text").collect())
+    assert ids() == [*range(6), 200]
+    monkeypatch.setattr(markup, "wrappers", lambda found: found.select("host", "stream").distinct().withColumn("kinds", F.when(F.col("stream").contains("<"), "html").otherwise("")))
+    assert ids() == [200]  # without wrappers only names that nothing but markup has are left
+
+
 def test_wrappers_decide(spark):
     rows = [(1, "/a/b/c/f", "<entry>A town</entry>"), (2, "/a/b/c/g", "<entry>cut off"), (3, "/a/b/d/f", "<entry>cut off"), (4, "/a/b/e/f", "\\emph{a} \\place{b}"), (5, "/a/b/f/f", "in C:\\dir{1} now"), (6, "/a/b/f/f", None), (None, "/a/b/f/f", "a &amp; b")]
     df = spark.createDataFrame(rows, "id long, path string, text string")
