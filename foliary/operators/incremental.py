@@ -155,25 +155,30 @@ class Store:
             counts = {r["g"]: r["n"] for r in groups.collect()}  # 2**FOLDER_BITS rows at most
             cover = ranges(counts, self._size(sum(counts.values())))
         leafed = self._leafed(at, cover)
-        mine = {r["leaf"]: self._digest_of(r) for r in leafed.groupBy("leaf").agg(*self._digest()).collect()}  # one row a range
-        touched = descend(digests_above({n: v[0] for n, v in leaves.items()}), digests_above(mine), set(mine))
+        touched = cover
+        if leaves:
+            mine = {r["leaf"]: self._digest_of(r) for r in leafed.groupBy("leaf").agg(*self._digest()).collect()}  # one row a range
+            touched = descend(digests_above({n: v[0] for n, v in leaves.items()}), digests_above(mine), set(mine))
         old = [n for n in touched if n in leaves]
         self.read_keys = sum(leaves[n][1] for n in old)
         both = self._touched(leafed, touched, old, leaves)
         both.write.parquet(f"{home}/touched")
         both = self.spark.read.schema(both.schema).parquet(f"{home}/touched")
         both.filter("changed").select("key", *self.version, self.ident).write.parquet(f"{home}/output")
-        after = {r["leaf"]: r["n"] for r in both.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("changed").alias("c")).filter("c").collect()}
+        after = {r["leaf"]: r for r in both.groupBy("leaf").agg(*self._digest(), F.max("changed").alias("c")).filter("c").collect()}
         leaves = {n: v for n, v in leaves.items() if n not in after}
         if after:
-            size = self._size(sum(after.values()) + sum(v[1] for v in leaves.values()))
-            into = {n: halves(n, k, size) if k > 2 * size else [n] for n, k in after.items()}
+            size = self._size(sum(r["n"] for r in after.values()) + sum(v[1] for v in leaves.values()))
+            into = {n: halves(n, r["n"], size) if r["n"] > 2 * size else [n] for n, r in after.items()}
+            leaves |= {n: [self._digest_of(r), r["n"], name] for n, r in after.items() if into[n] == [n]}
             cover = [m for n in cover for m in into.get(n, [n])]
-            state = both.join(F.broadcast(self._nodes(after)), "leaf").select("_at", "key", *self.version, self.ident)
-            state = self._leafed(state, cover)
-            state.repartition("leaf").sortWithinPartitions("leaf").write.partitionBy("leaf").parquet(f"{home}/state")
-            for r in self._state(home, state.schema).groupBy("leaf").agg(*self._digest()).collect():
-                leaves[r["leaf"]] = [self._digest_of(r), r["n"], name]
+            state = both.join(F.broadcast(self._nodes(after)), "leaf").select("leaf", "_at", "key", *self.version, self.ident)
+            halved = [m for n in after if into[n] != [n] for m in into[n]]
+            state = self._leafed(state.drop("leaf"), cover) if halved else state
+            state.repartition("leaf").write.partitionBy("leaf").parquet(f"{home}/state")
+            if halved:
+                new = self._state(home, state.schema).join(F.broadcast(self._nodes(halved)), "leaf")
+                leaves |= {r["leaf"]: [self._digest_of(r), r["n"], name] for r in new.groupBy("leaf").agg(*self._digest()).collect()}
         self._fs.delete(self._fs_path(f"{home}/touched"), True)
         return cover, leaves
 
