@@ -66,7 +66,8 @@ def p3_wrappers(spark: SparkSession, sf: str) -> DataFrame:
 def _stats(ce: DataFrame, ac: DataFrame) -> DataFrame:
     ce = ce.select(F.lit("cache_entry").alias("tbl"), F.col("entry_id").alias("record_id"), F.col("extracted_text").alias("_text"))
     ac = ac.select(F.lit("artifact_candidate").alias("tbl"), F.col("candidate_no").alias("record_id"), F.col("display_text").alias("_text"))
-    return textstats.statistics(ce, ["tbl", "record_id"], "_text").unionByName(textstats.statistics(ac, ["tbl", "record_id"], "_text", single=True))
+    judge = textstats.fit(ce, ac)
+    return textstats.statistics(ce, ["tbl", "record_id"], "_text", judge).unionByName(textstats.statistics(ac, ["tbl", "record_id"], "_text", judge, single=True))
 
 
 def p4_stats(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """Problem 4: statistics of each text, and from them what it is for the greater part: prose, a list, a table or junk.
 
-Tables and lists show in delimiters that stand in the same number (and, padded with spaces, in the same column) on line
-after line, in indents and markers that come back with a period, and in line lengths that go together with those some
-lines on; words, signs and closing punctuation decide the rest.
+A text's features are how its lines go together (delimiters, figures, markers and gaps that stand alike or in the same column
+on line after line; indents that come back with a period; the autocorrelation and spread of line lengths) and the ratios of
+its words, common words, signs, figures, stops and closing punctuation. Common words are those that most texts of the corpus
+have. A random forest over the features gives the class. It is trained here, on at most SAMPLE texts of each kind (smallest
+hash): the lines of a text are judged one by one by plain rules, texts on which nearly all characters agree are its examples,
+and so are the same texts rewritten (in small letters, first words only, padded columns, indents, other widths), so that the
+forest must go by how lines stand to each other rather than by capitals. All texts, also the examples, get their class from the forest.
 
 Null texts have null statistics and no class; empty and blank ones the class ``empty``. Texts are read whole.
 """
@@ -11,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
@@ -19,7 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Frequent words that carry no subject, of the languages of the corpus.
+from foliary.llm import forest
+
+# Frequent words that carry no subject, for rules on single lines.
 COMMON = set(
     "the a an of and in to this that each at with for by but so when while after because as from was were is are be had have not it its on or near past they we who "
     "der die das und von bei nahe aus mit auf dem den ein eine als aber weil für im am nach vor zu ist war nicht sich zwei "
@@ -35,7 +42,7 @@ _MARK = regex.compile(r"^\s*(?:[•▪‣·◦*–—□■+-]\s+|\(?(?:\d{1,3}|
 _INLINE_MARK = regex.compile(r"(?:^|\s)\(?(?:\d{1,3}|[a-z])\)\s+(?=\S)")
 _LEADER = regex.compile(r"(?:\.\s?){4,}\s*\d+\s*$|\s\.{3,}\s*\d+\s*$")
 _END = regex.compile(r"[.!?…:;。！？][\"'”’»)\]]*\s*(?:<[^>]*>\s*)*$")
-_STOP = regex.compile(r"(?<=[\p{Ll}\p{N})”’\"»])[.!?…](?=\s|$|[\"”’»<])|[。！？]")
+_STOP = regex.compile(r"(?<=[\p{Ll}\p{Lo}\p{N})”’\"»])[.!?…](?=\s|$|[\"”’»<])|[。！？]")
 _CID = regex.compile(r"\(cid:\d+\)")
 _KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
 _CODED = regex.compile(r"[a-z][A-Z0-9]|[A-Z][0-9]|\d[A-Za-z]")
@@ -46,11 +53,17 @@ _DELIMS = ("\t", ";", "|", ",")
 _GAP = regex.compile(r"\S(?: {2,}|\t)(?=\S)")
 _TAG = regex.compile(r"</?[A-Za-z!][^<>\n]{0,200}>|&#?\w{2,8};|\\[a-zA-Z]+\*?(?:\{[^{}\n]*\})?|\{\{[^{}]*\}\}|\[\[|\]\]")
 
-FIELDS = {
-    "chars": "int", "words": "int", "lines": "int", "mean_word": "double", "symbol_ratio": "double", "digit_ratio": "double", "ends_punctuated": "double", "common_ratio": "double",
-    "stops_per_word": "double", "delimiter_alignment": "double", "indent_period": "double", "length_autocorrelation": "double", "marker_ratio": "double",
-    "list_share": "double", "table_share": "double", "junk_share": "double", "text_class": "string",
-}
+FEATURES = [
+    "lines", "words", "mean_word", "words_per_line", "longest_line", "symbol_ratio", "digit_ratio", "letter_ratio", "ends_punctuated", "common_ratio", "stops_per_word", "separators_per_word", "numbers_per_token", "inline_markers",
+    "delimiter_alignment", "gap_alignment", "figure_alignment", "marker_alignment", "leader_share", "indent_period", "length_autocorrelation", "length_spread", "fresh_share", "glyph_codes", "vowelless", "longest_token", "kana", "single",
+]
+FIELDS = {"chars": "int", **dict.fromkeys(FEATURES, "double"), "text_class": "string"}
+ALONE = ["lines", "words", "words_per_line", "longest_line", "separators_per_word", "numbers_per_token", "inline_markers", "fresh_share"]
+"""Features that stand in for those of several lines where there is one line only; the forest does not see them for texts of more."""
+SAMPLE = 1500
+"""Texts of each kind (whole texts, single lines) that the forest learns from, at most; those with the smallest hash."""
+COMMON_WORDS = 300
+"""How many words count as common: those that most texts have. More words than this carry a subject."""
 
 
 def alignment(lines: list[str]) -> float:
@@ -138,46 +151,157 @@ def table_line(s: str, ws: list[str]) -> bool:
     return nums >= 3 and nums >= 0.3 * (nums + words) and not _STOP.search(s) and len({"mean", "sd", "n", "min", "max", "median", "total"} & {w.lower() for w in ws}) >= 3
 
 
-def measure(text: str, single: bool = False) -> tuple:
-    """The statistics in the order of FIELDS. ``single``: the text is one line (or two) out of a document."""
+_PLAIN_SIGNS = frozenset(".,;:!?'\"()-–—’‘“”«»…%/")
+
+
+def features(text: str, common: frozenset[str] | set[str], single: bool = False) -> list[float]:
+    """The numbers of FEATURES. ``single``: the text is one line (or two) out of a document."""
     plain = _TAG.sub(" ", text.replace("\r\n", "\n").replace("\r", "\n"))
     lines = [x for x in plain.split("\n") if x.strip()]
     body = "".join(plain.split())
+    if not body:
+        return [0.0] * (len(FEATURES) - 1) + [float(single)]
     found = [_WORD.findall(x) for x in lines]
     words = [w for ws in found for w in ws]
-    n, total = len(words), max(1, len(body))
-    if not body:
-        return (len(text), 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, "empty")
-    symbols = (total - sum(map(str.isalnum, body))) / total
-    digits = sum(map(str.isdigit, body)) / total
-    common = sum(w.lower() in COMMON for w in words) / max(1, n)
-    stops = len(_STOP.findall(plain))
-    ends = sum(bool(_END.search(x)) for x in lines) / len(lines)
-    align, ind = alignment(lines), period([len(x) - len(x.lstrip()) for x in lines])
-    auto = autocorrelation([len(x.strip()) for x in lines])
-    marked = [bool(_MARK.match(x)) for x in lines]
-    weight = {"list": 0, "table": 0, "junk": 0, "prose": 0, "head": 0}
-    kinds = [line_kind(x, m, single, ws) for x, m, ws in zip(lines, marked, found, strict=True)]
+    n, total = len(words), len(body)
+    nums = [len(_NUM.findall(x)) if _DIGIT.search(x) else 0 for x in lines]
+    size = [len("".join(x.split())) for x in lines]
+    marked = sum(k for x, k in zip(lines, size, strict=True) if _MARK.match(x))
+    leaders = sum(k for x, k in zip(lines, size, strict=True) if x.rstrip()[-1:].isdigit() and _LEADER.search(x))
+    pairs = list(pairwise(range(len(lines))))
+    gaps = [{m.end() for m in _GAP.finditer(x)} for x in lines] if any("  " in x or "\t" in x for x in lines) else [set()] * len(lines)
+    share = lambda hit: sum(map(hit, pairs)) / len(pairs) if pairs else 0.0
+    cells = max(share(lambda ab, d=d: lines[ab[0]].count(d) == lines[ab[1]].count(d) > 0) for d in "\t;|")
+    cells = max(cells, share(lambda ab: min(lines[k].count(";") + lines[k].count(",") for k in ab) > 2)) if ";" in plain else cells
+    lengths = [len(x.strip()) for x in lines]
+    inner = lengths[:-1] if len(lengths) > 2 else lengths
+    odd = total - sum(map(str.isalnum, body)) - sum(c in _PLAIN_SIGNS for c in body)
+    codes = sum(map(len, _CID.findall(body))) if "(cid:" in body else 0
+    ascii_words = [w for w in words if w.isascii()]
+    bare = sum(len(w) for w in ascii_words if not _VOWEL.search(w))
+    long = max((len(t) for t in plain.split() if "://" not in t), default=0)
+    kana = 0 if body.isascii() else len(_KANA.findall(body))
+    return [
+        float(min(50, len(lines))), float(min(2000, n)), sum(map(len, words)) / max(1, n), n / len(lines), float(max(map(len, found))), odd / total, sum(map(str.isdigit, body)) / total, sum(map(str.isalpha, body)) / total,
+        sum(bool(_END.search(x)) for x in lines) / len(lines), sum(w.lower() in common for w in words) / max(1, n), len(_STOP.findall(plain)) / max(1, n), (plain.count(";") + plain.count(",")) / max(1, n), sum(nums) / max(1, n + sum(nums)),
+        (len(_INLINE_MARK.findall(plain)) if ")" in plain else 0) / max(1, n), cells, share(lambda ab: bool(gaps[ab[0]] & gaps[ab[1]]) or len(gaps[ab[0]]) == len(gaps[ab[1]]) > 0), share(lambda ab: nums[ab[0]] > 1 and nums[ab[0]] == nums[ab[1]]),
+        marked / total, leaders / total, period([len(x) - len(x.lstrip()) for x in lines]), autocorrelation(lengths), float(np.std(inner) / max(1.0, float(np.mean(inner)))), sum(not x.strip()[0].islower() for x in lines) / len(lines),
+        (codes + body.count("\ufffd")) / total, bare / max(1, sum(map(len, words))), float(min(100, long)), kana / total, float(single),
+    ]
+
+
+def by_lines(text: str, single: bool = False) -> tuple[str, float]:
+    """The class of a text by rules on its single lines, and the share of its characters that agree with the decision."""
+    plain = _TAG.sub(" ", text.replace("\r\n", "\n").replace("\r", "\n"))
+    lines = [x for x in plain.split("\n") if x.strip()]
+    if not lines:
+        return "empty", 1.0
+    found = [_WORD.findall(x) for x in lines]
+    kinds = [line_kind(x, bool(_MARK.match(x)), single, ws) for x, ws in zip(lines, found, strict=True)]
     kinds = name_runs(lines, kinds) if not single else kinds
-    if align >= 0.6 and len(lines) >= 3:
+    if len(lines) >= 3 and alignment(lines) >= 0.6:
         rows = [k for k, x in enumerate(lines) if kinds[k] != "junk" and not _STOP.search(x) and any(d in x for d in "\t;|")]
         for k in rows if len(rows) >= 0.5 * len(lines) else []:
             kinds[k] = "table"
-    rows = [k for k in padded_columns(lines) if kinds[k] != "junk" and not _STOP.search(lines[k])] if len(lines) >= 3 else []
-    for k in rows if len(rows) >= 0.6 * len(lines) and align >= 0.6 else []:
-        kinds[k] = "table"
-    # entries without markers: indents or lengths of short lines come back with a period, and neither sentences nor many common words stand there
-    if len(lines) >= 6 and stops <= 0.01 * n and common < 0.3 and symbols < 0.2 and digits < 0.3 and (ind >= 0.8 or 0.6 <= auto < 1):
-        for k, (x, ws) in enumerate(zip(lines, found, strict=True)):
-            if kinds[k] in ("head", "prose") and 1 <= len(ws) <= 8 and not _KANA.search(x):
-                kinds[k] = "list"
+    weight = {"list": 0, "table": 0, "junk": 0, "prose": 0, "head": 0}
     for k, x in zip(kinds, lines, strict=True):
         weight[k] += len("".join(x.split()))
-    shares = {k: v / total for k, v in weight.items()}
-    worst = max(("list", "table", "junk"), key=lambda k: shares[k])
-    off = shares["list"] + shares["table"] + shares["junk"]
-    cls = worst if off > 0.5 else "heading" if shares["head"] > shares["prose"] else "prose"
-    return (len(text), n, len(lines), sum(map(len, words)) / max(1, n), symbols, digits, ends, common, stops / max(1, n), align, ind, auto, sum(marked) / len(lines), shares["list"], shares["table"], shares["junk"], cls)
+    total = sum(weight.values())
+    off = weight["list"] + weight["table"] + weight["junk"]
+    cls = max(("list", "table", "junk"), key=lambda k: weight[k]) if 2 * off > total else "heading" if weight["head"] > weight["prose"] else "prose"
+    return cls, weight.get(cls, 0) / total if 2 * off > total else 1 - off / total
+
+
+def rewritten(text: str, cls: str) -> list[str]:
+    """The text as it might as well stand, of the same class."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    out = [text.lower()]
+    if len(lines) < 3:
+        return out
+    indent = lambda ls, by: "\n".join(" " * by[k % len(by)] + x for k, x in enumerate(ls))
+    if cls == "list":
+        bare = [_MARK.sub("", x).strip() or x for x in lines]
+        out += ["\n".join(bare).lower(), "\n".join(x.split()[-1].strip("()") for x in bare), "\n".join(x.split()[-1].strip("()") for x in bare[:5]).lower(), indent(bare, (0, 4)).lower(), indent(bare, (2,))]
+    elif cls == "table":
+        cells = [[c for c in re.split(r"\t|;| {2,}|\s*\|\s*", x.strip().strip("|")) if c] for x in lines]
+        wide = max(len(c) for row in cells for c in row)
+        if wide <= 30:
+            padded = ["".join(c.ljust(wide + 2) for c in row).rstrip() for row in cells]
+            words = [w for w in re.findall(r"[^\W\d_]{3,}", text)] or ["item"]
+            named = ["".join((words[(7 * i + j) % len(words)] if j % 2 else c).ljust(max(wide, 14) + 2) for j, c in enumerate(row[:3])).rstrip() for i, row in enumerate(cells)]
+            out += ["\n".join(padded), "\n".join(padded).lower(), "\n".join(padded[:4]), "\n".join(named), "\n".join(named[:5]).lower(), "\n".join("".join(words[(5 * i + j) % len(words)].ljust(18) for j in range(3)).rstrip() for i in range(len(cells)))]
+    elif cls == "prose":
+        ws = text.split()
+        for width, by in ((40, (0,)), (70, (2, 4)), (55, (0,))):
+            rows, now = [], ""
+            for w in ws[:400]:
+                if now and len(now) + len(w) + 1 > width:
+                    rows.append(now)
+                    now = w
+                else:
+                    now = f"{now} {w}".strip()
+            out.append(indent([*rows, now], by) if width != 55 else indent([*rows, now], by).lower())
+    return out
+
+
+def common_words(texts: DataFrame, text: str, most: int = COMMON_WORDS) -> frozenset[str]:
+    """The ``most`` words that most texts have, counted over all of them; ties go by the word."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+(?:['’-]\p{L}+)*"), 0))
+    by = texts.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return frozenset(r["w"] for r in by.orderBy(F.desc("n"), "w").limit(most).collect())
+
+
+@dataclass
+class Judge:
+    """The common words and the forest."""
+
+    common: frozenset[str]
+    forest: forest.Forest
+
+    def classes(self, rows: list[list[float]]) -> list[str]:
+        return self.forest.predict(seen(np.array(rows))) if rows else []
+
+    def measure(self, texts: list[str], single: bool = False) -> list[tuple]:
+        """(characters, features, class) of each text, in the order of FIELDS."""
+        rows = [features(t, self.common, single) for t in texts]
+        classes = self.classes(rows)
+        return [(len(t), *r, c if t.strip() else "empty") for t, r, c in zip(texts, rows, classes, strict=True)]
+
+
+def seen(x: np.ndarray) -> np.ndarray:
+    """What the forest sees of features: no ALONE of texts of several lines."""
+    x = x.copy()
+    several = (x[:, FEATURES.index("lines")] > 1) & (x[:, FEATURES.index("single")] == 0)
+    x[np.ix_(several, [FEATURES.index(k) for k in ALONE])] = 0.0
+    return x
+
+
+SURE = 0.8
+"""Share of characters that must agree on a class for a text to be an example."""
+
+
+def train(texts: list[tuple[str, bool]], common: frozenset[str]) -> Judge:
+    """The judge from texts and whether each is a single line."""
+    x, y = [], []
+    for t, single in texts:
+        cls, share = by_lines(t, single)
+        if cls == "empty" or share < SURE:
+            continue
+        for v in [t, *(rewritten(t, cls) if not single else [])]:
+            x.append(features(v, common, single))
+            y.append(cls)
+    if not x:
+        x, y = [[0.0] * len(FEATURES)], ["prose"]
+    return Judge(common, forest.fit(seen(np.array(x)), y))
+
+
+def fit(whole: DataFrame, single: DataFrame, text: str = "_text") -> Judge:
+    """Common words from all texts, the forest from SAMPLE distinct texts of each kind."""
+    both = whole.select(text).unionByName(single.select(text)).filter(F.col(text).isNotNull())
+    common = common_words(both, text)
+    pick = lambda df: df.select(text).filter(F.trim(text) != "").distinct().orderBy(F.xxhash64(text), text).limit(SAMPLE)
+    rows = [(r[0], False) for r in pick(whole).collect()] + [(r[0], True) for r in pick(single).collect()]  # 2 * SAMPLE texts at most
+    return train(rows, common)
 
 
 def line_kind(s: str, marked: bool, single: bool, words: list[str]) -> str:
@@ -227,20 +351,19 @@ def name_runs(lines: list[str], kinds: list[str]) -> list[str]:
     return out
 
 
-def statistics(df: DataFrame, id_cols: list[str], text: str, single: bool = False) -> DataFrame:
+def statistics(df: DataFrame, id_cols: list[str], text: str, judge: Judge, single: bool = False) -> DataFrame:
     """Rows ``*id_cols`` and the FIELDS; a null text has nulls only."""
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id_cols) + ", " + ", ".join(f"{k} {v}" for k, v in FIELDS.items())
     rows = df.select(*id_cols, F.col(text).alias("_t"))
+    shared = df.sparkSession.sparkContext.broadcast(judge)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             codes, texts = pd.factorize(pdf["_t"])
-            done = [measure(t, single) for t in texts]
+            done = shared.value.measure(list(texts), single)
             none = (None,) * len(FIELDS)
             stats = pd.DataFrame([done[c] if c >= 0 else none for c in codes], columns=list(FIELDS), index=pdf.index)
-            for k in ("chars", "words", "lines"):
-                stats[k] = stats[k].astype("Int32")
+            stats["chars"] = stats["chars"].astype("Int32")
             yield pd.concat([pdf[id_cols], stats], axis=1)
 
     return rows.mapInPandas(run, schema)
-

@@ -146,36 +146,71 @@ KINDS = [
     ("The town kept the old mill. It was sold in 1933, and the river\nwent on past it without a word.", False, "prose"), ("• One\n• Two things\n• Three of them\n• Four", False, "list"), ("A house\nThe old mill\nTown (Ost)\nEach boy\nA day", False, "list"),
     ("a\t1\t2\nb\t3\t4\nc\t5\t6", False, "table"), ("12  13  14\n22  23  24", False, "table"), ("(cid:1) (cid:22) (cid:3)\n^~*#|=_", False, "junk"), ("xkcd brtv wq zzp klm trw", False, "junk"), ("", False, "empty"), (" \n ", False, "empty"),
     ("Results", True, "heading"), ("- 135 -", True, "heading"), ("211 of 342", True, "heading"), ("Chapter one ........ 12", True, "list"), ("38.18 58.02 54.32", True, "table"), ("3) A  4) Bread  5) The mill", True, "list"), ("長い冬に川のそばに町の人々は。", False, "prose"),
+    ("הספר נמצא על השולחן. הילדה קראה אותו בבוקר.\nהעיר הייתה שקטה.", False, "prose"), ("책이 탁자 위에 있다. 아이는 아침에 그것을 읽었다. 도시는 조용했다.", False, "prose"),
 ]
 
 
 @pytest.mark.parametrize(("text", "single", "want"), KINDS)
-def test_text_class(text, single, want):
-    assert textstats.measure(text, single)[-1] == want
+def test_class_by_lines(text, single, want):
+    assert textstats.by_lines(text, single)[0] == want
 
 
-PERIODIC = [
-    ("river    mill     town\nhouse    garden   window\nmorning  letter   teacher\nmarket   village  museum", "table"), ("old river\n    kept in box\nnew mill\n    kept by hand\nwest town\n    sold in spring\neast house\n    torn down", "list"),
-    ("river\nmill street near old town gate\nhouse\nlong garden row behind church wall\nmarket\nthree bridge lane under castle hill\nmuseum\nupper harbour road beyond north dock", "list"),
-    ("the river went past  the old mill\nand the  town kept the house of the\ncaptain at the market  near the\ngarden where a  letter was found", "prose"), ("  the river went past the old mill\n    and the town kept it for the\n  captain and a sister of the man\n    who was at the market when the\n  letter was found and it had no\n    name on it", "prose"),
+def corpus(n=160):
+    rng = random.Random(6)
+    nouns = "river mill town house garden window morning letter teacher captain sister market village museum number student harbour mountain kitchen meeting".split()
+    name = lambda: rng.choice(nouns).title()
+    prose = lambda: " ".join(f"The {rng.choice(nouns)} near the {rng.choice(nouns)} kept the {rng.choice(nouns)} of that {rng.choice(nouns)} and it was not on the {rng.choice(nouns)}." for _ in range(rng.randint(3, 9)))
+    out = []
+    for _ in range(n):
+        out += [(prose(), False), ("\n".join(f"{k}. {name()} of the {rng.choice(nouns)}" for k in range(1, 9)), False), ("\n".join(f"• The {name()}" for _ in range(7)), False), ("\n".join(f"{name()} {'.' * rng.randint(9, 30)} {rng.randint(1, 300)}" for _ in range(8)), False), ("\n".join(f"{name()} ({name()})" for _ in range(9)), False)]
+        out += [("\n".join("\t".join([name(), *(str(rng.randint(1, 900)) for _ in range(3))]) for _ in range(7)), False), ("\n".join("  ".join(str(rng.randint(1, 90000)) for _ in range(4)) for _ in range(8)), False), ("\n".join(" ".join(f"(cid:{rng.randint(3, 90)})" for _ in range(8)) for _ in range(4)), False)]
+        out += [("\n".join("".join(rng.choices("^~*#=|_\\/", k=24)) for _ in range(5)), False), (" ".join("".join(rng.choices("bcdfghklmnrst", k=4)) for _ in range(14)), False), (f"{name()} of the {name()}", True), (f"Page {rng.randint(1, 99)}", True), (prose().split(".")[0] + ".", True), (f"{name()}\t{rng.randint(1, 90)}\t{rng.randint(1, 90)}", True)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def judge():
+    texts = corpus()
+    return textstats.train(texts, frozenset("the near kept of that and it was not on".split()))
+
+
+COLUMNS = [
+    ("apple  3.20  kg\npear   4.10  kg\nplum   2.05  kg\nfig    9.90  kg", "table"), ("mill\nriver\nhouse\nbread\nstone", "list"), ("Anna    Harrow     baker\nPeter   Selm       smith\nMaria   Dalfen     nurse\nJon     Orvos      clerk", "table"),
+    ("- one\n- two of them\n- three\n- four", "list"),
 ]
 
 
-@pytest.mark.parametrize(("text", "want"), PERIODIC)
-def test_class_by_alignment_and_period(text, want):
-    assert textstats.measure(text)[-1] == want
+@pytest.mark.parametrize(("text", "want"), COLUMNS)
+def test_class_by_columns(judge, text, want):
+    assert judge.measure([text])[0][-1] == want
+
+
+def test_vertical_features_decide(judge):
+    texts = [t for t, single in corpus(30) if not single and "\n" in t]
+    rows = [textstats.features(t, judge.common) for t in texts]
+    off = [[0.0 if f.endswith("alignment") or f in ("leader_share", "indent_period", "length_autocorrelation", "length_spread") else v for f, v in zip(textstats.FEATURES, r, strict=True)] for r in rows]
+    want = [textstats.by_lines(t)[0] for t in texts]
+    right = lambda rs: sum(a == b for a, b in zip(judge.classes(rs), want, strict=True)) / len(want)
+    assert right(rows) > 0.98 and right(off) < 0.8
 
 
 @pytest.mark.parametrize("tail", ["(cid:12)(cid:7) " * 60, "#^*= ~|_ " * 60, "xkcd brtv wq zzp klm trw " * 20])
 def test_junk_after_words(tail):
-    assert textstats.measure("The town and the mill " + tail)[-1] == "junk"
+    assert textstats.by_lines("The town and the mill " + tail)[0] == "junk"
+
+
+def test_statistics(spark, judge):
+    df = spark.createDataFrame([(1, "One two. Three", "a"), (2, None, "b"), (3, LONG, "c"), (1, "One two. Three", "a"), (4, " \n", "d")], "id long, text string, words string")
+    got = {r["id"]: r for r in textstats.statistics(df, ["id"], "text", judge).collect()}
+    assert got[1]["words"] == 3 and got[1]["chars"] == 14 and got[2]["text_class"] is None and got[2]["words"] is None and got[3]["text_class"] == "prose" and got[4]["text_class"] == "empty"
+    assert textstats.statistics(df.filter("false"), ["id"], "text", judge).count() == 0
+    none = df.filter("false").select(F.col("text").alias("_text"))
+    assert textstats.fit(none, none).measure(["a b."])[0][-1] == "prose"
 
 
-def test_statistics(spark):
-    df = spark.createDataFrame([(1, "One two. Three", "a"), (2, None, "b"), (3, LONG, "c"), (1, "One two. Three", "a")], "id long, text string, words string")
-    got = {r["id"]: r for r in textstats.statistics(df, ["id"], "text").collect()}
-    assert got[1]["words"] == 3 and got[1]["chars"] == 14 and got[2]["text_class"] is None and got[2]["words"] is None and got[3]["text_class"] == "prose" and got[3]["words"] == 160_000
-    assert textstats.statistics(df.filter("false"), ["id"], "text").count() == 0
+def test_common_words(spark):
+    df = spark.createDataFrame([("The mill. the THE",), ("The town",), ("the mill",), (None,), ("",)], "t string")
+    assert textstats.common_words(df, "t", 2) == {"the", "mill"}
 
 
 # -- 5 -----------------------------------------------------------------------------------------------------------
