@@ -151,7 +151,8 @@ def table_line(s: str, ws: list[str]) -> bool:
     return nums >= 3 and nums >= 0.3 * (nums + words) and not _STOP.search(s) and len({"mean", "sd", "n", "min", "max", "median", "total"} & {w.lower() for w in ws}) >= 3
 
 
-_PLAIN_SIGNS = frozenset(".,;:!?'\"()-–—’‘“”«»…%/")
+_PLAIN_SIGNS = ".,;:!?'\"()-–—’‘“”«»…%/"
+_BARE = re.compile(r"(?<![^\W\d_])[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]+(?![^\W\d_])")
 
 
 def features(text: str, common: frozenset[str] | set[str], single: bool = False) -> list[float]:
@@ -164,6 +165,7 @@ def features(text: str, common: frozenset[str] | set[str], single: bool = False)
     found = [_WORD.findall(x) for x in lines]
     words = [w for ws in found for w in ws]
     n, total = len(words), len(body)
+    letters = sum(map(len, words))
     nums = [len(_NUM.findall(x)) if _DIGIT.search(x) else 0 for x in lines]
     size = [len("".join(x.split())) for x in lines]
     marked = sum(k for x, k in zip(lines, size, strict=True) if _MARK.match(x))
@@ -175,18 +177,19 @@ def features(text: str, common: frozenset[str] | set[str], single: bool = False)
     cells = max(cells, share(lambda ab: min(lines[k].count(";") + lines[k].count(",") for k in ab) > 2)) if ";" in plain else cells
     lengths = [len(x.strip()) for x in lines]
     inner = lengths[:-1] if len(lengths) > 2 else lengths
-    odd = total - sum(map(str.isalnum, body)) - sum(c in _PLAIN_SIGNS for c in body)
+    odd = total - sum(map(str.isalnum, body)) - sum(map(body.count, _PLAIN_SIGNS))
     codes = sum(map(len, _CID.findall(body))) if "(cid:" in body else 0
-    ascii_words = [w for w in words if w.isascii()]
-    bare = sum(len(w) for w in ascii_words if not _VOWEL.search(w))
+    bare = sum(map(len, _BARE.findall(plain)))
+    mean = sum(inner) / len(inner)
+    spread = (sum((x - mean) ** 2 for x in inner) / len(inner)) ** 0.5 / max(1.0, mean)
     long = max((len(t) for t in plain.split() if "://" not in t), default=0)
     kana = 0 if body.isascii() else len(_KANA.findall(body))
     return [
-        float(min(50, len(lines))), float(min(2000, n)), sum(map(len, words)) / max(1, n), n / len(lines), float(max(map(len, found))), odd / total, sum(map(str.isdigit, body)) / total, sum(map(str.isalpha, body)) / total,
-        sum(bool(_END.search(x)) for x in lines) / len(lines), sum(w.lower() in common for w in words) / max(1, n), len(_STOP.findall(plain)) / max(1, n), (plain.count(";") + plain.count(",")) / max(1, n), sum(nums) / max(1, n + sum(nums)),
+        float(min(50, len(lines))), float(min(2000, n)), letters / max(1, n), n / len(lines), float(max(map(len, found))), odd / total, sum(map(str.isdigit, body)) / total, sum(map(str.isalpha, body)) / total,
+        sum(bool(_END.search(x)) for x in lines) / len(lines), sum(map(common.__contains__, map(str.lower, words))) / max(1, n), len(_STOP.findall(plain)) / max(1, n), (plain.count(";") + plain.count(",")) / max(1, n), sum(nums) / max(1, n + sum(nums)),
         (len(_INLINE_MARK.findall(plain)) if ")" in plain else 0) / max(1, n), cells, share(lambda ab: bool(gaps[ab[0]] & gaps[ab[1]]) or len(gaps[ab[0]]) == len(gaps[ab[1]]) > 0), share(lambda ab: nums[ab[0]] > 1 and nums[ab[0]] == nums[ab[1]]),
-        marked / total, leaders / total, period([len(x) - len(x.lstrip()) for x in lines]), autocorrelation(lengths), float(np.std(inner) / max(1.0, float(np.mean(inner)))), sum(not x.strip()[0].islower() for x in lines) / len(lines),
-        (codes + body.count("\ufffd")) / total, bare / max(1, sum(map(len, words))), float(min(100, long)), kana / total, float(single),
+        marked / total, leaders / total, period([len(x) - len(x.lstrip()) for x in lines]), autocorrelation(lengths), spread, sum(not x.strip()[0].islower() for x in lines) / len(lines),
+        (codes + body.count("\ufffd")) / total, bare / max(1, letters), float(min(100, long)), kana / total, float(single),
     ]
 
 
@@ -299,8 +302,7 @@ def fit(whole: DataFrame, single: DataFrame, text: str = "_text") -> Judge:
     """Common words from all texts, the forest from SAMPLE distinct texts of each kind."""
     both = whole.select(text).unionByName(single.select(text)).filter(F.col(text).isNotNull())
     common = common_words(both, text)
-    pick = lambda df: df.select(text).filter(F.trim(text) != "").distinct().orderBy(F.xxhash64(text), text).limit(SAMPLE)
-    rows = [(r[0], False) for r in pick(whole).collect()] + [(r[0], True) for r in pick(single).collect()]  # 2 * SAMPLE texts at most
+    rows = [(t, False) for t in _sample(whole, text)] + [(t, True) for t in _sample(single, text)]
     return train(rows, common)
 
 
@@ -351,6 +353,15 @@ def name_runs(lines: list[str], kinds: list[str]) -> list[str]:
     return out
 
 
+def _sample(df: DataFrame, text: str) -> list[str]:
+    """The SAMPLE distinct texts with the smallest hash (of equal texts one counts). An estimate of their number says below which hash
+    they lie, so that only few texts are shuffled."""
+    hashed = df.select(F.col(text).alias("_t"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("_h")).filter(F.trim("_t") != "")
+    n = hashed.agg(F.approx_count_distinct("_h")).first()[0]
+    near = hashed.filter(F.col("_h") < F.lit(int(min(1.0, 1.5 * (SAMPLE + 50) / max(1, n)) * (2**63 - 1)))) if n > 2 * SAMPLE else hashed
+    return [r["_t"] for r in near.distinct().orderBy("_h", "_t").limit(SAMPLE).select("_t").collect()]
+
+
 def statistics(df: DataFrame, id_cols: list[str], text: str, judge: Judge, single: bool = False) -> DataFrame:
     """Rows ``*id_cols`` and the FIELDS; a null text has nulls only."""
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id_cols) + ", " + ", ".join(f"{k} {v}" for k, v in FIELDS.items())
