@@ -24,22 +24,21 @@ def p1_forms(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b).select("tbl", "record_id", unify.canonical_col(F.col("_t")).alias("form"))
 
 
-def _garbled(spark: SparkSession, sf: str) -> DataFrame:
-    fp = table(spark, sf, "file_preview").select(F.lit("file_preview").alias("tbl"), F.col("preview_id").alias("_id"), "text")
-    ew = table(spark, sf, "export_warning").select(F.lit("export_warning").alias("tbl"), F.col("warning_id").alias("_id"), F.col("message").alias("text"))
-    both = fp.unionByName(ew)
-    fitted = mojibake.train(both)
-    done = mojibake.repair(both.withColumn("_key", F.struct("tbl", "_id")), "_key", "text", fitted)
-    return done.select(F.col("id.tbl").alias("tbl"), F.col("id._id").alias("record_id"), "repaired", "gain", "broken")
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
+    fp = table(spark, sf, "file_preview").select(F.lit("file_preview").alias("tbl"), F.col("preview_id").alias("record_id"), "text")
+    ew = table(spark, sf, "export_warning").select(F.lit("export_warning").alias("tbl"), F.col("warning_id").alias("record_id"), F.col("message").alias("text"))
+    return fp.unionByName(ew)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _garbled(spark, sf).filter("gain > 0 or broken").select("tbl", "record_id").distinct()
+    rows = _messages(spark, sf)
+    return mojibake.affected(rows, ["tbl", "record_id"], "text", mojibake.train(rows)).select("tbl", "record_id").distinct()
 
 
 def p2_repaired(spark: SparkSession, sf: str) -> DataFrame:
-    """The affected rows with the restored text."""
-    return _garbled(spark, sf).filter("gain > 0 or broken").select("tbl", "record_id", "repaired", "broken")
+    """The affected rows with the restored text, and whether the model found them (gain above 0) or only lost characters show."""
+    rows = _messages(spark, sf)
+    return mojibake.repair(rows, ["tbl", "record_id"], "text", mojibake.train(rows)).filter("gain > 0 or broken").select("tbl", "record_id", "repaired", F.round("gain", 3).alias("gain"), "broken")
 
 
 def _marked(spark: SparkSession, sf: str) -> DataFrame:

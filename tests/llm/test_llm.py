@@ -54,7 +54,7 @@ def test_mojibake(spark):
     rows = [(i, t) for i, t in enumerate([*CLEAN, *bad, None, "", "ascii only"])]
     df = spark.createDataFrame(rows, "id long, text string")
     fitted = mojibake.train(df.select("text"))
-    got = {r["id"]: r for r in mojibake.repair(df, "id", "text", fitted).collect()}
+    got = {r["id"]: r for r in mojibake.repair(df, ["id"], "text", fitted).collect()}
     n = len(CLEAN)
     assert len(got) == len(rows) and not any(got[i]["gain"] or got[i]["broken"] for i in range(n))
     for k in range(6):
@@ -70,6 +70,29 @@ def test_garble_round_trip(true):
     assert mojibake.encode(text, true) == raw
 
 
+@pytest.mark.parametrize(("true", "read"), [("utf_8", "shift_jis"), ("utf_8", "gb18030"), ("gb18030", "latin_1"), ("utf_8", "cp1252")])
+def test_chains_of_multi_byte_encodings(true, read):
+    for word in ("größer", "señora", "über", "книга", "目録を作った"):
+        try:
+            raw = word.encode(true)
+            bad = mojibake.decode(raw, read) if read in mojibake.SINGLE else raw.decode(read)
+        except UnicodeError:
+            continue
+        assert word in mojibake.candidates(bad)
+
+
+def test_chain_of_two_one_byte_readings():
+    once = mojibake.garble("größere", "cp1252", "cp1251")
+    twice = mojibake.garble(once, "koi8_r", "cp1252")
+    assert twice not in (None, once) and "größere" in mojibake.candidates(twice, full=True)
+
+
+def test_counts_of_words(spark):
+    words = spark.createDataFrame([("für", 3_000_000_000), ("mañana" + mojibake.END, 2)], "w string, n long")
+    got = mojibake._counted(words, 16)
+    assert got[0].sum() == pytest.approx(3_000_000_000 * 6 + 2 * 9, rel=1e-6) and got.shape == (4, 1 << 16)
+
+
 # -- 3 -----------------------------------------------------------------------------------------------------------
 
 MARKED = [
@@ -270,14 +293,6 @@ def test_heads_of_single_pages(spark):
     assert got == sorted((i, int(i in (1, 3, 5)), i in (6, 7, 8, 9)) for i, *_ in rows)
 
 
-def test_margin_counts_all_held_back(spark, monkeypatch):
-    got = []
-    monkeypatch.setattr(mojibake, "HELD_BACK", 1, raising=False)
-    monkeypatch.setattr(mojibake, "fit_margin", lambda r, held: got.append(held.count() if hasattr(held, "count") and not isinstance(held, list) else len(held)) or 4.5)
-    mojibake.train(spark.createDataFrame([(t,) for t in CLEAN], "text string"))
-    assert got[0] > 1
-
-
 # -- 7 -----------------------------------------------------------------------------------------------------------
 
 
