@@ -90,7 +90,7 @@ def _scanned(spark: SparkSession, sf: str, heads: bool = True) -> DataFrame:
 
 
 def _editor(spark: SparkSession, sf: str) -> scans.Editor:
-    return scans.fit(_scanned(spark, sf, heads=False).select(F.explode("_pages").alias("_page")), "_page")
+    return scans.fit(_scanned(spark, sf, heads=False), "_pages")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
