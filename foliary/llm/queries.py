@@ -17,11 +17,20 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return named(ce, "cache_entry").unionByName(named(ac, "artifact_candidate"))
 
 
+def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row a record that looks like another: its class, the members and forms of the class, and its links."""
+    ce = unify.same_looking_classes(table(spark, sf, "cache_entry"), "entry_id", "extracted_text")
+    keys = table(spark, sf, "artifact_candidate").filter("normalized_key <> ''")
+    ac = unify.same_looking_classes(keys, "candidate_no", "normalized_key", ["scan_no"])
+    named = lambda df, t: df.select(F.lit(t).alias("tbl"), F.col("id").alias("record_id"), "class", "members", "forms", "links")
+    return named(ce, "cache_entry").unionByName(named(ac, "artifact_candidate"))
+
+
 def p1_forms(spark: SparkSession, sf: str) -> DataFrame:
-    """Each text and key in its consistent form."""
+    """Each text and key in its consistent form, and that form with full case folding."""
     a = table(spark, sf, "cache_entry").select(F.lit("cache_entry").alias("tbl"), F.col("entry_id").alias("record_id"), F.col("extracted_text").alias("_t"))
     b = table(spark, sf, "artifact_candidate").select(F.lit("artifact_candidate").alias("tbl"), F.col("candidate_no").alias("record_id"), F.col("normalized_key").alias("_t"))
-    return a.unionByName(b).select("tbl", "record_id", unify.canonical_col(F.col("_t")).alias("form"))
+    return a.unionByName(b).select("tbl", "record_id", unify.canonical_col(F.col("_t")).alias("form"), unify.folded_col(F.col("_t")).alias("folded"))
 
 
 def _messages(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,7 +156,7 @@ SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_clean": p3_clean, "p3_wrappers": p3_wrappers,
+        "p1_found": p1_found, "p1_classes": p1_classes, "p1_forms": p1_forms, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_clean": p3_clean, "p3_wrappers": p3_wrappers,
         "p4_found": p4_found, "p4_stats": p4_stats, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p7_found": p7_found, "p7_report": p7_report,
         "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels,
     }

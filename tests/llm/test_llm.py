@@ -16,8 +16,8 @@ LONG = "The quiet river turned past the old mill. " * 20_000
 
 # -- 1 -----------------------------------------------------------------------------------------------------------
 
-SAME = [("Discuѕsion", "Discussion"), ("oﬀice", "office"), ("e\u0301", "é"), ("Ｌｅ", "Le"), ("a\u2011b", "a-b"), ("sta\u200ctis\u00adtic", "statistic"), ("a\u3000b", "a b"), ("й", "и\u0306"), ("Ре\u200bка", "Рeкa")]
-OTHER = [("½", "1/2"), ("m²", "m2"), ("Case", "case"), ("resume", "résumé"), ("1O", "10"), ("a b", "ab")]
+SAME = [("Discuѕsion", "Discussion"), ("oﬀice", "office"), ("e\u0301", "é"), ("Ｌｅ", "Le"), ("a\u2011b", "a-b"), ("sta\u200ctis\u00adtic", "statistic"), ("a\u3000b", "a b"), ("й", "и\u0306"), ("Ре\u200bка", "Рeкa"), ("pαper", "paper"), ("ɡarden", "garden"), ("tօwn", "town"), ("Ꭺnna", "Anna"), ("mi\u2113l", "mill"), ("\U0001d400nna", "Anna")]
+OTHER = [("½", "1/2"), ("m²", "m2"), ("Case", "case"), ("resume", "résumé"), ("1O", "10"), ("a b", "ab"), ("a–b", "a-b"), ("a−b", "a-b"), ("και", "kai"), ("город", "ropoд"), ("Հայ", "huj")]
 
 
 @pytest.mark.parametrize(("a", "b"), SAME)
@@ -43,6 +43,15 @@ def test_pairs(spark):
     got = sorted(map(tuple, unify.same_looking_pairs(df, "id", "key", ["scan"]).collect()))
     assert got == [(1, 2), (1, 3), (10, 11)]
     assert unify.same_looking_pairs(df.filter("false"), "id", "key").count() == 0
+    rows = {r["id"]: (r["members"], r["forms"], r["links"]) for r in unify.same_looking_classes(df, "id", "key", ["scan"]).collect()}
+    assert rows == {1: (3, 2, 2), 2: (3, 2, 1), 3: (3, 2, 1), 10: (2, 2, 1), 11: (2, 2, 1)}
+
+
+def test_large_classes_pair_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(unify, "CHUNK", 10)
+    df = spark.createDataFrame([(k, "oﬃce" if k % 3 else "office") for k in range(60)], "id long, t string")
+    got = sorted(map(tuple, unify.same_looking_pairs(df, "id", "t").collect()))
+    assert got == [(a, b) for a in range(60) for b in range(a + 1, 60) if bool(a % 3) != bool(b % 3)]
 
 
 # -- 2 -----------------------------------------------------------------------------------------------------------
