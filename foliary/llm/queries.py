@@ -119,10 +119,12 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
-    """How many documents each item leaked into; items that leaked nowhere have 0."""
+    """How many documents each item leaked into, and the largest share of the item that one of them holds; items that leaked nowhere
+    have 0."""
     items = table(spark, sf, "eval_item")
-    n = p7_found(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
-    return items.select("item_id", "task").join(n, "item_id", "left").select("item_id", "task", F.coalesce("n_docs", F.lit(0).cast("long")).alias("n_docs"))
+    n = leaks.matches(table(spark, sf, "documents"), items).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("containment").alias("_most"))
+    none = F.lit(0).cast("long")
+    return items.select("item_id", "task").join(n, "item_id", "left").select("item_id", "task", F.coalesce("n_docs", none).alias("n_docs"), F.round(F.coalesce("_most", F.lit(0.0)), 6).alias("most_contained"))
 
 
 def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,13 +147,16 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Passages of 13 words are compared as joined words; DuckDB does so over whole tables.
-P7_SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
+P7_WINDOWS = r"""
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
 d AS (SELECT doc_id, array_to_string(ws[k : k + 12], ' ') AS g FROM w, generate_series(1, len(ws) - 12) AS s(k)),
 v AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM eval_item WHERE text IS NOT NULL),
 i AS (SELECT DISTINCT item_id, array_to_string(ws[k : k + 12], ' ') AS g FROM v, generate_series(1, len(ws) - 12) AS s(k))
-SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)
 """
+P7_SQL = f"WITH {P7_WINDOWS} SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)"
+P7_REPORT = f"""WITH {P7_WINDOWS}, m AS (SELECT doc_id, item_id, count(DISTINCT g) AS c FROM d JOIN i USING (g) GROUP BY ALL), z AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
+SELECT e.item_id, e.task, count(m.doc_id) AS n_docs, round(coalesce(max(m.c::double / z.n), 0), 6) AS most_contained
+FROM eval_item e LEFT JOIN m USING (item_id) LEFT JOIN z USING (item_id) GROUP BY e.item_id, e.task"""
 
 
 def queries() -> dict:
@@ -163,5 +168,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    report = f"WITH f AS ({P7_SQL}) SELECT e.item_id, e.task, count(f.doc_id) AS n_docs FROM eval_item e LEFT JOIN f ON f.item_id = e.item_id GROUP BY e.item_id, e.task"
-    return {"p7_found": P7_SQL, "p7_report": report}
+    return {"p7_found": P7_SQL, "p7_report": P7_REPORT}

@@ -329,7 +329,7 @@ def brute_leaks(docs, items, run):
     return sorted({(d, i) for d, t in docs for i, u in items if grams(t) & grams(u)})
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     rng = random.Random(1)
     text = lambda n: " ".join(rng.choices(["the", "a", "of", "mill", "town", "River", "sold,"], k=n))
     items = [(k, text(rng.randint(5, 60))) for k in range(20)] + [(30, None), (31, ""), (0, "clash")]
@@ -339,8 +339,13 @@ def test_leaks(spark):
         docs[k] = (k, docs[k][1] + "\n" + "; ".join(t[:13]).upper() + " " + text(20))
     docs += [(70, None), (71, ""), docs[0]]
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for block in (leaks.BLOCK, 50):
-        assert sorted(map(tuple, leaks.find(d, i, block=block).collect())) == brute_leaks(docs, items, 13)
+    assert sorted(map(tuple, leaks.find(d, i).collect())) == brute_leaks(docs, items, 13)
+    for r in leaks.matches(d, i).collect():
+        w, v = ({tuple(ws[k : k + 13]) for ws in [words.words(t)] for k in range(len(ws) - 12)} for t in (dict(items[:20])[r["item_id"]] if r["item_id"] else text(0), dict(docs)[r["doc_id"]]))
+        assert not w or r["shared"] == len(w & v) and r["containment"] == pytest.approx(len(w & v) / len(w))
+    monkeypatch.setattr(leaks, "MOST_BITS", 8)
+    monkeypatch.setattr(leaks, "LEAST_BITS", 4)
+    assert sorted(map(tuple, leaks.find(d, i).collect())) == brute_leaks(docs, items, 13)  # a full sieve loses nothing
     assert leaks.find(d.filter("false"), i).count() == 0 and leaks.find(d, i.filter("false")).count() == 0
 
 
