@@ -367,6 +367,9 @@ def test_mixture(spark):
     used = got.groupby("source").n_tokens.sum()
     assert abs(used["big"] - 0.5 * total) <= 200 and got[got.source == "small"]["pass"].max() == 2
     shares = {r["source"]: r for r in m.shares().collect()}
+    assert shares["(none)"]["n_docs"] == 1 and shares["other"]["available_tokens"] == 1 and shares["other"]["target_share"] is None and abs(shares["big"]["share_error"] - (shares["big"]["actual_share"] - 0.5)) < 1e-9
+    held = {r["source"]: r for r in mixture.Mixture(docs, targets, hold_shares=True).shares().collect()}
+    assert abs(held["big"]["used_tokens"] / held["small"]["used_tokens"] - 0.5 / 0.4) < 0.03 and held["big"]["met"] and held["small"]["met"]
     assert shares["none"]["used_tokens"] == 0 and not shares["none"]["met"] and shares["big"]["met"] and not shares["small"]["met"]
     assert abs(sum(r["actual_share"] for r in shares.values()) - 1) < 1e-9
     big = got[got.source == "big"]
@@ -408,6 +411,16 @@ def test_levels(spark):
     assert none.filter("level is not null").count() == 0
 
 
+def test_own_words_are_taken_out():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(list("abcdefgh"), 30)) for _ in range(6)]
+    count = lambda ts: np.array([np.bincount(s, minlength=1 << levels.BITS) for s in levels.gram_slots(levels._encode(ts), levels.BITS, levels.ORDER)], dtype=float)
+    each = sum(count([t]) for t in texts)
+    got = levels.Without(each, each).features(texts[0], "easy")
+    rest = sum(count([t]) for t in texts[1:])
+    assert np.allclose(got, levels.surprisals([texts[0]], levels._model(rest), levels._model(each))[0])
+
+
 def test_isotonic_is_monotone_and_fits():
     rng = np.random.default_rng(0)
     x = rng.random(200)
