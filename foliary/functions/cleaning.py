@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.config import CleaningConfig, RemovalRule
 from foliary.functions.profile import noise_lines
+from foliary.runtime import cut
 from foliary.functions.text import SPACE, line_key, lines, nfc, strip_diacritics, ws_trim
 
 # The patterns of page furniture. ``(?d)`` keeps line ends to newlines.
-PAGE_DELIMITER = r"(?imd)^[ \t]*-+[ \t]*(?:page|pag\.)[ \t]*(?:[0-9]+|[ivxlcdm]+)[ \t]*-+[ \t]*$\n?"
+PAGE_DELIMITER = r"(?imd)^[ \t]*-+[ \t]*(?:page|pag\.)[ \t]*(?:[0-9]+|[ivxlcdm]+)[ \t]*-+[ \t]*(?:\r?\n|\z)"
 PAGE_INDICATOR = r"(?iU)\b(?:page|pag\.)[ \t]*(?:[0-9]+|[ivxlcdm]+)\b"
-PAGE_NUMBER = r"(?md)^[ \t]*\p{Nd}+[ \t]*$\n?"
-ROMAN_NUMBER = r"(?imd)^[ \t]*[ivxlcdm]+[ \t]*$\n?"
+PAGE_NUMBER = r"(?md)^[ \t]*\p{Nd}+[ \t]*(?:\r?\n|\z)"
+ROMAN_NUMBER = r"(?imd)^[ \t]*[ivxlcdm]+[ \t]*(?:\r?\n|\z)"
 
 
 def line_endings(c: Column) -> Column:
@@ -68,6 +71,28 @@ def whole_line_rules(c: Column, rules: list[RemovalRule], lower: bool) -> Column
     return F.array_join(F.filter(parts, lambda x: ~_named(x, literal, keys)), "")
 
 
+MOST_INLINE = 200
+"""Whole-line rules that are written into the plan; more are joined."""
+
+
+def drop_ruled_lines(df: DataFrame, text: str, rules: list[RemovalRule], lower: bool = False) -> DataFrame:
+    """``df`` with the lines of ``text`` dropped that a whole-line rule names. Few rules are part of the plan; many become a table that is
+    joined against the distinct keys of each document's own lines, so that neither the plan nor a task grows with their number."""
+    literal, keys = _targets(rules, lower)
+    if len(literal) + len(keys) <= MOST_INLINE:
+        return df.withColumn(text, whole_line_rules(F.col(text), rules, lower))
+    spark = df.sparkSession
+    named = spark.createDataFrame([("l", x) for x in literal] + [("k", x) for x in keys], "_kind string, _name string")
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_parts", F.regexp_extract_all(F.col(text), F.lit("[^\n]*\n|[^\n]+"), 0))
+    rows = cut(rows)  # the row numbers must not change between the two uses
+    own = rows.select("_row", F.explode("_parts").alias("_x"))
+    own = own.select("_row", F.explode(F.array(F.struct(F.lit("l").alias("_kind"), ws_trim(F.col("_x")).alias("_name")), F.struct(F.lit("k").alias("_kind"), line_key(F.col("_x")).alias("_name")))).alias("_o")).select("_row", "_o.*")
+    hit = own.distinct().join(named, ["_kind", "_name"]).groupBy("_row").agg(F.collect_set(F.concat("_kind", "_name")).alias("_hit"))
+    kept = F.filter("_parts", lambda x: ~F.array_contains("_hit", F.concat(F.lit("l"), ws_trim(x))) & ~F.array_contains("_hit", F.concat(F.lit("k"), line_key(x))))
+    done = rows.join(hit, "_row", "left").withColumn(text, F.when(F.col("_hit").isNull(), F.col(text)).otherwise(F.array_join(kept, "")))
+    return done.select(*df.columns)
+
+
 def _targets(rules: list[RemovalRule], lower: bool) -> tuple[list[str], list[str]]:
     literal = sorted({(r.text.strip().lower() if lower else r.text.strip()) for r in rules if r.kind == "literal" and r.text.strip()})
     return literal, sorted({r.text for r in rules if r.kind == "key" and r.text})
@@ -181,18 +206,31 @@ def word_count(c: Column) -> Column:
 # -- operators of the earlier application --------------------------------------------------------------------------
 
 
+# Patterns of the earlier application and what takes their place, in order. ``(?U)`` gives blanks and words their Unicode sense.
+SPACING = (
+    (r"(?U)\s+([.,?!;:])", "$1"), (r"(?U)([.,?!;:])(\S)", "$1 $2"), (r"(?U)\(\s+", "("), (r"(?U)\s+\)", ")"), (r"(?U)\[\s+", "["), (r"(?U)\s+\]", "]"), (r"(?U)\{\s+", "{"), (r"(?U)\s+\}", "}"), (r"(?U)\s{2,}", " "),
+)
+LONE_CHARACTER = r"(?U)^\s*\w\s*$"
+LINE_BREAK = r"(?U)(?<!\.\s)\n(?!\s*\n)"
+BIBLIOGRAPHIC = r"\([A-Z][a-z]+(?:[^()]*?\d{4}[^()]*?)?\)"
+SHORT_NUMBER = r"(?Umd)^\s*\d{1,4}\s*$"
+SHORT_ROMAN = r"(?Umd)^\s*[IiVvXxLlCcDdMm]{1,7}\s*$"
+INDICATOR = r"(?U)\b(?:[Pp]age|[Pp]ag\.?)\s+(?:\d+|[IVXLCDM]+)\b"
+DELIMITER = r"(?U)---\s*Page\s+\d+\s*---"
+
+
 def spacing(c: Column) -> Column:
-    """One blank after punctuation, none before it or inside brackets."""
-    for pattern, by in ((r"[ \t]+", " "), (r" ([,.;:!?])", "$1"), (r"([,;:!?])(?=[^\s\d,.;:!?)\]}\"'])", "$1 "), (r"([(\[{]) ", "$1"), (r" ([)\]}])", "$1"), (r" +\n", "\n"), (r"\n +", "\n")):
+    """No blank before punctuation and one after it, none inside brackets, runs of blanks as one, none at the ends."""
+    for pattern, by in SPACING:
         c = F.regexp_replace(c, pattern, by)
-    return c
+    return ws_trim(c)
 
 
 def legacy_breaks(c: Column) -> Column:
     """Lines of one word character go, single line ends become blanks unless a sentence ends there, runs of blanks one blank."""
-    c = F.regexp_replace(c, r"(?md)^\s*\w\s*$\n?", "")
-    c = F.regexp_replace(c, r"(?<!\.\s)\n(?!\s*\n)", " ")
-    return F.regexp_replace(c, r"[ \t]{2,}", " ")
+    kept = F.filter(F.split(line_endings(c), "\n", -1), lambda x: ~x.rlike(LONE_CHARACTER))
+    kept = F.when(F.element_at(kept, -1) == "", F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)  # a last line end opens no line
+    return ws_trim(F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), LINE_BREAK, " "), r"(?U)\s{2,}", " "))
 
 
 def newlines_to_spaces(c: Column) -> Column:
@@ -206,7 +244,7 @@ def filter_sequences(c: Column, sequences: list[str]) -> Column:
 
 
 def biblio_references(c: Column) -> Column:
-    return F.regexp_replace(c, r"\([A-Z][a-z]+(?:[^()]*?\d{4}[^()]*?)?\)", "")
+    return F.regexp_replace(c, BIBLIOGRAPHIC, "")
 
 
 def super_subscripts(c: Column) -> Column:
@@ -218,20 +256,35 @@ def drop_script(c: Column, script: str) -> Column:
 
 
 def short_page_numbers(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?md)^[ \t]*[0-9]{1,4}[ \t]*$\n?", "")
+    """Lines of one to four digits; their line end stays."""
+    return F.regexp_replace(c, SHORT_NUMBER, "")
 
 
 def short_roman_numbers(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?imd)^[ \t]*[ivxlcdm]{1,7}[ \t]*$\n?", "")
+    return F.regexp_replace(c, SHORT_ROMAN, "")
+
+
+def legacy_indicators(c: Column) -> Column:
+    return F.regexp_replace(c, INDICATOR, "")
+
+
+def legacy_delimiters(c: Column) -> Column:
+    return F.regexp_replace(c, DELIMITER, "")
 
 
 def delete_regex(c: Column, pattern: str) -> Column:
-    """User regex over line ends; an invalid pattern changes nothing."""
+    """User regex over line ends; a pattern that the engine that runs it does not take changes nothing."""
+    return F.regexp_replace(c, "(?s)" + pattern, "") if is_valid(pattern) else c
+
+
+def is_valid(pattern: str) -> bool:
+    from pyspark.sql import SparkSession
+
     try:
-        re.compile(pattern)
-    except re.error:
-        return c
-    return F.regexp_replace(c, "(?s)" + pattern, "")
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile("(?s)" + pattern)
+    except (Py4JJavaError, PySparkException):
+        return False
+    return True
 
 
 def build_pattern(start: str, end: str = "", digits: int | None = None, whole_word: bool = False, ignore_case: bool = False) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -15,21 +17,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``, or (only where unset, as in local tests) a temporary one."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``, or where that is unset and the master is local a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = getattr(spark, "_foliary_dir", None)
         if where is None:
-            where = spark._foliary_dir = "file://" + tempfile.mkdtemp(prefix="foliary-")
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="foliary-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            where = spark._foliary_dir = "file://" + folder
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Remove what ``materialise`` and ``scratch`` laid down in this session. Checkpoints are Spark's own: it removes them with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``. Frames read from such tables must not be used afterwards."""
+    for path in getattr(spark, "_foliary_made", []):
+        hp = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hp, True)
+    spark._foliary_made = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; ``clean_up`` removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark._foliary_made = [*getattr(spark, "_foliary_made", []), path]
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,21 +62,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def local_path(path: str) -> str | None:
-    """File-system path of a ``file:`` or plain path, None for other schemes."""
-    if path.startswith("file://"):
-        return path[7:]
-    return path if "://" not in path else None
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    if (p := local_path(path)) is not None:
-        return os.path.exists(p)
-    jvm = spark._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(path)
-    return hp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hp)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a context, so that its functions run wherever the driver was started."""
     sc = spark.sparkContext
