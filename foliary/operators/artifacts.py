@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from foliary.config import CleaningConfig, RemovalRule, ScanConfig
 from foliary.functions import profile as P
 from foliary.functions.text import SPACE, let, line_key, lines, staged, ws_trim
+from foliary.runtime import materialise
 
 PREFIX = {"exact_line": "exact_", "normalized_line": "norm_", "two_line_block": "block2_", "three_line_block": "block3_", "inline_artifact": "inline_"}
 FLAG = {"text_dominant": "include_text", "mixed_text_numbers": "include_mixed", "symbol_noise_dominant": "include_symbol", "numeric_dominant": "include_numeric"}
@@ -83,19 +84,29 @@ def _blocks(kind: str, size: int, want: list[str], obs) -> Column:
     return F.filter(F.transform(v, block), lambda o: o.isNotNull() & o["cls"].isin(want))
 
 
+def by_document(obs: DataFrame) -> DataFrame:
+    """One row a (kind, key, document): what the document contributes, and for line families its spellings. This is what all sums
+    start from; a key that very many documents hold has one row for each of them."""
+    at = lambda p: F.sum(F.when(F.col("pos") == p, F.col("n")).otherwise(0)).alias(p)
+    spellings = F.collect_set(F.when(F.col("kind") == "normalized_line", F.col("display"))).alias("spellings")
+    return obs.groupBy("kind", "key", "doc").agg(F.sum("n").alias("n"), at("top"), at("middle"), at("bottom"), F.min(F.struct("i", "display")).alias("_f"), spellings)
+
+
 def totals(obs: DataFrame) -> DataFrame:
     """One row a (kind, key): occurrences, files, places, first display. Documents are summed before keys meet."""
-    at = lambda p: F.sum(F.when(F.col("pos") == p, F.col("n")).otherwise(0)).alias(p)
-    by_doc = obs.groupBy("kind", "key", "doc").agg(F.sum("n").alias("n"), at("top"), at("middle"), at("bottom"), F.min(F.struct("i", "display")).alias("_f"))
+    return _totals(by_document(obs))
+
+
+def _totals(by_doc: DataFrame) -> DataFrame:
     return by_doc.groupBy("kind", "key").agg(
         F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("files"), F.sum("top").alias("top"), F.sum("middle").alias("middle"), F.sum("bottom").alias("bottom"),
         F.min(F.struct("doc", "_f")).getField("_f").getField("display").alias("display"),
     )
 
 
-def variants(obs: DataFrame, cfg: ScanConfig) -> DataFrame:
+def _variants(by_doc: DataFrame, cfg: ScanConfig) -> DataFrame:
     """For line families: number of different spellings, the smallest ``max_variants`` of them, and whether there are more."""
-    rows = obs.filter("kind = 'normalized_line'").groupBy("kind", "key", "display").agg(F.count(F.lit(1)).alias("_n"))
+    rows = by_doc.filter("kind = 'normalized_line'").select("kind", "key", F.explode("spellings").alias("display")).distinct()
     salted = Window.partitionBy("kind", "key", F.pmod(F.xxhash64("display"), F.lit(64))).orderBy("display")
     first = rows.withColumn("_r", F.row_number().over(salted)).withColumn("_d", F.when(F.col("_r") <= cfg.max_variants, F.col("display")))
     got = first.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("variants"), F.slice(F.array_sort(F.collect_list("_d")), 1, cfg.max_variants).alias("raw_variants"))
@@ -126,9 +137,11 @@ def risk(display: Column, key: Column, occ: Column, files: Column, edge: Column)
 
 
 def candidates(obs: DataFrame, cfg: ScanConfig) -> DataFrame:
-    """The best candidates with score, risk, class, signal and spellings; ties go by kind and key."""
-    kept = totals(obs).filter((F.col("occurrences") >= cfg.min_occurrences) & (F.col("files") >= cfg.min_files))
-    kept = kept.join(variants(obs, cfg), ["kind", "key"], "left")
+    """The best candidates with score, risk, class, signal and spellings; ties go by kind and key. The documents are read once: what
+    each contributes is laid down as a table, and so are the sums of the keys that are frequent enough."""
+    by_doc = materialise(by_document(obs), "observations")
+    frequent = _totals(by_doc).filter((F.col("occurrences") >= cfg.min_occurrences) & (F.col("files") >= cfg.min_files))
+    kept = materialise(frequent.join(_variants(by_doc, cfg), ["kind", "key"], "left"), "frequent")
     if cfg.include_exact_lines and cfg.include_normalized_lines:
         exact = kept.filter("kind = 'exact_line'").select(F.col("display"), "occurrences", "files").distinct().withColumn("_dup", F.lit(True))
         kept = kept.join(exact, ["display", "occurrences", "files"], "left")
@@ -196,3 +209,21 @@ def promote(found: DataFrame, config: CleaningConfig, page_based: bool = False)
     from dataclasses import replace
 
     return replace(config, remove_patterns=tuple(patterns)).with_rules(rules)
+
+
+ORDERS = ("score", "occurrences", "files", "variants", "length", "text", "kind", "risk")
+"""Orders that a list of candidates can be shown in."""
+
+
+def ordered(found: DataFrame, by: str = "score", ascending: bool | None = None) -> DataFrame:
+    """Candidates in one of the ORDERS, numbers from the largest and texts from the first unless told otherwise; ties by kind and key."""
+    if by not in ORDERS:
+        raise ValueError(f"unknown order {by}")
+    col = F.length("display") if by == "length" else F.lower("display") if by == "text" else F.col(by)
+    up = by in ("text", "kind", "risk") if ascending is None else ascending
+    return found.orderBy(col.asc() if up else col.desc(), "kind", "key")
+
+
+def selected(found: DataFrame, ids: list[str], version: str, current: str) -> DataFrame:
+    """The chosen candidates of a scan; a choice that was made on another scan's results (``version``) holds nothing."""
+    return found.filter(F.col("id").isin(ids)) if version == current else found.limit(0)

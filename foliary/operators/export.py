@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
+import uuid
 
-import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliary.config import CleaningConfig, ExportOptions, to_json
 from foliary.functions.cleaning import clean_text
+from foliary.runtime import materialise
 
 # Device names that may not be file names.
 RESERVED = ["con", "prn", "aux", "nul", *[f"com{i}" for i in range(1, 10)], *[f"lpt{i}" for i in range(1, 10)]]
@@ -54,37 +55,75 @@ def manifest(df: DataFrame, config: CleaningConfig, path: str = "relative_path",
 
 def check_output(out: str, options: ExportOptions) -> None:
     """The output may lie below a source folder, but be or hold none; an existing one needs leave to be replaced."""
-    o = os.path.realpath(out)
+    fs, o = _file_system(out)
     for root in options.source_roots:
-        r = os.path.realpath(root)
+        r = _file_system(root)[1]
         if o == r or r.startswith(o.rstrip("/") + "/"):
             raise ValueError("the output folder holds a source folder")
-    if os.path.exists(o):
+    if fs.get_file_info(o).type != pafs.FileType.NotFound:
         if not options.overwrite:
             raise FileExistsError(out)
-        shutil.rmtree(o)
+        fs.delete_dir(o)
 
 
-def export(df: DataFrame, out: str, config: CleaningConfig, options: ExportOptions, path: str = "relative_path", text: str = "text") -> dict:
-    """Write one text file a document, and the manifest as JSON lines by the tasks that hold it; return the counts."""
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or address, and the path in it; local links are resolved."""
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    if path.startswith("file:"):
+        path = path[5:]
+    return pafs.LocalFileSystem(), os.path.realpath(path)
+
+
+def _write(fs: pafs.FileSystem, path: str, body: str) -> None:
+    """Under another name first, so that a task that is run again, or twice at once, leaves a whole file."""
+    fs.create_dir(os.path.dirname(path), recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part) as f:
+        f.write(body.encode("utf-8", "replace"))
+    fs.move(part, path)
+
+
+MOST_LISTED = 100_000
+"""Files that ``manifest.json`` lists itself; of more it gives the counts, and ``manifest/`` has the rows."""
+
+
+def export(df: DataFrame, out: str, config: CleaningConfig, options: ExportOptions, path: str = "relative_path", text: str = "text", kind: str | None = None, warnings: str | None = None) -> dict:
+    """Write one text file a document by the tasks that hold it, to any file system that ``out`` names; ``manifest.json`` with the counts and
+    the files, ``warnings.json`` with the warnings of each file, ``config.json`` and a read-me. Documents that are null are not written.
+    ``kind``: column of document types, ``warnings``: column of messages. Returns the counts."""
     check_output(out, options)
-    os.makedirs(f"{out}/texts", exist_ok=True)
+    df = df.filter(F.col(text).isNotNull())
     m = manifest(df, config, path, text, options.name_limit)
-    rows = df.select(F.col(path).alias("source_path"), clean_text(F.col(text), config).alias("_c")).join(m.select("source_path", "output_path"), "source_path")
+    extra = [(F.col(kind) if kind else F.lit("text")).alias("_kind"), (F.coalesce(F.col(warnings), F.array().cast("array<string>")) if warnings else F.array().cast("array<string>")).alias("_warn")]
+    rows = df.select(F.col(path).alias("source_path"), clean_text(F.col(text), config).alias("_c"), *extra).join(m, "source_path")
 
     def write(it):
         for pdf in it:
+            fs, root = _file_system(out)
             for p, t in zip(pdf["output_path"], pdf["_c"], strict=True):
-                full = os.path.join(out, p)
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                with open(full, "w", encoding="utf-8", newline="") as f:
-                    f.write(t or "")
-            yield pd.DataFrame({"n": [len(pdf)]})
-
-    files = rows.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    m.write.mode("overwrite").json(f"{out}/manifest")
-    head = {"exported_at": options.timestamp, "files": files}
-    for name, body in (("manifest.json", json.dumps(head, indent=2)), ("config.json", to_json(config)), ("README.txt", f"{files} cleaned texts below texts/, one manifest row each below manifest/.\n")):
-        with open(f"{out}/{name}", "w", encoding="utf-8") as f:
-            f.write(body)
+                _write(fs, f"{root}/{p}", t or "")
+            yield pdf.drop(columns=["_c"])
+
+    kinds = rows.drop("_c").schema
+    done = materialise(rows.mapInPandas(write, kinds), "exported")
+    listed = done.select("source_path", "output_path", extraction_method(F.col("_kind")).alias("extraction_method"), "source_sha256", "processed_sha256", "source_chars", "processed_chars", F.size("_warn").alias("warning_count"))
+    listed.write.mode("overwrite").json(f"{out}/manifest")
+    told = done.select("source_path", F.explode("_warn").alias("message")).select("source_path", warning_kind(F.col("message")).alias("kind"), "message").distinct()
+    one = done.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("source_chars"), F.lit(0)).alias("s"), F.coalesce(F.sum("processed_chars"), F.lit(0)).alias("p"), F.count_if(F.size("_warn") > 0).alias("w")).first()
+    head = {"exported_at": options.timestamp, "files": one["n"], "source_chars": one["s"], "processed_chars": one["p"], "files_with_warnings": one["w"]}
+    rows_of = lambda d: [json.loads(x) for x in d.toJSON().take(MOST_LISTED)] if one["n"] <= MOST_LISTED else []
+    fs, root = _file_system(out)
+    for name, body in (
+        ("manifest.json", json.dumps(head | {"entries": rows_of(listed.orderBy("source_path"))}, indent=2, ensure_ascii=False)), ("warnings.json", json.dumps(rows_of(told.orderBy("source_path", "message")), indent=2, ensure_ascii=False)),
+        ("config.json", to_json(config)), ("README.txt", f"{one['n']} cleaned texts below texts/, one manifest row each below manifest/.\n"),
+    ):
+        _write(fs, f"{root}/{name}", body)
     return head
+
+
+def export_joined(df: DataFrame, out: str, config: CleaningConfig, path: str = "relative_path", text: str = "text") -> None:
+    """The earlier application's export: all cleaned texts in path order as one run of text files, a heading line before each."""
+    heading = F.concat(F.lit("=== "), F.col(path), F.lit(" ===\n"))
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(path).alias("_p"), F.concat(heading, clean_text(F.col(text), config), F.lit("\n")).alias("value"))
+    rows.repartitionByRange("_p").sortWithinPartitions("_p").select("value").write.mode("error").text(out)

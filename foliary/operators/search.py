@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliary.config import CleaningConfig
 from foliary.functions.cleaning import clean_text, word_count
+from foliary.functions.text import staged
 
 CONTEXT, DEFAULT_HITS, MOST_HITS, PREVIEW_CHARS = 80, 1000, 5000, 5000
 
@@ -30,14 +31,15 @@ def _pattern(term: str) -> str:
 
 
 def all_hits(df: DataFrame, term: str, doc: str = "doc_id", text: str = "text", config: CleaningConfig | None = None) -> DataFrame:
+    """All hits. A text is cut into what matches and what stands between; since a match has a character at least, CONTEXT characters
+    before or after a hit lie within so many pieces on either side, and each hit costs the same however many a text has."""
     rows = _found(df, term, doc, text, config).withColumn("_p", F.split("_t", _pattern(term), -1))
-    # where each match begins: the lengths of all pieces and matches before it
-    zipped = F.arrays_zip(F.transform("_p", F.length).alias("p"), F.transform("_m", F.length).alias("m"))
-    step = lambda acc, x: F.struct((acc["at"] + x["p"] + F.coalesce(x["m"], F.lit(0))).alias("at"), F.concat(acc["all"], F.array(acc["at"] + x["p"])).alias("all"))
-    starts = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), step, lambda acc: acc["all"])
-    rows = rows.withColumn("_s", starts).select("doc", "_t", F.posexplode("_m").alias("ordinal", "match"), "_s").withColumn("_at", F.get("_s", F.col("ordinal")))
-    before = F.expr(f"substring(_t, greatest(_at - {CONTEXT}, 0) + 1, least(_at, {CONTEXT}))")
-    after = F.expr(f"substring(_t, _at + length(match) + 1, {CONTEXT})")
+    pieces = F.flatten(F.transform(F.arrays_zip(F.col("_p").alias("p"), F.col("_m").alias("m")), lambda x: F.array(x["p"], F.coalesce(x["m"], F.lit("")))))
+    rows = staged(rows, {"_z": pieces}).select("doc", F.posexplode("_m").alias("ordinal", "match"), "_z")
+    at = 2 * F.col("ordinal") + 1  # pieces before the match
+    first = F.greatest(at - 2 * CONTEXT - 1, F.lit(0))
+    before = F.right(F.array_join(F.slice("_z", first + 1, at - first), ""), F.lit(CONTEXT))
+    after = F.left(F.array_join(F.slice("_z", at + 2, F.lit(2 * CONTEXT + 1)), ""), F.lit(CONTEXT))
     return rows.select("doc", "ordinal", before.alias("before"), "match", after.alias("after"))
 
 
@@ -76,3 +78,36 @@ def count_words(df: DataFrame, doc: str = "doc_id", text: str = "text", config:
 def corpus_summary(df: DataFrame, by: list[str], size: Column) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(size).alias("total_size"), F.avg(size).alias("mean_size"))
 
+
+
+def preview_bytes(df: DataFrame, content: str, doc: str = "doc_id", max_bytes: int = 4 * PREVIEW_CHARS, max_chars: int = PREVIEW_CHARS) -> DataFrame:
+    """Rows ``doc, preview, truncated, chars, warnings`` of raw bytes, of which ``max_bytes`` at most are decoded: a character that the bound
+    cuts is dropped, bytes that are no UTF-8 are replaced, and both are told in ``warnings``."""
+    head = F.substring(F.col(content), 1, max_bytes)
+    cut = F.octet_length(F.col(content)) > max_bytes
+    whole = F.regexp_replace(F.make_valid_utf8(head.cast("string")), "\ufffd+$", "")
+    rows = df.select(F.col(doc).alias("doc"), F.when(cut, whole).otherwise(F.make_valid_utf8(head.cast("string"))).alias("_t"), cut.alias("_cut"))
+    told = F.filter(F.array(F.when(F.col("_t").contains("\ufffd"), "invalid UTF-8 was replaced"), F.when(F.col("_cut") | (F.length("_t") > max_chars), "the preview is cut")), lambda x: x.isNotNull())
+    return rows.select("doc", F.substring("_t", 1, max_chars).alias("preview"), (F.col("_cut") | (F.length("_t") > max_chars)).alias("truncated"), F.least(F.length("_t"), F.lit(max_chars)).alias("chars"), told.alias("warnings"))
+
+
+def names_like(df: DataFrame, query: str, path: str = "relative_path") -> DataFrame:
+    """Files whose path holds the query, without regard to case; a blank query holds for all."""
+    term = query.strip().lower()
+    return df.filter(F.lower(F.col(path)).contains(term)) if term else df
+
+
+def processed_or_extracted(processed: DataFrame, extracted: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The processed text of each document, and where there is none the extracted one."""
+    left, right = extracted.select(key, F.col(text).alias("_e")), processed.select(key, F.col(text).alias("_p"))
+    return left.join(right, key, "left").select(key, F.coalesce("_p", "_e").alias(text), F.col("_p").isNotNull().alias("processed"))
+
+
+def report(df: DataFrame, path: str = "relative_path", text: str = "text") -> DataFrame:
+    """One row: files, files with text, words, characters, and the mean of words a file with text."""
+    n = word_count(F.col(text))
+    some = F.col(text) != ""
+    return df.agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(some).alias("files_with_text"), F.coalesce(F.sum(n), F.lit(0).cast("long")).alias("words"), F.coalesce(F.sum(F.length(text)), F.lit(0).cast("long")).alias("characters"),
+        F.round(F.avg(F.when(some, n)), 6).alias("mean_words"),
+    )

@@ -1,3 +1,5 @@
+import json
+import time
 import zipfile
 
 import pytest
@@ -58,6 +60,58 @@ def test_search(spark):
     assert S.hits(d, "hello", max_hits=2).count() == 2
 
 
+def test_many_hits_in_one_text(spark):
+    text = "ab" * 16_000 + "x" * 100 + "b"
+    began = time.time()
+    got = S.all_hits(docs(spark, [text]), "b").filter("ordinal in (0, 3, 15999, 16000)").orderBy("ordinal").collect()
+    assert time.time() - began < 15
+    assert [r["before"] for r in got] == [text[max(0, k - 80) : k] for k in (1, 7, 31999, 32100)] and [r["after"] for r in got] == [text[k + 1 : k + 81] for k in (1, 7, 31999, 32100)]
+
+
+def test_documents_are_exploded_once(spark):
+    d = docs(spark, ["Running Header\nOne\nPage 1"] * 6)
+    cfg = ScanConfig()
+    plan = A.candidates(A.observations(d, cfg), cfg)._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "parquet" in plan  # what is left rests on the sums
+    found = A.candidates(A.observations(d, cfg), cfg)
+    assert [r["display"] for r in A.ordered(found, "text").collect()] == ["One", "Page 1", "Running Header"][-found.count() :]
+    with pytest.raises(ValueError):
+        A.ordered(found, "colour")
+    assert A.selected(found, [found.first()["id"]], "v1", "v1").count() == 1 and A.selected(found, [found.first()["id"]], "v1", "v2").count() == 0
+
+
+def test_bytes_names_and_report(spark):
+    raw = spark.createDataFrame([(1, "né".encode() * 3), (2, b"caf\xe9"), (3, None)], "doc_id long, content binary")
+    got = {r["doc"]: r for r in S.preview_bytes(raw, "content", max_bytes=5, max_chars=9).collect()}
+    assert got[1]["preview"] == "nén" and got[1]["truncated"] and got[2]["preview"] == "caf\ufffd" and got[2]["warnings"] == ["invalid UTF-8 was replaced"] and got[3]["preview"] is None
+    files = spark.createDataFrame([("a/Minutes.txt", "two words"), ("b/x.txt", ""), ("c/y.txt", None)], "relative_path string, text string")
+    assert S.names_like(files, " minutes ").count() == 1 and S.names_like(files, " ").count() == 3
+    assert tuple(S.report(files).first()) == (3, 1, 2, 9, 2.0)
+    both = S.processed_or_extracted(files.filter("text <> ''").withColumn("text", F.lit("done")), files, "relative_path")
+    assert {r[0]: (r[1], r[2]) for r in both.collect()} == {"a/Minutes.txt": ("done", True), "b/x.txt": ("", False), "c/y.txt": (None, False)}
+
+
+ENCODED = [("é".encode(), "utf-8"), (b"\xef\xbb\xbfa", "utf-8-sig"), ("é".encode("utf-16-le"), "cp1252"), (b"\xff\xfe\xe9\x00", "utf-16-le"), (b"\xfe\xff\x00\xe9", "utf-16-be"), (b"caf\xe9", "cp1252"), (b"\xe9\x81a", "latin-1"), (b"", "utf-8"), (None, None)]
+
+
+@pytest.mark.parametrize(("raw", "want"), ENCODED)
+def test_encodings(spark, raw, want):
+    d = spark.createDataFrame([(raw,)], "c binary")
+    assert d.select(R.detect_encoding(F.col("c"))).first()[0] == want
+
+
+def test_sources(spark):
+    d = spark.createDataFrame([(b"caf\xe9",), (b"\xef\xbb\xbfab",), (b"\xff\xfe\xe9\x00",), (None,)], "content binary")
+    assert [r[0] for r in d.select(R.detected_text(F.col("content"))).collect()] == ["café", "ab", "é", None]
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(R.join_form_feeds(F.lit("a\f \fb\n"))) == "a\n\nb"
+    files = spark.createDataFrame([("p1", "pdf", 20_000, "", b"x"), ("p2", "text", 3, "long enough text of more than forty characters", b"y"), ("p3", "text", 3, None, None)], "source_path string, document_type string, size_bytes long, text string, content binary")
+    got = {r["source_path"]: (r["text"], r["extractor"]) for r in R.with_fallback(files, lambda c: F.concat(F.lit("other "), c.cast("string"))).collect()}
+    assert got["p1"] == ("other x", "fallback") and got["p2"][1] == "first" and got["p3"] == (None, "first")
+    assert R.only_pdf(files).count() == 1 and R.union_scans(files, files).count() == 3
+    assert R.with_columns(files, text=F.upper).filter("source_path = 'p2'").first()["text"].startswith("LONG")
+
+
 def test_preview_and_words(spark):
     d = docs(spark, ["hello REMOVE world", "x" * 30, None])
     got = S.preview(d, max_chars=20).orderBy("doc").collect()
@@ -144,6 +198,11 @@ def test_html_and_docx(tmp_path):
         z.writestr("word/document.xml", f"<w:document {w}><w:body>{p('One')}<w:tbl>{row('a', 'b')}{row('c', 'd')}</w:tbl><w:p><w:del><w:r><w:t>gone</w:t></w:r></w:del></w:p></w:body></w:document>")
     text, warnings = R.docx_to_text(path.read_bytes())
     assert text == "One\n\na\tb\nc\td" and warnings == ["tracked deletions were ignored"]
+    assert R.docx_to_text(path.read_bytes(), tables="bar")[0] == "One\n\na | b\nc | d"
+    toc = tmp_path / "b.docx"
+    with zipfile.ZipFile(toc, "w") as z:
+        z.writestr("word/document.xml", f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="TOC1"/></w:pPr><w:r><w:t>Entry</w:t></w:r></w:p>{p("One")}</w:body></w:document>')
+    assert R.docx_to_text(toc.read_bytes())[0] == "One" and R.docx_to_text(toc.read_bytes(), contents=True)[0] == "Entry\n\nOne"
     with pytest.raises(zipfile.BadZipFile):
         R.docx_to_text(b"no zip")
 
@@ -169,6 +228,13 @@ def test_export(spark, tmp_path):
     out = str(tmp_path / "out")
     assert X.export(d, out, CleaningConfig(lowercase=True), ExportOptions())["files"] == 5
     assert (tmp_path / "out" / m["a/con.txt"]).read_text() == "x"
+    listed = json.loads((tmp_path / "out" / "manifest.json").read_text())
+    assert listed["files"] == 5 and [e["source_path"] for e in listed["entries"]] == sorted(m) and listed["entries"][0]["extraction_method"] == "plain_text"
+    told = d.withColumn("w", F.array(F.lit("Failed to read"), F.lit("odd"), F.lit("odd")))
+    assert X.export(told, "file://" + str(tmp_path / "two"), CleaningConfig(), ExportOptions(), warnings="w")["files_with_warnings"] == 5
+    assert len(json.loads((tmp_path / "two" / "warnings.json").read_text())) == 10 and not list((tmp_path / "two").rglob("*.part"))
+    X.export_joined(d, str(tmp_path / "joined"), CleaningConfig(lowercase=True))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "joined").glob("part-*"))).startswith("=== a/con.txt ===\nx\n")
     with pytest.raises(FileExistsError):
         X.export(d, out, CleaningConfig(), ExportOptions())
     with pytest.raises(ValueError):
