@@ -39,7 +39,7 @@ def injected(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
     i = lambda k: F.pmod("doc_id", F.lit(k)).cast("string")
     parts = [
-        F.lit("Running head of "), F.coalesce("source", F.lit("none")), F.lit("\n"), F.col("text"), F.lit("\n"), i(400), F.lit("\nPage "), i(90), F.lit(" here\n--- Page "), i(30),
+        F.lit("Running head of "), F.coalesce("source", F.lit("none")), F.lit("\n"), F.col("text"), F.lit("\n"), i(400), F.lit("\nPage "), i(90), F.lit(" here\r\n12\r\n--- Page 3 ---\r\nxii\r\n--- Page "), i(30),
         F.lit(" ---\nxiv\n------\n\n\n\n  tail of text \t\na\r\n<br>&amp; x = "), i(7), F.lit(" + y; see&nbsp;below\nMean SD n min max\n12.5 3.1 "), i(11),
     ]
     return d.withColumn("text", F.concat(*parts))
@@ -69,7 +69,7 @@ def _config(cfg: CleaningConfig) -> Callable:
 # -- SQL building blocks ---------------------------------------------------------------------------------------------
 
 _WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_INJ = r"""inj AS (SELECT doc_id, lang, source, 'Running head of ' || coalesce(source, 'none') || E'\n' || text || E'\n' || (doc_id % 400) || E'\nPage ' || (doc_id % 90) || E' here\n--- Page ' || (doc_id % 30)
+_INJ = r"""inj AS (SELECT doc_id, lang, source, 'Running head of ' || coalesce(source, 'none') || E'\n' || text || E'\n' || (doc_id % 400) || E'\nPage ' || (doc_id % 90) || E' here\r\n12\r\n--- Page 3 ---\r\nxii\r\n--- Page ' || (doc_id % 30)
  || E' ---\nxiv\n------\n\n\n\n  tail of text \t\na\r\n<br>&amp; x = ' || (doc_id % 7) || E' + y; see&nbsp;below\nMean SD n min max\n12.5 3.1 ' || (doc_id % 11) AS text FROM documents)"""
 
 
@@ -118,9 +118,9 @@ def _sql_clean(expr: str) -> str:
     return f"WITH {_INJ} SELECT doc_id, {expr} AS cleaned FROM inj"
 
 
-_DELIM = _re("text", r"(?im)^[ \t]*-+[ \t]*(?:page|pag\.)[ \t]*(?:[0-9]+|[ivxlcdm]+)[ \t]*-+[ \t]*$\n?")
+_DELIM = _re("text", r"(?im)^[ \t]*-+[ \t]*(?:page|pag\.)[ \t]*(?:[0-9]+|[ivxlcdm]+)[ \t]*-+[ \t]*(?:\r?\n|\z)")
 _IND = r"(?i)\b(?:page|pag\.)[ \t]*(?:[0-9]+|[ivxlcdm]+)\b"
-_NUM, _ROM = r"(?m)^[ \t]*\p{Nd}+[ \t]*$\n?", r"(?im)^[ \t]*[ivxlcdm]+[ \t]*$\n?"
+_NUM, _ROM = r"(?m)^[ \t]*\p{Nd}+[ \t]*(?:\r?\n|\z)", r"(?im)^[ \t]*[ivxlcdm]+[ \t]*(?:\r?\n|\z)"
 _EOL = r"replace(replace(text, E'\r\n', E'\n'), E'\r', E'\n')"
 
 
@@ -128,9 +128,30 @@ def _trim_lines(x: str) -> str:
     return f"array_to_string(list_transform(string_split({x}, E'\\n'), lambda v: {_trim('v')}), E'\\n')"
 
 
+def _sql_spacing() -> str:
+    x, no = "text", _WS.replace("[", "[^", 1)
+    for pattern, by in ((rf"{_WS}+([.,?!;:])", r"\1"), (rf"([.,?!;:])({no})", r"\1 \2"), (rf"\({_WS}+", "("), (rf"{_WS}+\)", ")"), (rf"\[{_WS}+", "["), (rf"{_WS}+\]", "]"), (rf"\{{{_WS}+", "{"), (rf"{_WS}+\}}", "}"), (rf"{_WS}{{2,}}", " ")):
+        x = _re(x, pattern, by)
+    return _trim(x)
+
+
+def _sql_nfkc() -> str:
+    """Composed, and the compatibility characters that such documents hold written out."""
+    x = "nfc_normalize(text)"
+    for a, b in (("\xa0", " "), ("\u2009", " "), ("\u202f", " "), ("\u3000", " "), ("…", "..."), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("²", "2"), ("³", "3"), ("¹", "1"), ("º", "o"), ("ª", "a"), ("½", "1⁄2"), ("¼", "1⁄4"), ("¾", "3⁄4"), ("№", "No"), ("™", "TM")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"SELECT doc_id, {x} AS cleaned FROM documents"
+
+
+def _sql_breaks() -> str:
+    """A line end that stays has another blank beside it, so that all become blanks in the end."""
+    kept = f"list_filter(string_split({_EOL}, E'\\n'), lambda v: NOT regexp_full_match(v, '{_WS}*[\\p{{L}}\\p{{M}}\\p{{N}}_]{_WS}*'))"
+    return _trim(_re(f"replace(array_to_string({kept}, E'\\n'), E'\\n', ' ')", f"{_WS}{{2,}}", " "))
+
+
 def _sql_combined() -> str:
     x = f"lower({_EOL})"
-    for p in (r"(?im)^[ \t]*-+[ \t]*(?:page|pag\.)[ \t]*(?:[0-9]+|[ivxlcdm]+)[ \t]*-+[ \t]*$\n?", _IND, _NUM, _ROM):
+    for p in (r"(?im)^[ \t]*-+[ \t]*(?:page|pag\.)[ \t]*(?:[0-9]+|[ivxlcdm]+)[ \t]*-+[ \t]*(?:\r?\n|\z)", _IND, _NUM, _ROM):
         x = _re(x, p)
     x = f"replace(replace({x}, 'institutional ', ''), 'each', 'every')"
     return _sql_clean(_re(_trim_lines(x), r"\n{3,}", r"\n\n").replace(r"'\n\n', 'g'", "E'\\n\\n', 'g'"))
@@ -208,7 +229,7 @@ def artifact_examples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def artifact_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(spark, sf)[2].select("id", "content_class", "signal", "reasons", "text_profile", "raw_variants")
+    return _found(spark, sf)[2].select("id", "content_class", "signal", "reasons", "text_profile.char_count", "text_profile.token_count")
 
 
 def artifact_promoted_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,6 +281,98 @@ _HEADERS = f""", e AS (SELECT DISTINCT doc_id, page, {_key('v')} AS key FROM x W
  h AS (SELECT e.doc_id, e.key FROM e JOIN c USING (doc_id) WHERE e.key <> '' AND c.pages >= 3 GROUP BY e.doc_id, e.key, c.pages HAVING count(*) >= greatest(3, (c.pages + 1) // 2))"""
 
 
+def _in(words: list[str]) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+_B1 = chr(92)
+_ANY_TABLE = "regexp_matches(T, '" + _B1 + "t| {2,}')"
+
+
+def _sql_profiled(rows: str, key: str) -> str:
+    """CTEs down to ``pf``: the profile of the lines ``x`` (and what else ``rows``, a relation, has); ``key``: the line's family key."""
+    w = f"regexp_split_to_array(t, '{_WS}+')"
+    run = f"(SELECT coalesce(max(c), 0) FROM (SELECT count(*) AS c FROM (SELECT i - row_number() OVER (PARTITION BY ch ORDER BY i) AS g, ch FROM (SELECT u[i] AS ch, i FROM (SELECT regexp_extract_all(regexp_replace(t, '{_WS}', '', 'g'), '(?s).') AS u), generate_series(1, len(u)) AS q(i))) GROUP BY g, ch))"
+    ops, brackets = r"+\-*/=<>^≤≥≠±×÷≈∑√∫→←⇒".replace(chr(92) * 2, chr(92)), r"()\[\]{}".replace(chr(92) * 2, chr(92))
+    tag = lambda v: f"(lower({v}) IN {_in([p.lower() for p in P.INLINE_PATTERNS])} OR (regexp_matches({v}, '(?s)^<.*[{_AL}].*>$') AND length({v}) <= 80) OR (regexp_matches({v}, '^&[{_AL}{_B1}p{{N}}#]+;') AND ends_with({v}, ';') AND length({v}) <= 32))"
+    cid = lambda v: f"regexp_matches({v}, '(?i)cid:[0-9]+')"
+    a1, d1, n1 = _n("v", _AL), _n("v", _ND), "length(v)"
+    odd = f"({tag('v')} OR {cid('v')} OR contains(v, '�') OR ({n1} >= 3 AND ({n1} - {a1} - {d1}) * 2 >= {n1}) OR ({n1} >= 4 AND len(list_filter(range(1, {n1} - 2), lambda i: v[i] = v[i + 1] AND v[i] = v[i + 2] AND v[i] = v[i + 3])) > 0) OR {a1} = 0)"
+    bare = "list_transform(tok, lambda v: lower(trim(v, ',;()[]')))"
+    numeric = f"len(list_filter(tok, lambda v: regexp_full_match(trim(v, '()[]{{}},;'), '[{_B1}p{{Nd}}.,%+{_B1}-/:٫٬]+') AND regexp_matches(v, '{_ND}')))"
+    stat = f"(regexp_matches(lower(t), 'χ²|chi2') OR len(list_filter(bare, lambda v: regexp_matches(v, '^[pftzr]=|^p<') OR v IN ('p≤', 'p>='))) > 0 OR len(list_filter(range(1, len(bare)), lambda i: bare[i] IN ('p', 'f', 't', 'z', 'r') AND regexp_matches(bare[i + 1], '^[=<≤]'))) > 0)"
+    math, digit = "regexp_matches(t, '[χΧ²³μσΣπΠ∞]')", "nd > 0"
+    o, b = _n("t", ops), _n("t", brackets)
+    keyword = "(regexp_matches(t, '^(if|for|while)[ (]') OR contains(t, ' return '))"
+    return f"""p0 AS (SELECT *, {_trim('x')} AS t FROM {rows}), p1 AS (SELECT *, {key} AS k, list_filter({w}, lambda v: v <> '') AS tok, length(t) AS n, {_n('t', _AL)} AS na, {_n('t', _ND)} AS nd, length(t) - length(regexp_replace(t, '{_WS}', '', 'g')) AS nw, {run} AS run FROM p0),
+ p2 AS (SELECT *, {bare} AS bare, len(tok) AS kn, CASE WHEN n > 0 THEN na / n ELSE 0 END AS ar, CASE WHEN n > 0 THEN nd / n ELSE 0 END AS dr, CASE WHEN n > 0 THEN (n - na - nd - nw) / n ELSE 0 END AS sr, coalesce(list_sum(list_transform(tok, lambda v: length(v))) / nullif(len(tok), 0), 0) AS avg_len,
+  CASE WHEN len(tok) > 0 THEN len(list_filter(tok, lambda v: {odd})) / len(tok) ELSE 0 END AS odd_ratio, regexp_matches(t, '[.!?。！？]') AS has_sentence_punctuation, k IN {_HEADINGS} AS looks_like_common_section_heading, k IN {_LABELS} AS looks_like_page_label FROM p1),
+ pf AS (SELECT *, {tag('t')} AS is_tag, {cid('t')} AS is_cid,
+  (kn >= 2) AND ((kn >= 3 AND len(list_filter(bare, lambda v: v NOT IN {_in(P.HEADER_WORDS)})) = 0) OR ({stat} AND nd > 0 AND kn >= 4) OR ({numeric} >= 3 AND {numeric} * 2 >= kn) OR (dr >= 0.45 AND ar < 0.35 AND kn >= 3) OR (len(regexp_extract_all(t, '{_B1}t| {{2,}}')) >= 2 AND {numeric} >= 2)) AS looks_like_table_or_numeric_row,
+  ({b} >= 2 AND ({o} > 0 OR contains(t, ';') OR {keyword})) OR (contains(t, ';') AND (contains(t, '=') OR {b} > 0 OR contains(t, '_'))) OR (contains(t, '=') AND ({o} >= 2 OR {digit} OR contains(t, '_') OR {math})) OR ({math} AND ({o} > 0 OR {digit})) AS looks_like_formula_or_code,
+  {tag('t')} OR {cid('t')} OR contains(t, '�') OR (run >= 4 AND ar < 0.25) OR (sr >= 0.65 AND ar < 0.20) OR (sr >= 0.80 AND kn <= 3) AS looks_like_markup_or_extraction_noise FROM p2)"""
+
+
+def _sql_signal(text_dominant: str, heading: str, symbol: str, strong: str, edge: str) -> str:
+    return (
+        f"CASE WHEN looks_like_common_section_heading OR {heading} THEN 'likely_section_heading' WHEN looks_like_page_label THEN 'likely_page_label' WHEN looks_like_markup_or_extraction_noise OR ({symbol} AND sr >= 0.5 AND ar < 0.3) THEN 'likely_markup_or_extraction_noise' "
+        f"WHEN looks_like_table_or_numeric_row THEN 'likely_table_or_numeric_row' WHEN looks_like_formula_or_code THEN 'likely_formula_or_code' WHEN {text_dominant} AND ar >= 0.65 AND sr <= 0.15 AND kn >= 4 AND avg_len >= 3.0 AND {edge} < 0.75 AND NOT {strong} THEN 'likely_natural_text' ELSE 'ambiguous' END"
+    )
+
+
+def _sql_reasons(label: str, edge: str) -> str:
+    noise = f"{label} = 'likely_markup_or_extraction_noise'"
+    codes = [
+        (f"{label} = 'likely_section_heading'", "common_section_heading"), (f"{label} = 'likely_page_label'", "page_label_pattern"), (f"{label} = 'likely_table_or_numeric_row'", "table_or_numeric_row"), (f"{label} = 'likely_formula_or_code'", "formula_or_code_symbols"),
+        (f"{noise} AND is_tag", "markup_entity_or_tag"), (f"{noise} AND is_cid", "cid_marker"), (f"{noise} AND contains(t, '�')", "replacement_character_junk"), (f"{noise} AND sr >= 0.5", "high_symbol_ratio"), (f"{label} = 'likely_natural_text'", "mostly_alphabetic"),
+        (f"{label} = 'likely_natural_text'", "multi_token_text"), ("dr >= 0.35", "high_digit_ratio"), ("run >= 4", "long_repeated_character_run"), (f"{edge} >= 0.75", "page_edge_repetition"),
+    ]
+    return "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{r}' END" for c, r in codes) + "], lambda v: v IS NOT NULL)"
+
+
+_OBVIOUS = """CASE WHEN n = 0 THEN false WHEN marked AND is_cid THEN true WHEN marked AND is_tag AND n <= 12 AND kn <= 3 AND sr >= 0.25 THEN true
+ WHEN looks_like_common_section_heading OR looks_like_page_label OR looks_like_table_or_numeric_row OR looks_like_formula_or_code OR ar >= 0.5 OR (kn >= 2 AND ar >= 0.35 AND avg_len >= 2.0 AND odd_ratio < 0.5) OR (has_sentence_punctuation AND ar >= 0.25) THEN false
+ ELSE ar <= 0.10 AND ((marked AND contains(t, '�') AND sr >= 0.5) OR (run >= 4 AND sr >= 0.5) OR (n >= 4 AND sr >= 0.85) OR (n >= 4 AND kn <= 3 AND odd_ratio >= 0.75 AND sr >= 0.5)) END"""
+
+
+def _sql_noise() -> str:
+    parts = f"pa AS (SELECT doc_id, i, l[i] AS x FROM (SELECT doc_id, regexp_extract_all(text, '[^{_B1}n]*{_B1}n|[^{_B1}n]+') AS l FROM inj), generate_series(1, len(l)) AS s(i))"
+    label = _sql_signal("false", "false", "false", "false", "0")
+    return f"WITH {_INJ}, {parts}, {_sql_profiled('pa', _key('x'))}, m AS (SELECT *, {label} = 'likely_markup_or_extraction_noise' AS marked FROM pf), kept AS (SELECT doc_id, string_agg(x, '' ORDER BY i) AS c FROM m WHERE NOT ({_OBVIOUS}) GROUP BY doc_id) SELECT inj.doc_id, CASE WHEN inj.text IS NULL THEN NULL ELSE coalesce(c, '') END AS cleaned FROM inj LEFT JOIN kept USING (doc_id)"
+
+
+def _sql_diagnostics() -> str:
+    kinds = ", ".join(f"coalesce(sum(occurrences) FILTER (kind = '{k}'), 0)::bigint AS {k}_occurrences" for k in A.PREFIX)
+    return f"""WITH {_VALID}, g AS ({_EXACT} UNION ALL {_NORM} UNION ALL {_INLINE}), f AS (SELECT *, occurrences >= 5 AND files >= 1 AS ok FROM g)
+ SELECT (SELECT count(*) FROM inj) AS documents, (SELECT count(*) FROM inj WHERE text <> '') AS documents_with_text, (SELECT count(*) FROM ln) AS lines, count(*) AS keys_before_filters, count(*) FILTER (ok) AS keys_after_filters, count(*) FILTER (ok AND kind = 'exact_line') AS exact_after_filters, count(*) FILTER (ok AND kind = 'normalized_line') AS normalized_after_filters, {kinds} FROM f"""
+
+
+def _sql_signals() -> str:
+    risk = lambda r: f"risk = '{r}'"
+    edge = "CASE WHEN top + middle + bottom > 0 THEN (top + bottom)::double / (top + middle + bottom) ELSE 0 END"
+    label = _sql_signal("content_class = 'text_dominant'", risk("common_section_heading_review_carefully"), risk("symbol_or_noise_candidate"), risk("strong_header_footer_candidate"), edge)
+    return f"WITH c0 AS (SELECT *, display AS x FROM ({_sql_candidates()})), c AS (SELECT *, {_class(_trim('x'))} AS content_class FROM c0), {_sql_profiled('c', 'normalized_key')}, l AS (SELECT *, {label} AS signal FROM pf) SELECT id, content_class, signal, {_sql_reasons('signal', edge)} AS reasons, n::int AS char_count, kn::int AS token_count FROM l"
+
+
+def _sql_hits(term: str) -> str:
+    return (
+        f"WITH m AS (SELECT doc_id AS doc, text, generate_subscripts(p, 1) AS k, p FROM (SELECT doc_id, text, string_split(lower(text), '{term}') AS p FROM documents WHERE contains(lower(text), '{term}'))), a AS (SELECT doc, text, k, len(p) AS n, list_sum(list_transform(p[1 : k], lambda v: length(v)))::bigint + (k - 1) * {len(term)} AS o FROM m) "
+        f"SELECT doc, (k - 1)::int AS ordinal, text[greatest(o - 79, 1) : o] AS before, text[o + 1 : o + {len(term)}] AS match, text[o + {len(term)} + 1 : o + {len(term)} + 80] AS after FROM a WHERE k < n"
+    )
+
+
+_GRADE = "CASE WHEN n < 20 THEN CASE WHEN s > 0.5 * n OR r > 0.1 * n THEN 'poor' WHEN w < 0.5 * kn THEN 'suspicious' ELSE 'good' END WHEN r > 0.05 * n OR s > 0.3 * n OR w < 0.4 * kn OR a < 0.3 * n OR c > 40 * kn THEN 'poor' WHEN s > 0.15 * n OR w < 0.6 * kn OR a < 0.5 * n OR c > 20 * kn THEN 'suspicious' ELSE 'good' END"
+
+
+def _sql_audit(select: str) -> str:
+    sample = f"sm AS (SELECT doc_id, count(*) AS n, substring(string_agg(p, E'\\n\\n' ORDER BY page) FILTER (page < 3 AND {_trim('p')} <> ''), 1, 5000) AS text FROM pg GROUP BY doc_id)"
+    counts = (
+        f"cm AS (SELECT doc_id, pages, length(text)::int AS n, len(k)::int AS kn, {_n('text', _AL)} AS a, {_n('text', '�')} AS r, length(regexp_replace(text, '[{_AL}{chr(92)}p{{N}}{chr(92)}p{{Cc}}]|{_WS}', '', 'g')) AS s, len(list_filter(k, lambda v: {_n('v', _AL)} * 2 >= length(v))) AS w, "
+        f"coalesce(list_sum(list_transform(k, lambda v: length(v))), 0) AS c FROM (SELECT doc_id, n AS pages, text, list_filter(regexp_split_to_array(text, '{_WS}+'), lambda v: v <> '') AS k FROM sm))"
+    )
+    return f"WITH {_PAGED}, {sample}, {counts}, graded AS (SELECT doc_id, pages AS n, n AS c, {_GRADE} AS quality FROM cm) {select}"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda spark, sf: table(spark, sf, "documents")
     strip = lambda **k: lambda spark, sf: paged(spark, sf).select("doc_id", F.array_join(G.strip_pages(F.col("pages"), **k), "\n\n").alias("text"))
@@ -282,7 +395,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "artifact_candidates": artifact_candidates, "artifact_examples": artifact_examples, "artifact_signals": artifact_signals, "artifact_promoted_clean": artifact_promoted_clean,
         "artifact_diagnostics": lambda s, d: A.diagnostics(injected(s, d), A.observations(injected(s, d), CANDIDATE_SCAN), CANDIDATE_SCAN),
         "pdf_header_footer": pdf_header_footer, "pdf_page_labels": strip(headers=False, labels=True), "pdf_symbol_heavy": strip(headers=False, labels=False, symbols=True),
-        "pdf_page_range": lambda s, d: G.page_range(paged(s, d), "doc_id", "pages", 2, 2).select("doc", "page", "text", "error"),
+        "pdf_page_range": lambda s, d: G.page_range(paged(s, d), "doc_id", "pages", 2, 2).select("doc", F.coalesce("page", F.lit(0)).alias("page"), "text", "error"),
         "pdf_audit": lambda s, d: G.audit(paged(s, d), "doc_id", "pages"), "pdf_worst_profile": lambda s, d: G.worst_profile(G.audit(paged(s, d), "doc_id", "pages")),
         "pdf_line_kind": lambda s, d: inj_lines(s, d).select(G.line_kind_col(F.col("x")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_lines")),
         "page_zone_clean": lambda s, d: paged(s, d).select("doc_id", C.clean_pages(F.col("pages"), F.array_join("pages", "\n\n"), zoned).alias("c")).select("doc_id", "c.text"),
@@ -291,7 +404,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "preview_original": lambda s, d: S.preview(docs(s, d), max_chars=900), "preview_processed": lambda s, d: S.preview(docs(s, d), max_chars=900, config=CleaningConfig(lowercase=True)),
         "preview_combined": lambda s, d: S.combined_preview(docs(s, d), max_chars=300),
         "legacy_spacing": _cleaned(C.spacing), "legacy_breaks": _cleaned(C.legacy_breaks), "legacy_biblio_refs": _cleaned(C.biblio_references), "legacy_char_filter": _cleaned(lambda c: C.filter_sequences(c, ["the", "&", "ship"])),
-        "legacy_superscripts": _cleaned(C.super_subscripts), "legacy_page_numbers": _cleaned(C.short_page_numbers), "legacy_newlines": _cleaned(C.newlines_to_spaces), "legacy_stop_words": _cleaned(lambda c: C.stop_words(c, ["the", "of", "a"])),
+        "legacy_superscripts": _cleaned(C.super_subscripts), "legacy_page_numbers": _cleaned(C.short_page_numbers), "legacy_roman_numbers": _cleaned(C.short_roman_numbers), "legacy_indicators": _cleaned(C.legacy_indicators), "legacy_delimiters": _cleaned(C.legacy_delimiters), "legacy_newlines": _cleaned(C.newlines_to_spaces), "legacy_stop_words": _cleaned(lambda c: C.stop_words(c, ["the", "of", "a"])),
         "legacy_nfkc": lambda s, d: docs(s, d).select("doc_id", nfkc(F.col("text")).alias("cleaned")), "legacy_marks": lambda s, d: docs(s, d).select("doc_id", strip_nonspacing(F.col("text")).alias("cleaned")),
         "legacy_greek": lambda s, d: table(s, d, "file_preview").select("preview_id", C.drop_script(F.col("text"), "Greek").alias("cleaned")),
         "export_manifest": lambda s, d: X.manifest(table(s, d, "file_preview").groupBy("relative_path").agg(F.min("text").alias("text")), CleaningConfig(lowercase=True)),
@@ -329,15 +442,25 @@ def oracle_sql() -> dict[str, str]:
         "pdf_page_labels": _sql_pages(f"{_EDGE} AND (regexp_matches({_trim('v')}, '{_PAGE_LABEL_SQL}') OR regexp_matches({_trim('v')}, '(?i)^(?:page\\s+)?m{{0,4}}(?:cm|cd|d?c{{0,3}})(?:xc|xl|l?x{{0,3}})(?:ix|iv|v?i{{0,3}})$') AND {_trim('v')} <> '')"),
         "pdf_symbol_heavy": _sql_pages(f"regexp_matches({_trim('v')}, '^[●•·○■□▲△◆◇.*+_|~^=°\\-\\s]+$')"),
         "page_zone_clean": f"WITH {_PAGED}, x AS (SELECT doc_id, page, k, l[k] AS v, len(l) AS n FROM pl, generate_series(1, len(l)) AS s(k)), kept AS (SELECT doc_id, page, string_agg(v, E'\\n' ORDER BY k) AS p FROM x WHERE NOT ({zone}) GROUP BY doc_id, page) SELECT doc_id, string_agg(p, E'\\n\\n' ORDER BY page) AS text FROM kept GROUP BY doc_id",
-        "search_hits": f"WITH m AS (SELECT doc_id AS doc, text, generate_subscripts(p, 1) AS k, p FROM (SELECT doc_id, text, string_split(lower(text), '{term}') AS p {doc} WHERE contains(lower(text), '{term}'))), a AS (SELECT doc, text, k, len(p) AS n, list_sum(list_transform(p[1 : k], lambda v: length(v)))::bigint + (k - 1) * {len(term)} AS o FROM m) "
-        f"SELECT doc, (k - 1)::int AS ordinal, text[greatest(o - 79, 1) : o] AS before, text[o + 1 : o + {len(term)}] AS match, text[o + {len(term)} + 1 : o + {len(term)} + 80] AS after FROM a WHERE k < n",
+        "search_hits": _sql_hits(term),
+        "line_flags": f"WITH {_LINES}, {_sql_profiled('(SELECT doc_id, line, x FROM ln)', _key('x'))} SELECT doc_id, line, {', '.join(c for c in P.PROFILE if c.startswith(('looks', 'has')))} FROM pf",
+        "text_signal": f"WITH {_LINES}, {_sql_profiled('(SELECT doc_id, line, x FROM ln)', _key('x'))}, l AS (SELECT *, {_sql_signal(_class('t') + chr(32) + '= ' + chr(39) + 'text_dominant' + chr(39), 'false', 'false', 'false', '0')} AS label FROM pf), r AS (SELECT label, {_sql_reasons('label', '0')} AS reasons FROM l) SELECT label, reasons, count(*) AS n_lines FROM r GROUP BY label, reasons",
+        "clean_noise_lines": _sql_noise(), "artifact_diagnostics": _sql_diagnostics(), "artifact_signals": _sql_signals(),
+        "legacy_nfkc": _sql_nfkc(),
+        "pdf_page_range": f"WITH {_PAGED}, n AS (SELECT doc_id, max(page) + 1 AS n FROM pg GROUP BY doc_id) SELECT n.doc_id AS doc, coalesce(pg.page + 1, 0)::int AS page, pg.p AS text, CASE WHEN n.n < 2 THEN 'start page is behind the last page' END AS error FROM n LEFT JOIN pg ON pg.doc_id = n.doc_id AND pg.page IN (1, 2)",
+        "pdf_audit": _sql_audit("SELECT doc_id AS doc, n::int AS page_count, c::int AS sample_chars, quality, CASE quality WHEN 'good' THEN 'standard' WHEN 'suspicious' THEN 'ocr_rescue' ELSE 'force_ocr' END AS suggested_profile, list_filter([CASE WHEN n > 3 THEN 'only the first pages were looked at' END], lambda v: v IS NOT NULL) AS warnings FROM graded"),
+        "pdf_worst_profile": _sql_audit("SELECT CASE max(CASE quality WHEN 'good' THEN 0 WHEN 'suspicious' THEN 1 ELSE 2 END) WHEN 0 THEN 'standard' WHEN 1 THEN 'ocr_rescue' ELSE 'force_ocr' END AS suggested_profile, count(*) AS documents FROM graded"),
+        "preview_combined": f"WITH f AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS k FROM documents QUALIFY k <= 25) SELECT string_agg('FILE ' || lpad(k::varchar, 3, '0') || ' / ' || (SELECT count(*) FROM documents) || E'\n' || coalesce(text[1 : 300], ''), E'\n\n' ORDER BY k) AS combined, count(*) AS files, sum(least(length(text), 300))::bigint AS chars FROM f",
+        "search_top": f"SELECT * FROM ({_sql_hits(term)}) ORDER BY doc, ordinal LIMIT 1000",
         "search_totals": f"SELECT coalesce(sum(n), 0)::bigint AS matches, count(*) AS files, coalesce(sum(n), 0) > 1000 AS truncated FROM (SELECT len(string_split(lower(text), '{term}')) - 1 AS n {doc}) WHERE n > 0",
         "word_count": f"SELECT doc_id AS doc, coalesce(len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda v: v <> '')), 0)::int AS words {doc}",
         "word_totals": f"WITH w AS (SELECT len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda v: v <> '')) AS n {doc}) SELECT sum(n)::bigint AS total_words, round(avg(n), 6) AS mean_words FROM w",
         "preview_original": f"SELECT doc_id AS doc, text[1 : 900] AS preview, length(text) > 900 AS truncated, least(length(text), 900)::int AS chars {doc}",
         "preview_processed": f"SELECT doc_id AS doc, lower(text[1 : 900]) AS preview, length(text) > 900 AS truncated, least(length(text), 900)::int AS chars {doc}",
         "legacy_biblio_refs": _sql_clean(_re("text", r"\([A-Z][a-z]+(?:[^()]*?\d{4}[^()]*?)?\)")), "legacy_superscripts": _sql_clean(_re("text", r"[\p{No}\p{Sk}]")),
-        "legacy_page_numbers": _sql_clean(_re("text", r"(?m)^[ \t]*[0-9]{1,4}[ \t]*$\n?")), "legacy_newlines": _sql_clean(r"replace(text, E'\n', ' ')"), "legacy_char_filter": _sql_clean(_re("text", r"(?i)\bthe\b|&|\bship\b")),
+        "legacy_page_numbers": _sql_clean(_re("text", rf"(?m)^{_WS}*\p{{Nd}}{{1,4}}{_WS}*$")), "legacy_roman_numbers": _sql_clean(_re("text", rf"(?m)^{_WS}*[IiVvXxLlCcDdMm]{{1,7}}{_WS}*$")),
+        "legacy_indicators": _sql_clean(_re("text", rf"\b(?:[Pp]age|[Pp]ag\.?){_WS}+(?:\p{{Nd}}+|[IVXLCDM]+)\b")), "legacy_delimiters": _sql_clean(_re("text", rf"---{_WS}*Page{_WS}+\p{{Nd}}+{_WS}*---")),
+        "legacy_spacing": _sql_clean(_sql_spacing()), "legacy_breaks": _sql_clean(_sql_breaks()), "legacy_marks": f"SELECT doc_id, strip_accents(text) AS cleaned {doc}", "legacy_newlines": _sql_clean(r"replace(text, E'\n', ' ')"), "legacy_char_filter": _sql_clean(_re("text", r"(?i)\bthe\b|&|\bship\b")),
         "legacy_stop_words": _sql_clean(f"array_to_string(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda v: v <> '' AND lower(v) NOT IN ('the', 'of', 'a')), ' ')"),
         "legacy_greek": r"SELECT preview_id, regexp_replace(text, '\p{Greek}', '', 'g') AS cleaned FROM file_preview",
         "warning_kinds": "SELECT CASE WHEN contains(message, 'Failed') OR contains(message, 'low-quality text') OR contains(message, 'required for this PDF') THEN 'extraction_error' ELSE 'extraction_warning' END AS kind, count(*) AS n FROM export_warning GROUP BY 1",
