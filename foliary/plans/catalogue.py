@@ -17,6 +17,7 @@ from foliary.functions import profile as P
 from foliary.functions.text import count_class, line_key, lines, longest_run, nfkc, staged, strip_diacritics, strip_nonspacing, tokens, ws_trim
 from foliary.operators import artifacts as A
 from foliary.operators import export as X
+from foliary.operators import linekinds as K
 from foliary.operators import pages as G
 from foliary.operators import search as S
 from foliary.runtime import table
@@ -54,6 +55,18 @@ def paged(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), page).alias("pages"))
 
 
+CODE_LINES = "x <- c(1, 2, 3)\ny <- mean(x)\nσ² = Σ (x - μ)² / n\ndata[[1]]$name <- f(2);\nThe house was old and stood by the river.\nlibrary(stats)\ny = a + b\n|||||||||"
+
+
+def coded(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages of documents with lines of code, formulas and signs at their ends."""
+    return paged(spark, sf).select("doc_id", F.transform("pages", lambda p: F.concat(p, F.lit("\n" + CODE_LINES))).alias("pages"))
+
+
+def _page_clean(options: G.PageOptions, *columns: str) -> Callable:
+    return lambda spark, sf: G.clean_pages(coded(spark, sf), "doc_id", "pages", options).select(F.col("doc").alias("doc_id"), *columns)
+
+
 def inj_lines(spark: SparkSession, sf: str) -> DataFrame:
     return injected(spark, sf).select("doc_id", F.posexplode(lines(F.col("text"))).alias("line", "x"))
 
@@ -281,12 +294,63 @@ _HEADERS = f""", e AS (SELECT DISTINCT doc_id, page, {_key('v')} AS key FROM x W
  h AS (SELECT e.doc_id, e.key FROM e JOIN c USING (doc_id) WHERE e.key <> '' AND c.pages >= 3 GROUP BY e.doc_id, e.key, c.pages HAVING count(*) >= greatest(3, (c.pages + 1) // 2))"""
 
 
+_B1 = chr(92)
+
+
+def _sql_kinds(rows: str) -> str:
+    """CTEs down to ``lk``: the kind of the lines ``x`` of a relation, and whether a line is code beyond doubt."""
+    punct = "!-/:-@" + _B1 + "[-`{-~"
+    words = "|".join(K.KEYWORDS)
+    has = lambda signs: "(" + " OR ".join(f"contains(t, '{x}')" for x in signs) + ")"
+    when = lambda *pairs: " + ".join(f"(CASE WHEN {c} THEN {p} ELSE 0 END)" for c, p in pairs)
+    thin, full = "(ratio < 0.2 AND kn >= 2)", "ratio > 0.7"
+    call = f"regexp_matches(t, '[{_AL}]{_B1}(')"
+    code = f"4 * keywords + {when(*[(f'contains(t, {chr(39)}{x}{chr(39)})', p) for x, p in K.CODE_SIGNS.items()], (call, 'CASE WHEN prose = 0 THEN 6 ELSE 3 END'), (f'regexp_matches(t, {chr(39)}[{{}}{_B1}[{_B1}]]{chr(39)})', f'CASE WHEN {has(K.INDEXING[:2])} THEN 5 ELSE 2 END'), (f'ends_with(t, {chr(39)};{chr(39)})', 3), (thin, 4), (full, -6))}"
+    formula = f"3 * probabilities + {when(('greek', 4), ('math > 0', 3), (has(K.STATISTICS), 5), ('variable', 2), (thin, 4), (f'NOT {thin} AND ratio < 0.4 AND kn >= 2', 2), (full, -6))}"
+    prose = f"3 * prose + {when((full, 6), ('ratio > 0.9', 6), (f'regexp_matches(t, {chr(39)}{K.HEADS}{chr(39)})', 6), (f'regexp_matches(t, {chr(39)}^[•{_B1}-*]{chr(39)}) AND prose > 0', 5))}"
+    lone = when((has(K.OPERATORS), 2), (has(K.INDEXING), 2), (call, 1), ("ends_with(t, ';')", 1))
+    return f"""k0 AS (SELECT *, {_trim('x')} AS t FROM {rows}), k1 AS (SELECT *, list_filter(regexp_split_to_array(t, '{_WS}+'), lambda v: v <> '') AS tok, length(t) AS chars FROM k0),
+ k2 AS (SELECT *, len(tok) AS kn, list_transform(tok, lambda v: regexp_replace(v, '^[{punct}]+|[{punct}]+$', '', 'g')) AS bare FROM k1),
+ k3 AS (SELECT *, len(list_filter(bare, lambda v: strlen(v) >= 2 AND regexp_full_match(v, '[{_AL}{_B1}-'']+'))) AS words, len(list_filter(bare, lambda v: v IN ('a', 'A', 'i', 'I'))) AS articles, len(list_filter(bare, lambda v: regexp_full_match(v, '[A-Za-z]') AND v NOT IN ('a', 'A', 'i', 'I'))) > 0 AS variable,
+  len(list_filter(range(1, kn + 1), lambda i: bare[i] IN {_in(K.KEYWORDS)} OR regexp_matches(tok[i], '^(?:{words}){_B1}('))) AS keywords, len(list_filter(tok, lambda v: regexp_matches(v, '^(?:[pP]|Pr){_B1}('))) AS probabilities, {_n('t', K.MATH)} AS math, {_SYM.replace('T', 't')} AS signs, regexp_matches(t, '{K.GREEK}') AS greek FROM k2),
+ k4 AS (SELECT *, words + articles AS prose, CASE WHEN kn > 0 THEN (words + articles) / kn ELSE 0 END AS ratio, CASE WHEN kn > 0 THEN words / kn ELSE 0 END AS plain FROM k3),
+ k5 AS (SELECT *, {prose} AS for_prose, {code} AS for_code, {formula} AS for_formula, 2 * signs + (CASE WHEN chars > 0 AND signs / chars > 0.7 THEN 6 ELSE 0 END) AS for_symbol, {lone} AS lone_signs FROM k4),
+ k6 AS (SELECT *, for_prose - (CASE WHEN for_code >= 5 THEN 5 ELSE 0 END) - (CASE WHEN for_formula >= 5 THEN 5 ELSE 0 END) AS less FROM k5),
+ lk AS (SELECT *, chars >= {K.LONE_LENGTH} AND ((plain < 0.2 AND lone_signs >= 2) OR lone_signs >= 3) AS lone,
+  CASE WHEN kn = 0 THEN 'ambiguous' WHEN regexp_full_match(regexp_replace(t, '{_WS}', '', 'g'), '[0-9.{_B1}-+]+') THEN 'prose' WHEN for_prose >= 8 AND ratio > 0.5 THEN 'prose' WHEN for_code >= 5 AND for_code > for_formula AND for_code > less THEN 'code'
+  WHEN for_formula >= 5 AND for_formula > for_code AND for_formula > less THEN CASE WHEN ratio < 0.3 OR (greek AND ratio < 0.5) OR math >= 2 THEN 'formula' ELSE 'ambiguous' END WHEN for_symbol >= 8 AND signs / chars > 0.8 THEN 'symbol' ELSE 'ambiguous' END AS kind FROM k6)"""
+
+
+_CODED = _PAGED + ", cp AS (SELECT doc_id, page, i, l[i] AS x, len(l) AS n_lines FROM (SELECT doc_id, page, string_split(p || E'\\n' || '" + CODE_LINES.replace("\n", "' || E'\\n' || '") + "', E'\\n') AS l FROM pg), generate_series(1, len(l)) AS s(i))"
+_IS_LABEL = f"(regexp_matches({_trim('x')}, '{_PAGE_LABEL_SQL}') OR (regexp_matches({_trim('x')}, '(?i)^(?:page{_B1}s+)?m{{0,4}}(?:cm|cd|d?c{{0,3}})(?:xc|xl|l?x{{0,3}})(?:ix|iv|v?i{{0,3}})$') AND {_trim('x')} <> ''))"
+
+
+def _sql_coded(label: bool, code: bool, formula: bool, select: str) -> str:
+    drop = f"(i <= 3 OR i > n_lines - 3) AND {_IS_LABEL}" if label else "false"
+    why = f"CASE WHEN {code} AND kind = 'code' AND (coalesce(lag(kind) OVER w = 'code', false) OR coalesce(lead(kind) OVER w = 'code', false) OR lone) THEN 'code' WHEN {formula} AND kind = 'formula' THEN 'formula' ELSE '' END"
+    return f"""WITH {_CODED}, lb AS (SELECT *, {drop} AS is_label FROM cp), kd AS (SELECT doc_id, page, i, x FROM lb WHERE NOT is_label), {_sql_kinds('kd')},
+ wy AS (SELECT doc_id, page, i, x, {why} AS why FROM lk WINDOW w AS (PARTITION BY doc_id, page ORDER BY i)), st AS (SELECT *, why = 'code' AND NOT coalesce(lag(why) OVER (PARTITION BY doc_id, page ORDER BY i) = 'code', false) AS starts FROM wy) {select}"""
+
+
+def _sql_page_text(code: bool, formula: bool) -> str:
+    kept = f"pt AS (SELECT doc_id, page, {_trim('coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (why = ' + chr(39) * 2 + '), ' + chr(39) * 2 + ')')} AS p FROM wy GROUP BY doc_id, page)"
+    return _sql_coded(False, code, formula, f", {kept} SELECT doc_id, coalesce(string_agg(p, chr(10) || chr(10) ORDER BY page) FILTER (p <> ''), '') AS text FROM pt GROUP BY doc_id")
+
+
+def _sql_counters() -> str:
+    told = (
+        "list_filter([CASE WHEN label_pages > 0 THEN 'Removed PDF page labels/page-number lines from ' || label_pages || ' pages.' END, CASE WHEN code_lines > 0 THEN 'Removed ' || code_blocks || ' PDF code-like blocks containing ' || code_lines || ' lines across ' || code_pages || ' pages.' END, "
+        "CASE WHEN formula_lines > 0 THEN 'Removed ' || formula_lines || ' PDF formula-like lines across ' || formula_pages || ' pages.' END], lambda v: v IS NOT NULL)"
+    )
+    return _sql_coded(True, True, True, f""", la AS (SELECT doc_id, count(DISTINCT page) FILTER (is_label)::int AS label_pages FROM lb GROUP BY doc_id),
+ ct AS (SELECT doc_id, count(*) FILTER (starts)::int AS code_blocks, count(*) FILTER (why = 'code')::int AS code_lines, count(DISTINCT page) FILTER (why = 'code')::int AS code_pages, count(*) FILTER (why = 'formula')::int AS formula_lines, count(DISTINCT page) FILTER (why = 'formula')::int AS formula_pages FROM st GROUP BY doc_id)
+ SELECT *, {told} AS warnings FROM la JOIN ct USING (doc_id)""")
+
+
 def _in(words: list[str]) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
-_B1 = chr(92)
-_ANY_TABLE = "regexp_matches(T, '" + _B1 + "t| {2,}')"
 
 
 def _sql_profiled(rows: str, key: str) -> str:
@@ -397,7 +461,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pdf_header_footer": pdf_header_footer, "pdf_page_labels": strip(headers=False, labels=True), "pdf_symbol_heavy": strip(headers=False, labels=False, symbols=True),
         "pdf_page_range": lambda s, d: G.page_range(paged(s, d), "doc_id", "pages", 2, 2).select("doc", F.coalesce("page", F.lit(0)).alias("page"), "text", "error"),
         "pdf_audit": lambda s, d: G.audit(paged(s, d), "doc_id", "pages"), "pdf_worst_profile": lambda s, d: G.worst_profile(G.audit(paged(s, d), "doc_id", "pages")),
-        "pdf_line_kind": lambda s, d: inj_lines(s, d).select(G.line_kind_col(F.col("x")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_lines")),
+        "pdf_line_kind": lambda s, d: inj_lines(s, d).select(K.kind(F.col("x")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_lines")),
+        "pdf_code_blocks": _page_clean(G.PageOptions(headers=False, labels=False, code=True), "text"), "pdf_formula_lines": _page_clean(G.PageOptions(headers=False, labels=False, formulas=True), "text"),
+        "pdf_counters": _page_clean(G.PageOptions(headers=False, labels=True, code=True, formulas=True), "label_pages", "code_blocks", "code_lines", "code_pages", "formula_lines", "formula_pages", "warnings"),
         "page_zone_clean": lambda s, d: paged(s, d).select("doc_id", C.clean_pages(F.col("pages"), F.array_join("pages", "\n\n"), zoned).alias("c")).select("doc_id", "c.text"),
         "search_hits": lambda s, d: S.all_hits(docs(s, d), TERM), "search_top": lambda s, d: S.hits(docs(s, d), TERM), "search_totals": lambda s, d: S.search_totals(docs(s, d), TERM),
         "word_count": lambda s, d: S.count_words(docs(s, d)), "word_totals": lambda s, d: S.count_words(docs(s, d)).agg(F.sum("words").alias("total_words"), F.round(F.avg("words"), 6).alias("mean_words")),
@@ -443,6 +509,8 @@ def oracle_sql() -> dict[str, str]:
         "pdf_symbol_heavy": _sql_pages(f"regexp_matches({_trim('v')}, '^[●•·○■□▲△◆◇.*+_|~^=°\\-\\s]+$')"),
         "page_zone_clean": f"WITH {_PAGED}, x AS (SELECT doc_id, page, k, l[k] AS v, len(l) AS n FROM pl, generate_series(1, len(l)) AS s(k)), kept AS (SELECT doc_id, page, string_agg(v, E'\\n' ORDER BY k) AS p FROM x WHERE NOT ({zone}) GROUP BY doc_id, page) SELECT doc_id, string_agg(p, E'\\n\\n' ORDER BY page) AS text FROM kept GROUP BY doc_id",
         "search_hits": _sql_hits(term),
+        "pdf_line_kind": f"WITH {_LINES}, {_sql_kinds('(SELECT x FROM ln)')} SELECT kind, count(*) AS n_lines FROM lk GROUP BY kind",
+        "pdf_code_blocks": _sql_page_text(True, False), "pdf_formula_lines": _sql_page_text(False, True), "pdf_counters": _sql_counters(),
         "line_flags": f"WITH {_LINES}, {_sql_profiled('(SELECT doc_id, line, x FROM ln)', _key('x'))} SELECT doc_id, line, {', '.join(c for c in P.PROFILE if c.startswith(('looks', 'has')))} FROM pf",
         "text_signal": f"WITH {_LINES}, {_sql_profiled('(SELECT doc_id, line, x FROM ln)', _key('x'))}, l AS (SELECT *, {_sql_signal(_class('t') + chr(32) + '= ' + chr(39) + 'text_dominant' + chr(39), 'false', 'false', 'false', '0')} AS label FROM pf), r AS (SELECT label, {_sql_reasons('label', '0')} AS reasons FROM l) SELECT label, reasons, count(*) AS n_lines FROM r GROUP BY label, reasons",
         "clean_noise_lines": _sql_noise(), "artifact_diagnostics": _sql_diagnostics(), "artifact_signals": _sql_signals(),
