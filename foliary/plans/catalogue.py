@@ -268,6 +268,23 @@ def text_signal(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("label", P.signal_reasons(F.col("label"), F.lit(0.0)).alias("reasons")).groupBy("label", "reasons").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+def text_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    files = table(spark, sf, "file_preview")
+    one = lambda df: df.groupBy("source_path").agg(F.min("text").alias("text"))
+    return S.processed_or_extracted(one(files.filter("document_type = 'text'")), one(files), "source_path")
+
+
+def encodings(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written in Latin-1 where that holds their characters, else in UTF-8, by what their bytes seem to be: valid UTF-8 that is
+    ASCII, bytes of a one-byte encoding, and the rest."""
+    t = F.col("text")
+    latin = t.rlike(r"\A[\x00-\xFF]*\z")
+    raw = F.when(latin, F.encode(t, "ISO-8859-1")).otherwise(F.encode(t, "UTF-8"))
+    found = R.detect_encoding(raw)
+    kind = F.when(~latin, "other").when(found == "utf-8", "utf-8").otherwise("latin")
+    return table(spark, sf, "documents").filter("text is not null").select(kind.alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def line_model(spark: SparkSession, sf: str) -> DataFrame:
     rows = paged(spark, sf).select("doc_id", F.posexplode("pages").alias("page", "p")).select("doc_id", "page", lines(F.col("p")).alias("l"))
     return rows.select("doc_id", "page", F.posexplode("l").alias("line", "x"), F.size("l").alias("n_lines")).select("doc_id", "page", "line", "n_lines", (F.col("line") < 3).alias("is_top"), (F.col("line") >= F.col("n_lines") - 3).alias("is_bottom"))
@@ -418,6 +435,40 @@ def _sql_signals() -> str:
     return f"WITH c0 AS (SELECT *, display AS x FROM ({_sql_candidates()})), c AS (SELECT *, {_class(_trim('x'))} AS content_class FROM c0), {_sql_profiled('c', 'normalized_key')}, l AS (SELECT *, {label} AS signal FROM pf) SELECT id, content_class, signal, {_sql_reasons('signal', edge)} AS reasons, n::int AS char_count, kn::int AS token_count FROM l"
 
 
+def _sql_chosen() -> str:
+    """CTEs down to ``keyed``: the candidates with their keys."""
+    sql = _sql_candidates()
+    at = sql.rindex(" SELECT id, kind, display")
+    return f"{sql[:at]}, cand AS ({sql[at:]}), keyed AS (SELECT cand.id, cand.kind, cand.risk, s.key, cand.display FROM cand JOIN s USING (id))"
+
+
+def _sql_examples() -> str:
+    inline = "h.kind = 'inline_artifact'"
+    near = lambda a: f"nullif(substring({_trim(a + '.x')}, 1, 200), '')"
+    left, right = _trim("substring(l.x, greatest(spot - 80, 1), least(spot - 1, 80))"), _trim("substring(l.x, spot + length(h.display), 80)")
+    return f"""{_sql_chosen()}, hit AS (SELECT k.id, k.kind, o.display, o.doc_id, o.line, row_number() OVER (PARTITION BY k.id ORDER BY o.doc_id, o.line)::int AS rank FROM o JOIN keyed k ON k.kind = o.kind AND k.key = o.key QUALIFY rank <= 25),
+ h AS (SELECT hit.*, instr(ln.x, hit.display) AS spot FROM hit JOIN ln USING (doc_id, line))
+ SELECT h.id, h.rank, h.doc_id AS doc, h.line, CASE WHEN {inline} THEN nullif(CASE WHEN spot > 81 THEN '...' || {left} ELSE {left} END, '') ELSE {near('b')} END AS before, substring(CASE WHEN {inline} THEN h.display ELSE {_trim('l.x')} END, 1, 200) AS match,
+ CASE WHEN {inline} THEN nullif(CASE WHEN length(l.x) - spot - length(h.display) + 1 > 80 THEN {right} || '...' ELSE {right} END, '') ELSE {near('a')} END AS after
+ FROM h JOIN ln l ON l.doc_id = h.doc_id AND l.line = h.line LEFT JOIN ln b ON b.doc_id = h.doc_id AND b.line = h.line - 1 LEFT JOIN ln a ON a.doc_id = h.doc_id AND a.line = h.line + 1"""
+
+
+def _sql_promoted() -> str:
+    kept = f"array_to_string(list_filter(regexp_extract_all(text, '[^{_B1}n]*{_B1}n|[^{_B1}n]+'), lambda v: NOT (list_contains(l, {_trim('v')}) OR list_contains(k, {_key('v')}))), '')"
+    return f"""{_sql_chosen()}, r AS (SELECT coalesce(list(display) FILTER (kind = 'exact_line'), []) AS l, coalesce(list(key) FILTER (kind = 'normalized_line'), []) AS k, coalesce(list(display ORDER BY id) FILTER (kind = 'inline_artifact'), []) AS p FROM keyed WHERE risk IN ('strong_header_footer_candidate', 'symbol_or_noise_candidate')),
+ c AS (SELECT doc_id, text IS NULL AS none, list_reduce(list_prepend({kept}, p), lambda x, y: replace(x, y, '')) AS t FROM inj, r) SELECT doc_id, CASE WHEN none THEN NULL ELSE {_trim_lines('t')} END AS cleaned FROM c"""
+
+
+def _sql_manifest() -> str:
+    """Names are shorter than the bound here, so that none is cut."""
+    safe = _re("regexp_extract(path, '([^/]*)$', 1)", r"\.[^.]*$")
+    safe = _re(_re(_re(f"trim({_re(_re(safe, r'[<>:' + chr(34) + r'/\\|?*\x00-\x1f\x7f]', '_'), '_{2,}', '_')})", r"[. ]+$"), "^$", "_"), "^$", "_")
+    return f"""WITH f AS (SELECT relative_path AS path, min(text) AS t FROM file_preview GROUP BY relative_path), a AS (SELECT path, t, regexp_extract(path, '^(.*/)?[^/]*$', 1) AS d, {safe} AS s0 FROM f),
+ b AS (SELECT *, CASE WHEN lower(s0) IN {_in(X.RESERVED)} THEN s0 || '_' ELSE s0 END AS s, substring(sha256(path), 1, 8) AS tag FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY lower(d), lower(s) ORDER BY path) AS k FROM b),
+ e AS (SELECT *, CASE WHEN k = 1 THEN s WHEN k <= 100 THEN s || '__' || k ELSE s || '__' || tag END AS n FROM c), g AS (SELECT *, row_number() OVER (PARTITION BY lower(d), lower(n) ORDER BY k, path) AS again FROM e)
+ SELECT path AS source_path, 'texts/' || d || n || CASE WHEN again > 1 THEN '__' || tag ELSE '' END || '.txt' AS output_path, sha256(t) AS source_sha256, sha256(lower(t)) AS processed_sha256, length(t)::int AS source_chars, length(lower(t))::int AS processed_chars FROM g"""
+
+
 def _sql_hits(term: str) -> str:
     return (
         f"WITH m AS (SELECT doc_id AS doc, text, generate_subscripts(p, 1) AS k, p FROM (SELECT doc_id, text, string_split(lower(text), '{term}') AS p FROM documents WHERE contains(lower(text), '{term}'))), a AS (SELECT doc, text, k, len(p) AS n, list_sum(list_transform(p[1 : k], lambda v: length(v)))::bigint + (k - 1) * {len(term)} AS o FROM m) "
@@ -474,6 +525,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "legacy_nfkc": lambda s, d: docs(s, d).select("doc_id", nfkc(F.col("text")).alias("cleaned")), "legacy_marks": lambda s, d: docs(s, d).select("doc_id", strip_nonspacing(F.col("text")).alias("cleaned")),
         "legacy_greek": lambda s, d: table(s, d, "file_preview").select("preview_id", C.drop_script(F.col("text"), "Greek").alias("cleaned")),
         "export_manifest": lambda s, d: X.manifest(table(s, d, "file_preview").groupBy("relative_path").agg(F.min("text").alias("text")), CleaningConfig(lowercase=True)),
+        "legacy_report": lambda s, d: S.report(docs(s, d)), "name_filter": lambda s, d: S.names_like(table(s, d, "file_preview"), " Letter ").select("preview_id", "relative_path"),
+        "preview_bytes": lambda s, d: S.preview_bytes(docs(s, d).filter("text is not null").withColumn("content", F.encode("text", "UTF-8")), "content", max_bytes=1 << 20, max_chars=900), "text_fallback": text_fallback, "encodings": encodings,
         "warning_kinds": lambda s, d: table(s, d, "export_warning").select(X.warning_kind(F.col("message")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
         "html_text": lambda s, d: table(s, d, "file_preview").filter("document_type = 'html'").select("preview_id", R.html_text(F.col("text")).alias("text")),
     }
@@ -513,6 +566,11 @@ def oracle_sql() -> dict[str, str]:
         "pdf_code_blocks": _sql_page_text(True, False), "pdf_formula_lines": _sql_page_text(False, True), "pdf_counters": _sql_counters(),
         "line_flags": f"WITH {_LINES}, {_sql_profiled('(SELECT doc_id, line, x FROM ln)', _key('x'))} SELECT doc_id, line, {', '.join(c for c in P.PROFILE if c.startswith(('looks', 'has')))} FROM pf",
         "text_signal": f"WITH {_LINES}, {_sql_profiled('(SELECT doc_id, line, x FROM ln)', _key('x'))}, l AS (SELECT *, {_sql_signal(_class('t') + chr(32) + '= ' + chr(39) + 'text_dominant' + chr(39), 'false', 'false', 'false', '0')} AS label FROM pf), r AS (SELECT label, {_sql_reasons('label', '0')} AS reasons FROM l) SELECT label, reasons, count(*) AS n_lines FROM r GROUP BY label, reasons",
+        "artifact_examples": _sql_examples(), "artifact_promoted_clean": _sql_promoted(), "export_manifest": _sql_manifest(),
+        "legacy_report": f"WITH w AS (SELECT text, len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda v: v <> '')) AS n FROM documents) SELECT count(*) AS files, count(*) FILTER (text <> '') AS files_with_text, coalesce(sum(n), 0)::bigint AS words, coalesce(sum(length(text)), 0)::bigint AS characters, round(avg(n) FILTER (text <> ''), 6) AS mean_words FROM w",
+        "name_filter": "SELECT preview_id, relative_path FROM file_preview WHERE contains(lower(relative_path), 'letter')", "preview_bytes": "SELECT doc_id AS doc, text[1 : 900] AS preview, length(text) > 900 AS truncated, least(length(text), 900)::int AS chars, CASE WHEN length(text) > 900 THEN ['the preview is cut'] ELSE [] END AS warnings FROM documents WHERE text IS NOT NULL",
+        "text_fallback": "WITH p AS (SELECT source_path, min(text) AS t FROM file_preview WHERE document_type = 'text' GROUP BY source_path), e AS (SELECT source_path, min(text) AS x FROM file_preview GROUP BY source_path) SELECT e.source_path, coalesce(p.t, e.x) AS text, p.t IS NOT NULL AS processed FROM e LEFT JOIN p USING (source_path)",
+        "encodings": "SELECT CASE WHEN regexp_full_match(text, '[" + _B1 + "x{00}-" + _B1 + "x{FF}]*') THEN CASE WHEN regexp_full_match(text, '[" + _B1 + "x{00}-" + _B1 + "x{7F}]*') THEN 'utf-8' ELSE 'latin' END ELSE 'other' END AS kind, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
         "clean_noise_lines": _sql_noise(), "artifact_diagnostics": _sql_diagnostics(), "artifact_signals": _sql_signals(),
         "legacy_nfkc": _sql_nfkc(),
         "pdf_page_range": f"WITH {_PAGED}, n AS (SELECT doc_id, max(page) + 1 AS n FROM pg GROUP BY doc_id) SELECT n.doc_id AS doc, coalesce(pg.page + 1, 0)::int AS page, pg.p AS text, CASE WHEN n.n < 2 THEN 'start page is behind the last page' END AS error FROM n LEFT JOIN pg ON pg.doc_id = n.doc_id AND pg.page IN (1, 2)",
