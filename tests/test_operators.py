@@ -250,3 +250,30 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert tuple(spark.sql("select cleaned, words from cleaned").first()) == ("A\nB", 2)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from foliary import cli
+
+    src = tmp_path / "in"
+    src.mkdir()
+    for k in range(6):
+        (src / f"{k}.txt").write_text(f"Running Head of all\nOwn line {'abcdef'[k]} here\n12\n")
+    (tmp_path / "c.json").write_text('{"remove_standalone_page_numbers": true}')
+    assert cli.main(["clean", str(src), str(tmp_path / "out"), "--config", str(tmp_path / "c.json")]) == 0
+    assert (tmp_path / "out/texts/0.txt").read_text() == "Running Head of all\nOwn line a here\n"
+    cli.main(["scan", str(src)])
+    cli.main(["search", str(src), "own LINE"])
+    cli.main(["words", str(src)])
+    shown = capsys.readouterr().out
+    assert "Running Head of all" in shown and "[Own line]" in shown and "0.txt\t9" in shown
+
+
+def test_many_rules_are_joined(spark):
+    from foliary.config import RemovalRule
+    from foliary.functions.cleaning import MOST_INLINE, drop_ruled_lines
+
+    rules = [RemovalRule(f"r{k}", "literal", f"Line {k}") for k in range(MOST_INLINE)] + [RemovalRule("k", "key", "page #")]
+    d = docs(spark, ["Line 3\nkept\n  Page 12 \n", "kept too", "Line 3", None, ""])
+    got = [r["text"] for r in drop_ruled_lines(d, "text", rules).orderBy("doc_id").collect()]
+    assert got == ["kept\n", "kept too", "", None, ""] and got == [r["text"] for r in drop_ruled_lines(d, "text", [rules[3], rules[-1]]).orderBy("doc_id").collect()]
