@@ -3,10 +3,11 @@
 A text's features are how its lines go together (delimiters, figures, markers and gaps that stand alike or in the same column
 on line after line; indents that come back with a period; the autocorrelation and spread of line lengths) and the ratios of
 its words, common words, signs, figures, stops and closing punctuation. Common words are those that most texts of the corpus
-have. A random forest over the features gives the class. It is trained here, on at most SAMPLE texts of each kind (smallest
+have. Two random forests give the class: of a text of several lines one tells from the former features alone whether its lines stand as
+those of a list or table do, and only where they may, the other, which sees all features, can make it one. They are trained here, on at most SAMPLE texts of each kind (smallest
 hash): the lines of a text are judged one by one by plain rules, texts on which nearly all characters agree are its examples,
 and so are the same texts rewritten (in small letters, first words only, padded columns, indents, other widths), so that the
-forest must go by how lines stand to each other rather than by capitals. All texts, also the examples, get their class from the forest.
+forests must go by how lines stand to each other rather than by capitals. All texts, also the examples, get their class from the forests.
 
 Null texts have null statistics and no class; empty and blank ones the class ``empty``. Texts are read whole.
 """
@@ -58,6 +59,10 @@ FEATURES = [
     "delimiter_alignment", "gap_alignment", "figure_alignment", "marker_alignment", "leader_share", "indent_period", "length_autocorrelation", "length_spread", "fresh_share", "glyph_codes", "vowelless", "longest_token", "kana", "single",
 ]
 FIELDS = {"chars": "int", **dict.fromkeys(FEATURES, "double"), "text_class": "string"}
+LAYOUT = ["delimiter_alignment", "gap_alignment", "figure_alignment", "marker_alignment", "leader_share", "indent_period", "length_autocorrelation", "length_spread"]
+"""How the lines of a text go together."""
+MAY_BE = 0.25
+"""What the layout must give to lists and tables for a text of several lines to be one."""
 ALONE = ["lines", "words", "words_per_line", "longest_line", "separators_per_word", "numbers_per_token", "inline_markers", "fresh_share"]
 """Features that stand in for those of several lines where there is one line only; the forest does not see them for texts of more."""
 SAMPLE = 1500
@@ -256,13 +261,24 @@ def common_words(texts: DataFrame, text: str, most: int = COMMON_WORDS) -> froze
 
 @dataclass
 class Judge:
-    """The common words and the forest."""
+    """The common words and the forests."""
 
     common: frozenset[str]
     forest: forest.Forest
+    layout: forest.Forest | None = None
 
     def classes(self, rows: list[list[float]]) -> list[str]:
-        return self.forest.predict(seen(np.array(rows))) if rows else []
+        if not rows:
+            return []
+        x = np.array(rows)
+        shares = self.forest.shares(seen(x))
+        if self.layout is not None:
+            given = self.layout.shares(x[:, _LAYOUT])[:, [k for k, c in enumerate(self.layout.classes) if c != "flow"]].sum(axis=1)
+            flows = _several(x) & (given < MAY_BE)
+            for k, c in enumerate(self.forest.classes):
+                if c in ("list", "table"):
+                    shares[flows, k] = 0.0
+        return [self.forest.classes[k] for k in shares.argmax(axis=1)]
 
     def measure(self, texts: list[str], single: bool = False) -> list[tuple]:
         """(characters, features, class) of each text, in the order of FIELDS."""
@@ -271,11 +287,17 @@ class Judge:
         return [(len(t), *r, c if t.strip() else "empty") for t, r, c in zip(texts, rows, classes, strict=True)]
 
 
+_LAYOUT = [FEATURES.index(k) for k in LAYOUT]
+
+
+def _several(x: np.ndarray) -> np.ndarray:
+    return (x[:, FEATURES.index("lines")] > 1) & (x[:, FEATURES.index("single")] == 0)
+
+
 def seen(x: np.ndarray) -> np.ndarray:
-    """What the forest sees of features: no ALONE of texts of several lines."""
+    """What the forest of all features sees: no ALONE of texts of several lines."""
     x = x.copy()
-    several = (x[:, FEATURES.index("lines")] > 1) & (x[:, FEATURES.index("single")] == 0)
-    x[np.ix_(several, [FEATURES.index(k) for k in ALONE])] = 0.0
+    x[np.ix_(_several(x), [FEATURES.index(k) for k in ALONE])] = 0.0
     return x
 
 
@@ -295,7 +317,10 @@ def train(texts: list[tuple[str, bool]], common: frozenset[str]) -> Judge:
             y.append(cls)
     if not x:
         x, y = [[0.0] * len(FEATURES)], ["prose"]
-    return Judge(common, forest.fit(seen(np.array(x)), y))
+    rows = np.array(x)
+    many = _several(rows)
+    flow = [c if c in ("list", "table") else "flow" for c, m in zip(y, many, strict=True) if m]
+    return Judge(common, forest.fit(seen(rows), y), forest.fit(rows[many][:, _LAYOUT], flow) if len(set(flow)) > 1 else None)
 
 
 def fit(whole: DataFrame, single: DataFrame, text: str = "_text") -> Judge:
