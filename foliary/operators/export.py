@@ -29,6 +29,12 @@ def safe_name(c: Column, limit: int = 128) -> Column:
     return F.when(F.octet_length(n) > limit, F.regexp_replace(cut, "�$", "")).otherwise(n)
 
 
+def folder_name(name: str, stamp: str) -> str:
+    """The name of an output folder: a safe form of ``name`` with the time of the export after it."""
+    kept = "".join("_" if c in '<>:"/\\|?*' or ord(c) < 32 else c for c in name).strip().rstrip(". ")
+    return f"{kept or 'corpus'}_{stamp}"
+
+
 def warning_kind(message: Column) -> Column:
     bad = message.contains("Failed") | message.contains("low-quality text") | message.contains("required for this PDF")
     return F.when(bad, "extraction_error").otherwise("extraction_warning")

@@ -9,6 +9,8 @@ from foliary.config import CleaningConfig
 from foliary.functions.cleaning import clean_text, word_count
 from foliary.functions.text import staged
 
+# Fixed value: what ends a preview that was cut.
+CUT_MARK = "\n[...TRUNCATED...]"
 CONTEXT, DEFAULT_HITS, MOST_HITS, PREVIEW_CHARS = 80, 1000, 5000, 5000
 
 
@@ -61,11 +63,11 @@ def preview(df: DataFrame, doc: str = "doc_id", text: str = "text", max_chars: i
 
 
 def combined_preview(df: DataFrame, doc: str = "doc_id", text: str = "text", max_files: int = 25, max_chars: int = PREVIEW_CHARS, path: str | None = None) -> DataFrame:
-    """One row: the heads of the first files under ``FILE 001 / n`` headings, files and characters included."""
+    """One row: the heads of the first files under ``FILE 001 / n`` headings, marked where they are cut, files and characters included."""
     total = df.count()
     first = df.select(F.col(doc).alias("doc"), F.col(text).alias("_t"), *([F.col(path).alias("_p")] if path else [])).orderBy("doc").limit(max_files)
     rows = preview(first, "doc", "_t", max_chars).join(first.select("doc", *(["_p"] if path else [])), "doc")
-    parts = rows.agg(F.array_sort(F.collect_list(F.struct("doc", "preview", *(["_p"] if path else [])))).alias("_a"), F.count(F.lit(1)).alias("files"), F.sum("chars").alias("chars"))  # max_files rows
+    parts = rows.agg(F.array_sort(F.collect_list(F.struct("doc", F.concat(F.coalesce("preview", F.lit("")), F.when(F.col("truncated"), CUT_MARK).otherwise("")).alias("preview"), *(["_p"] if path else [])))).alias("_a"), F.count(F.lit(1)).alias("files"), F.sum("chars").alias("chars"))  # max_files rows
     title = lambda x, i: F.concat(F.lit("FILE "), F.lpad((i + 1).cast("string"), 3, "0"), F.lit(f" / {total}\n"), *([x["_p"], F.lit("\n")] if path else []), F.coalesce(x["preview"], F.lit("")))
     return parts.select(F.array_join(F.transform("_a", title), "\n\n").alias("combined"), "files", "chars")
 
@@ -111,3 +113,19 @@ def report(df: DataFrame, path: str = "relative_path", text: str = "text") -> Da
         F.count(F.lit(1)).alias("files"), F.count_if(some).alias("files_with_text"), F.coalesce(F.sum(n), F.lit(0).cast("long")).alias("words"), F.coalesce(F.sum(F.length(text)), F.lit(0).cast("long")).alias("characters"),
         F.round(F.avg(F.when(some, n)), 6).alias("mean_words"),
     )
+
+
+def highlighted(text: Column, term: str) -> Column:
+    """The text as HTML with each hit of a literal term, without regard to case, in ``<mark>``; a blank term marks nothing."""
+    def escaped(c: Column) -> Column:
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+            c = F.replace(c, F.lit(a), F.lit(b))
+        return c
+
+    if not term.strip():
+        return escaped(text)
+    pattern = _pattern(term.strip())
+    between = F.split(text, pattern, -1)
+    hit = F.regexp_extract_all(text, F.lit(pattern), 0)
+    pieces = F.transform(between, lambda p, i: F.concat(escaped(p), F.coalesce(F.concat(F.lit("<mark>"), escaped(F.get(hit, i)), F.lit("</mark>")), F.lit(""))))
+    return F.array_join(pieces, "")

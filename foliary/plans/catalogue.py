@@ -469,6 +469,12 @@ def _sql_manifest() -> str:
  SELECT path AS source_path, 'texts/' || d || n || CASE WHEN again > 1 THEN '__' || tag ELSE '' END || '.txt' AS output_path, sha256(t) AS source_sha256, sha256(lower(t)) AS processed_sha256, length(t)::int AS source_chars, length(lower(t))::int AS processed_chars FROM g"""
 
 
+def _sql_escaped(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), (chr(34), "&quot;"), (chr(39) * 2, "&#39;")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
 def _sql_hits(term: str) -> str:
     return (
         f"WITH m AS (SELECT doc_id AS doc, text, generate_subscripts(p, 1) AS k, p FROM (SELECT doc_id, text, string_split(lower(text), '{term}') AS p FROM documents WHERE contains(lower(text), '{term}'))), a AS (SELECT doc, text, k, len(p) AS n, list_sum(list_transform(p[1 : k], lambda v: length(v)))::bigint + (k - 1) * {len(term)} AS o FROM m) "
@@ -527,6 +533,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "export_manifest": lambda s, d: X.manifest(table(s, d, "file_preview").groupBy("relative_path").agg(F.min("text").alias("text")), CleaningConfig(lowercase=True)),
         "legacy_report": lambda s, d: S.report(docs(s, d)), "name_filter": lambda s, d: S.names_like(table(s, d, "file_preview"), " Letter ").select("preview_id", "relative_path"),
         "preview_bytes": lambda s, d: S.preview_bytes(docs(s, d).filter("text is not null").withColumn("content", F.encode("text", "UTF-8")), "content", max_bytes=1 << 20, max_chars=900), "text_fallback": text_fallback, "encodings": encodings,
+        "legacy_tags": lambda s, d: table(s, d, "file_preview").select("preview_id", R.without_tags(F.lower("text")).alias("cleaned")), "search_marks": lambda s, d: docs(s, d).select("doc_id", S.highlighted(F.col("text"), TERM).alias("html")),
         "warning_kinds": lambda s, d: table(s, d, "export_warning").select(X.warning_kind(F.col("message")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
         "html_text": lambda s, d: table(s, d, "file_preview").filter("document_type = 'html'").select("preview_id", R.html_text(F.col("text")).alias("text")),
     }
@@ -561,7 +568,7 @@ def oracle_sql() -> dict[str, str]:
         "pdf_page_labels": _sql_pages(f"{_EDGE} AND (regexp_matches({_trim('v')}, '{_PAGE_LABEL_SQL}') OR regexp_matches({_trim('v')}, '(?i)^(?:page\\s+)?m{{0,4}}(?:cm|cd|d?c{{0,3}})(?:xc|xl|l?x{{0,3}})(?:ix|iv|v?i{{0,3}})$') AND {_trim('v')} <> '')"),
         "pdf_symbol_heavy": _sql_pages(f"regexp_matches({_trim('v')}, '^[●•·○■□▲△◆◇.*+_|~^=°\\-\\s]+$')"),
         "page_zone_clean": f"WITH {_PAGED}, x AS (SELECT doc_id, page, k, l[k] AS v, len(l) AS n FROM pl, generate_series(1, len(l)) AS s(k)), kept AS (SELECT doc_id, page, string_agg(v, E'\\n' ORDER BY k) AS p FROM x WHERE NOT ({zone}) GROUP BY doc_id, page) SELECT doc_id, string_agg(p, E'\\n\\n' ORDER BY page) AS text FROM kept GROUP BY doc_id",
-        "search_hits": _sql_hits(term),
+        "search_hits": _sql_hits(term), "search_marks": f"SELECT doc_id, regexp_replace({_sql_escaped('text')}, '({TERM})', '<mark>{_B1}1</mark>', 'gi') AS html FROM documents",
         "pdf_line_kind": f"WITH {_LINES}, {_sql_kinds('(SELECT x FROM ln)')} SELECT kind, count(*) AS n_lines FROM lk GROUP BY kind",
         "pdf_code_blocks": _sql_page_text(True, False), "pdf_formula_lines": _sql_page_text(False, True), "pdf_counters": _sql_counters(),
         "line_flags": f"WITH {_LINES}, {_sql_profiled('(SELECT doc_id, line, x FROM ln)', _key('x'))} SELECT doc_id, line, {', '.join(c for c in P.PROFILE if c.startswith(('looks', 'has')))} FROM pf",
@@ -576,7 +583,7 @@ def oracle_sql() -> dict[str, str]:
         "pdf_page_range": f"WITH {_PAGED}, n AS (SELECT doc_id, max(page) + 1 AS n FROM pg GROUP BY doc_id) SELECT n.doc_id AS doc, coalesce(pg.page + 1, 0)::int AS page, pg.p AS text, CASE WHEN n.n < 2 THEN 'start page is behind the last page' END AS error FROM n LEFT JOIN pg ON pg.doc_id = n.doc_id AND pg.page IN (1, 2)",
         "pdf_audit": _sql_audit("SELECT doc_id AS doc, n::int AS page_count, c::int AS sample_chars, quality, CASE quality WHEN 'good' THEN 'standard' WHEN 'suspicious' THEN 'ocr_rescue' ELSE 'force_ocr' END AS suggested_profile, list_filter([CASE WHEN n > 3 THEN 'only the first pages were looked at' END], lambda v: v IS NOT NULL) AS warnings FROM graded"),
         "pdf_worst_profile": _sql_audit("SELECT CASE max(CASE quality WHEN 'good' THEN 0 WHEN 'suspicious' THEN 1 ELSE 2 END) WHEN 0 THEN 'standard' WHEN 1 THEN 'ocr_rescue' ELSE 'force_ocr' END AS suggested_profile, count(*) AS documents FROM graded"),
-        "preview_combined": f"WITH f AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS k FROM documents QUALIFY k <= 25) SELECT string_agg('FILE ' || lpad(k::varchar, 3, '0') || ' / ' || (SELECT count(*) FROM documents) || E'\n' || coalesce(text[1 : 300], ''), E'\n\n' ORDER BY k) AS combined, count(*) AS files, sum(least(length(text), 300))::bigint AS chars FROM f",
+        "preview_combined": f"WITH f AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS k FROM documents QUALIFY k <= 25) SELECT string_agg('FILE ' || lpad(k::varchar, 3, '0') || ' / ' || (SELECT count(*) FROM documents) || E'\n' || coalesce(text[1 : 300], '') || CASE WHEN length(text) > 300 THEN E'\\n[...TRUNCATED...]' ELSE '' END, E'\n\n' ORDER BY k) AS combined, count(*) AS files, sum(least(length(text), 300))::bigint AS chars FROM f",
         "search_top": f"SELECT * FROM ({_sql_hits(term)}) ORDER BY doc, ordinal LIMIT 1000",
         "search_totals": f"SELECT coalesce(sum(n), 0)::bigint AS matches, count(*) AS files, coalesce(sum(n), 0) > 1000 AS truncated FROM (SELECT len(string_split(lower(text), '{term}')) - 1 AS n {doc}) WHERE n > 0",
         "word_count": f"SELECT doc_id AS doc, coalesce(len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda v: v <> '')), 0)::int AS words {doc}",

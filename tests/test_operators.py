@@ -277,3 +277,11 @@ def test_many_rules_are_joined(spark):
     d = docs(spark, ["Line 3\nkept\n  Page 12 \n", "kept too", "Line 3", None, ""])
     got = [r["text"] for r in drop_ruled_lines(d, "text", rules).orderBy("doc_id").collect()]
     assert got == ["kept\n", "kept too", "", None, ""] and got == [r["text"] for r in drop_ruled_lines(d, "text", [rules[3], rules[-1]]).orderBy("doc_id").collect()]
+
+
+def test_marks_tags_and_names(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(S.highlighted(F.lit("a <b> & TOWN, town"), " town ")) == "a &lt;b&gt; &amp; <mark>TOWN</mark>, <mark>town</mark>" and one(S.highlighted(F.lit("<"), " ")) == "&lt;" and one(S.highlighted(F.lit(None).cast("string"), "a")) is None
+    assert one(R.without_tags(F.lit("<p>a &amp; <b>b</b></p><script>x</script>c"))) == "a & bc"
+    assert X.folder_name('a/b: c. ', "20310101") == "a_b_ c_20310101" and X.folder_name("", "1") == "corpus_1"
+    assert S.combined_preview(docs(spark, ["x" * 9]), max_chars=5).first()["combined"].endswith("xxxxx\n[...TRUNCATED...]")
