@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliary.llm import forest
+from foliary.llm.samples import smallest
 
 # Frequent words that carry no subject, for rules on single lines.
 COMMON = set(
@@ -327,7 +328,7 @@ def fit(whole: DataFrame, single: DataFrame, text: str = "_text") -> Judge:
     """Common words from all texts, the forest from SAMPLE distinct texts of each kind."""
     both = whole.select(text).unionByName(single.select(text)).filter(F.col(text).isNotNull())
     common = common_words(both, text)
-    rows = [(t, False) for t in _sample(whole, text)] + [(t, True) for t in _sample(single, text)]
+    rows = [(t, one) for df, one in ((whole, False), (single, True)) for t in smallest(df.filter(F.trim(text) != ""), text, SAMPLE)]
     return train(rows, common)
 
 
@@ -378,15 +379,6 @@ def name_runs(lines: list[str], kinds: list[str]) -> list[str]:
     return out
 
 
-def _sample(df: DataFrame, text: str) -> list[str]:
-    """The SAMPLE distinct texts with the smallest hash (of equal texts one counts). An estimate of their number says below which hash
-    they lie, so that only few texts are shuffled."""
-    hashed = df.select(F.col(text).alias("_t"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("_h")).filter(F.trim("_t") != "")
-    n = hashed.agg(F.approx_count_distinct("_h")).first()[0]
-    near = hashed.filter(F.col("_h") < F.lit(int(min(1.0, 1.5 * (SAMPLE + 50) / max(1, n)) * (2**63 - 1)))) if n > 2 * SAMPLE else hashed
-    return [r["_t"] for r in near.distinct().orderBy("_h", "_t").limit(SAMPLE).select("_t").collect()]
-
-
 def statistics(df: DataFrame, id_cols: list[str], text: str, judge: Judge, single: bool = False) -> DataFrame:
     """Rows ``*id_cols`` and the FIELDS; a null text has nulls only."""
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id_cols) + ", " + ", ".join(f"{k} {v}" for k, v in FIELDS.items())

@@ -430,3 +430,12 @@ def test_isotonic_is_monotone_and_fits():
 
 def test_queries_have_names():
     assert all(n[0] == "p" and n[1] in string.digits for n in Q.queries()) and set(Q.oracle_sql()) <= set(Q.queries())
+
+
+def test_smallest_sample(spark):
+    from foliary.llm.samples import smallest
+
+    df = spark.createDataFrame([(f"t{k % 900}",) for k in range(3000)] + [(None,)], "t string")
+    few, all_of = smallest(df.filter("t is not null"), "t", 100), smallest(df.filter("t is not null"), "t", 900)
+    assert few == all_of[:100] and len(set(all_of)) == 900
+    assert smallest(df.repartition(7).filter("t is not null"), "t", 100) == few and smallest(df.filter("false"), "t", 5) == []
