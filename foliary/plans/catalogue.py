@@ -242,7 +242,7 @@ def artifact_examples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def artifact_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(spark, sf)[2].select("id", "content_class", "signal", "reasons", "text_profile.char_count", "text_profile.token_count")
+    return _found(spark, sf)[2].select("id", "content_class", "signal", F.array_join("reasons", ",").alias("reasons"), "text_profile.char_count", "text_profile.token_count")
 
 
 def artifact_promoted_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,7 +265,7 @@ def text_signal(spark: SparkSession, sf: str) -> DataFrame:
     rows = P.with_profile(inj_lines(spark, sf), "x")
     no = F.lit(False)
     rows = staged(rows, {"label": P.text_signal(P.content_class(F.col("x")) == "text_dominant", no, no, no, F.lit(0.0))})
-    return rows.select("label", P.signal_reasons(F.col("label"), F.lit(0.0)).alias("reasons")).groupBy("label", "reasons").agg(F.count(F.lit(1)).alias("n_lines"))
+    return rows.select("label", F.array_join(P.signal_reasons(F.col("label"), F.lit(0.0)), ",").alias("reasons")).groupBy("label", "reasons").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def text_fallback(spark: SparkSession, sf: str) -> DataFrame:
@@ -361,7 +361,7 @@ def _sql_counters() -> str:
     )
     return _sql_coded(True, True, True, f""", la AS (SELECT doc_id, count(DISTINCT page) FILTER (is_label)::int AS label_pages FROM lb GROUP BY doc_id),
  ct AS (SELECT doc_id, count(*) FILTER (starts)::int AS code_blocks, count(*) FILTER (why = 'code')::int AS code_lines, count(DISTINCT page) FILTER (why = 'code')::int AS code_pages, count(*) FILTER (why = 'formula')::int AS formula_lines, count(DISTINCT page) FILTER (why = 'formula')::int AS formula_pages FROM st GROUP BY doc_id)
- SELECT *, {told} AS warnings FROM la JOIN ct USING (doc_id)""")
+ SELECT *, array_to_string({told}, ' ') AS warnings FROM la JOIN ct USING (doc_id)""")
 
 
 def _in(words: list[str]) -> str:
@@ -432,7 +432,7 @@ def _sql_signals() -> str:
     risk = lambda r: f"risk = '{r}'"
     edge = "CASE WHEN top + middle + bottom > 0 THEN (top + bottom)::double / (top + middle + bottom) ELSE 0 END"
     label = _sql_signal("content_class = 'text_dominant'", risk("common_section_heading_review_carefully"), risk("symbol_or_noise_candidate"), risk("strong_header_footer_candidate"), edge)
-    return f"WITH c0 AS (SELECT *, display AS x FROM ({_sql_candidates()})), c AS (SELECT *, {_class(_trim('x'))} AS content_class FROM c0), {_sql_profiled('c', 'normalized_key')}, l AS (SELECT *, {label} AS signal FROM pf) SELECT id, content_class, signal, {_sql_reasons('signal', edge)} AS reasons, n::int AS char_count, kn::int AS token_count FROM l"
+    return f"WITH c0 AS (SELECT *, display AS x FROM ({_sql_candidates()})), c AS (SELECT *, {_class(_trim('x'))} AS content_class FROM c0), {_sql_profiled('c', 'normalized_key')}, l AS (SELECT *, {label} AS signal FROM pf) SELECT id, content_class, signal, array_to_string({_sql_reasons('signal', edge)}, ',') AS reasons, n::int AS char_count, kn::int AS token_count FROM l"
 
 
 def _sql_chosen() -> str:
@@ -517,10 +517,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "artifact_diagnostics": lambda s, d: A.diagnostics(injected(s, d), A.observations(injected(s, d), CANDIDATE_SCAN), CANDIDATE_SCAN),
         "pdf_header_footer": pdf_header_footer, "pdf_page_labels": strip(headers=False, labels=True), "pdf_symbol_heavy": strip(headers=False, labels=False, symbols=True),
         "pdf_page_range": lambda s, d: G.page_range(paged(s, d), "doc_id", "pages", 2, 2).select("doc", F.coalesce("page", F.lit(0)).alias("page"), "text", "error"),
-        "pdf_audit": lambda s, d: G.audit(paged(s, d), "doc_id", "pages"), "pdf_worst_profile": lambda s, d: G.worst_profile(G.audit(paged(s, d), "doc_id", "pages")),
+        "pdf_audit": lambda s, d: G.audit(paged(s, d), "doc_id", "pages").withColumn("warnings", F.array_join("warnings", " ")), "pdf_worst_profile": lambda s, d: G.worst_profile(G.audit(paged(s, d), "doc_id", "pages")),
         "pdf_line_kind": lambda s, d: inj_lines(s, d).select(K.kind(F.col("x")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_lines")),
         "pdf_code_blocks": _page_clean(G.PageOptions(headers=False, labels=False, code=True), "text"), "pdf_formula_lines": _page_clean(G.PageOptions(headers=False, labels=False, formulas=True), "text"),
-        "pdf_counters": _page_clean(G.PageOptions(headers=False, labels=True, code=True, formulas=True), "label_pages", "code_blocks", "code_lines", "code_pages", "formula_lines", "formula_pages", "warnings"),
+        "pdf_counters": _page_clean(G.PageOptions(headers=False, labels=True, code=True, formulas=True), "label_pages", "code_blocks", "code_lines", "code_pages", "formula_lines", "formula_pages", F.array_join("warnings", " ").alias("warnings")),
         "page_zone_clean": lambda s, d: paged(s, d).select("doc_id", C.clean_pages(F.col("pages"), F.array_join("pages", "\n\n"), zoned).alias("c")).select("doc_id", "c.text"),
         "search_hits": lambda s, d: S.all_hits(docs(s, d), TERM), "search_top": lambda s, d: S.hits(docs(s, d), TERM), "search_totals": lambda s, d: S.search_totals(docs(s, d), TERM),
         "word_count": lambda s, d: S.count_words(docs(s, d)), "word_totals": lambda s, d: S.count_words(docs(s, d)).agg(F.sum("words").alias("total_words"), F.round(F.avg("words"), 6).alias("mean_words")),
@@ -532,7 +532,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "legacy_greek": lambda s, d: table(s, d, "file_preview").select("preview_id", C.drop_script(F.col("text"), "Greek").alias("cleaned")),
         "export_manifest": lambda s, d: X.manifest(table(s, d, "file_preview").groupBy("relative_path").agg(F.min("text").alias("text")), CleaningConfig(lowercase=True)),
         "legacy_report": lambda s, d: S.report(docs(s, d)), "name_filter": lambda s, d: S.names_like(table(s, d, "file_preview"), " Letter ").select("preview_id", "relative_path"),
-        "preview_bytes": lambda s, d: S.preview_bytes(docs(s, d).filter("text is not null").withColumn("content", F.encode("text", "UTF-8")), "content", max_bytes=1 << 20, max_chars=900), "text_fallback": text_fallback, "encodings": encodings,
+        "preview_bytes": lambda s, d: S.preview_bytes(docs(s, d).filter("text is not null").withColumn("content", F.encode("text", "UTF-8")), "content", max_bytes=1 << 20, max_chars=900).withColumn("warnings", F.array_join("warnings", " ")), "text_fallback": text_fallback, "encodings": encodings,
         "legacy_tags": lambda s, d: table(s, d, "file_preview").select("preview_id", R.without_tags(F.lower("text")).alias("cleaned")), "search_marks": lambda s, d: docs(s, d).select("doc_id", S.highlighted(F.col("text"), TERM).alias("html")),
         "warning_kinds": lambda s, d: table(s, d, "export_warning").select(X.warning_kind(F.col("message")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
         "html_text": lambda s, d: table(s, d, "file_preview").filter("document_type = 'html'").select("preview_id", R.html_text(F.col("text")).alias("text")),
@@ -572,16 +572,16 @@ def oracle_sql() -> dict[str, str]:
         "pdf_line_kind": f"WITH {_LINES}, {_sql_kinds('(SELECT x FROM ln)')} SELECT kind, count(*) AS n_lines FROM lk GROUP BY kind",
         "pdf_code_blocks": _sql_page_text(True, False), "pdf_formula_lines": _sql_page_text(False, True), "pdf_counters": _sql_counters(),
         "line_flags": f"WITH {_LINES}, {_sql_profiled('(SELECT doc_id, line, x FROM ln)', _key('x'))} SELECT doc_id, line, {', '.join(c for c in P.PROFILE if c.startswith(('looks', 'has')))} FROM pf",
-        "text_signal": f"WITH {_LINES}, {_sql_profiled('(SELECT doc_id, line, x FROM ln)', _key('x'))}, l AS (SELECT *, {_sql_signal(_class('t') + chr(32) + '= ' + chr(39) + 'text_dominant' + chr(39), 'false', 'false', 'false', '0')} AS label FROM pf), r AS (SELECT label, {_sql_reasons('label', '0')} AS reasons FROM l) SELECT label, reasons, count(*) AS n_lines FROM r GROUP BY label, reasons",
+        "text_signal": f"WITH {_LINES}, {_sql_profiled('(SELECT doc_id, line, x FROM ln)', _key('x'))}, l AS (SELECT *, {_sql_signal(_class('t') + chr(32) + '= ' + chr(39) + 'text_dominant' + chr(39), 'false', 'false', 'false', '0')} AS label FROM pf), r AS (SELECT label, array_to_string({_sql_reasons('label', '0')}, ',') AS reasons FROM l) SELECT label, reasons, count(*) AS n_lines FROM r GROUP BY label, reasons",
         "artifact_examples": _sql_examples(), "artifact_promoted_clean": _sql_promoted(), "export_manifest": _sql_manifest(),
         "legacy_report": f"WITH w AS (SELECT text, len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda v: v <> '')) AS n FROM documents) SELECT count(*) AS files, count(*) FILTER (text <> '') AS files_with_text, coalesce(sum(n), 0)::bigint AS words, coalesce(sum(length(text)), 0)::bigint AS characters, round(avg(n) FILTER (text <> ''), 6) AS mean_words FROM w",
-        "name_filter": "SELECT preview_id, relative_path FROM file_preview WHERE contains(lower(relative_path), 'letter')", "preview_bytes": "SELECT doc_id AS doc, text[1 : 900] AS preview, length(text) > 900 AS truncated, least(length(text), 900)::int AS chars, CASE WHEN length(text) > 900 THEN ['the preview is cut'] ELSE [] END AS warnings FROM documents WHERE text IS NOT NULL",
+        "name_filter": "SELECT preview_id, relative_path FROM file_preview WHERE contains(lower(relative_path), 'letter')", "preview_bytes": "SELECT doc_id AS doc, text[1 : 900] AS preview, length(text) > 900 AS truncated, least(length(text), 900)::int AS chars, CASE WHEN length(text) > 900 THEN 'the preview is cut' ELSE '' END AS warnings FROM documents WHERE text IS NOT NULL",
         "text_fallback": "WITH p AS (SELECT source_path, min(text) AS t FROM file_preview WHERE document_type = 'text' GROUP BY source_path), e AS (SELECT source_path, min(text) AS x FROM file_preview GROUP BY source_path) SELECT e.source_path, coalesce(p.t, e.x) AS text, p.t IS NOT NULL AS processed FROM e LEFT JOIN p USING (source_path)",
         "encodings": "SELECT CASE WHEN regexp_full_match(text, '[" + _B1 + "x{00}-" + _B1 + "x{FF}]*') THEN CASE WHEN regexp_full_match(text, '[" + _B1 + "x{00}-" + _B1 + "x{7F}]*') THEN 'utf-8' ELSE 'latin' END ELSE 'other' END AS kind, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
         "clean_noise_lines": _sql_noise(), "artifact_diagnostics": _sql_diagnostics(), "artifact_signals": _sql_signals(),
         "legacy_nfkc": _sql_nfkc(),
         "pdf_page_range": f"WITH {_PAGED}, n AS (SELECT doc_id, max(page) + 1 AS n FROM pg GROUP BY doc_id) SELECT n.doc_id AS doc, coalesce(pg.page + 1, 0)::int AS page, pg.p AS text, CASE WHEN n.n < 2 THEN 'start page is behind the last page' END AS error FROM n LEFT JOIN pg ON pg.doc_id = n.doc_id AND pg.page IN (1, 2)",
-        "pdf_audit": _sql_audit("SELECT doc_id AS doc, n::int AS page_count, c::int AS sample_chars, quality, CASE quality WHEN 'good' THEN 'standard' WHEN 'suspicious' THEN 'ocr_rescue' ELSE 'force_ocr' END AS suggested_profile, list_filter([CASE WHEN n > 3 THEN 'only the first pages were looked at' END], lambda v: v IS NOT NULL) AS warnings FROM graded"),
+        "pdf_audit": _sql_audit("SELECT doc_id AS doc, n::int AS page_count, c::int AS sample_chars, quality, CASE quality WHEN 'good' THEN 'standard' WHEN 'suspicious' THEN 'ocr_rescue' ELSE 'force_ocr' END AS suggested_profile, CASE WHEN n > 3 THEN 'only the first pages were looked at' ELSE '' END AS warnings FROM graded"),
         "pdf_worst_profile": _sql_audit("SELECT CASE max(CASE quality WHEN 'good' THEN 0 WHEN 'suspicious' THEN 1 ELSE 2 END) WHEN 0 THEN 'standard' WHEN 1 THEN 'ocr_rescue' ELSE 'force_ocr' END AS suggested_profile, count(*) AS documents FROM graded"),
         "preview_combined": f"WITH f AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS k FROM documents QUALIFY k <= 25) SELECT string_agg('FILE ' || lpad(k::varchar, 3, '0') || ' / ' || (SELECT count(*) FROM documents) || E'\n' || coalesce(text[1 : 300], '') || CASE WHEN length(text) > 300 THEN E'\\n[...TRUNCATED...]' ELSE '' END, E'\n\n' ORDER BY k) AS combined, count(*) AS files, sum(least(length(text), 300))::bigint AS chars FROM f",
         "search_top": f"SELECT * FROM ({_sql_hits(term)}) ORDER BY doc, ordinal LIMIT 1000",
