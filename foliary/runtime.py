@@ -10,6 +10,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int) -> DataFrame | None:
+    """``df`` marked for broadcast where it has ``most`` rows at most, else None; it should be a stored table, as its rows are counted. Tables
+    cut from their lineage have no size that the planner knows, so that without this it would shuffle the large side in any case."""
+    return F.broadcast(df) if df.count() <= most else None
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back (columnar, so later reads prune columns)."""
     path = scratch(df.sparkSession, name)
