@@ -73,6 +73,16 @@ def test_mojibake(spark):
     assert got[n + 8]["repaired"] is None and got[n + 9]["repaired"] == "" and got[n + 10]["gain"] == 0
 
 
+def test_gains_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, ["fÃ¼r", "Ã¶"] if k % 2 else ["fÃ¼r"]) for k in range(50)] + [(1, ["fÃ¼r", "Ã¶"]), (90, [])], "id long, ws array<string>")
+    fix = spark.createDataFrame([("fÃ¼r", 3.0, "für"), ("Ã¶", 2.5, "ö"), ("other", 9.0, "x")], "w string, gain double, fixed string")
+    ask = lambda: {r["id"]: (r["gain"], dict(r["fixes"])) for r in mojibake.gains(rows, ["id"], fix).collect()}
+    got = ask()
+    assert got[1] == (5.5, {"fÃ¼r": "für", "Ã¶": "ö"}) and got[2] == (3.0, {"fÃ¼r": "für"}) and len(got) == 50
+    monkeypatch.setattr(mojibake, "MOST_WORDS", 1)
+    assert ask() == got
+
+
 @pytest.mark.parametrize("true", ["cp1252", "koi8_r", "cp437"])
 def test_garble_round_trip(true):
     raw = bytes(range(32, 256))
