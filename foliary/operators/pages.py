@@ -181,6 +181,7 @@ def clean_pages(df: DataFrame, ident: str, pages: str, options: PageOptions) ->
 
 def _warnings() -> Column:
     """What was taken out, in words."""
+    # The wording of the warnings.
     c = F.col
     quoted = F.array_join(F.transform("header_patterns", lambda p: F.concat(F.lit('"'), p, F.lit('"'))), ", ")
     once = F.format_string("Removed %d symbol-heavy PDF graphical artefact lines (folded into %d block%s) from page %d.", c("symbol_lines"), c("symbol_blocks"), F.when(c("symbol_blocks") == 1, "").otherwise("s"), F.get("symbol_pages", F.lit(0)))
