@@ -64,7 +64,8 @@ def coded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _page_clean(options: G.PageOptions, *columns: str) -> Callable:
-    return lambda spark, sf: G.clean_pages(coded(spark, sf), "doc_id", "pages", options).select(F.col("doc").alias("doc_id"), *columns)
+    """``columns`` as SQL: the queries are listed before there is a session that could make columns."""
+    return lambda spark, sf: G.clean_pages(coded(spark, sf), "doc_id", "pages", options).select(F.col("doc").alias("doc_id"), *map(F.expr, columns))
 
 
 def inj_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -520,7 +521,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pdf_audit": lambda s, d: G.audit(paged(s, d), "doc_id", "pages").withColumn("warnings", F.array_join("warnings", " ")), "pdf_worst_profile": lambda s, d: G.worst_profile(G.audit(paged(s, d), "doc_id", "pages")),
         "pdf_line_kind": lambda s, d: inj_lines(s, d).select(K.kind(F.col("x")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_lines")),
         "pdf_code_blocks": _page_clean(G.PageOptions(headers=False, labels=False, code=True), "text"), "pdf_formula_lines": _page_clean(G.PageOptions(headers=False, labels=False, formulas=True), "text"),
-        "pdf_counters": _page_clean(G.PageOptions(headers=False, labels=True, code=True, formulas=True), "label_pages", "code_blocks", "code_lines", "code_pages", "formula_lines", "formula_pages", F.array_join("warnings", " ").alias("warnings")),
+        "pdf_counters": _page_clean(G.PageOptions(headers=False, labels=True, code=True, formulas=True), "label_pages", "code_blocks", "code_lines", "code_pages", "formula_lines", "formula_pages", "array_join(warnings, ' ') AS warnings"),
         "page_zone_clean": lambda s, d: paged(s, d).select("doc_id", C.clean_pages(F.col("pages"), F.array_join("pages", "\n\n"), zoned).alias("c")).select("doc_id", "c.text"),
         "search_hits": lambda s, d: S.all_hits(docs(s, d), TERM), "search_top": lambda s, d: S.hits(docs(s, d), TERM), "search_totals": lambda s, d: S.search_totals(docs(s, d), TERM),
         "word_count": lambda s, d: S.count_words(docs(s, d)), "word_totals": lambda s, d: S.count_words(docs(s, d)).agg(F.sum("words").alias("total_words"), F.round(F.avg("words"), 6).alias("mean_words")),
