@@ -113,6 +113,25 @@ def test_counts_of_words(spark):
     assert got[0].sum() == pytest.approx(3_000_000_000 * 6 + 2 * 9, rel=1e-6) and got.shape == (4, 1 << 16)
 
 
+def test_all_clean_words_set_model_and_floor(spark):
+    fitted = mojibake.train(spark.createDataFrame([(t,) for t in CLEAN], "text string"))
+    assert fitted.counts[0].sum() == sum(len(w) + mojibake.ORDER - 1 for t in CLEAN for w in t.split())
+    rng = random.Random(5)
+    ws = sorted({"".join(rng.choices("abcdefghijklmnop", k=rng.randint(4, 9))) for _ in range(5000)})
+    df = spark.createDataFrame([(w, 1) for w in ws], "w string, n long")
+    got = mojibake._fitted(mojibake._counted(df, 16), 16, df)
+    lp = sorted(got.repairer().score(ws) / np.array([len(w) + 1 for w in ws]))
+    assert got.floor == pytest.approx(lp[(len(ws) - 1) // 50], abs=1e-9)
+
+
+def test_all_clean_records_set_the_margin(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(mojibake, "gains", lambda rows, keys, gaining, own=mojibake.gains: seen.append({r["_h"] for r in rows.select("_h").collect()}) or own(rows, keys, gaining))
+    mojibake.train(spark.createDataFrame([(t,) for t in CLEAN], "text string"))
+    every, *held = seen
+    assert sum(map(len, held)) == len(every) and set().union(*held) == every == {r["_h"] for r in spark.createDataFrame([(t,) for t in CLEAN], "t string").select(F.xxhash64("t").alias("_h")).collect()}
+
+
 # -- 3 -----------------------------------------------------------------------------------------------------------
 
 MARKED = [
