@@ -294,17 +294,18 @@ def induce(found: list[tuple]) -> tuple[list[tuple], list[int]]:
     """Wrappers of one host, and which of them reads each stream: each stream, the most frequent first, is aligned with the
     wrappers so far, else it begins one. A wrapper only ever grows, so what it read once it reads to the end."""
     wrappers: list[tuple] = []
-    fixed: list[set[str]] = []
+    fixed: list[int] = []  # sets of fixed tokens as bits
+    bits: dict[str, int] = {}
     first: dict[tuple, int] = {}
     owner: list[int] = []
     for s in found:
         s = fold_repeats(s)
         k = first.get(s)
         if k is None:
-            own = _flat(s) - {TEXT}
+            own = sum(1 << bits.setdefault(x, len(bits)) for x in _flat(s) - {TEXT})
             for k, w in enumerate(wrappers):
                 # streams of one template share most of their fixed tokens
-                if 2 * len(own & fixed[k]) >= len(own | fixed[k]) and 0.5 <= len(w) / max(1, len(s)) <= 2 and (merged := align(w, s)) is not None:
+                if 2 * (own & fixed[k]).bit_count() >= (own | fixed[k]).bit_count() and 0.5 <= len(w) / max(1, len(s)) <= 2 and (merged := align(w, s)) is not None:
                     wrappers[k] = fold_repeats(merged)
                     fixed[k] |= own
                     break
@@ -340,10 +341,6 @@ def host_col(path: Column) -> Column:
     return F.coalesce(F.substring_index(path, "/", 4), F.lit(""))
 
 
-PART = 2000
-"""Distinct streams of a host with one leading token that are aligned in one task; where there are more, each part has wrappers of its own."""
-
-
 def line_streams(df: DataFrame, id_cols: list[str], path: str, text: str) -> DataFrame:
     """Rows ``*id_cols, host, stream, holds``: one for each distinct line of a record that has signs, and the hashes of what its
     signs hold. Only candidates (a sign that markup needs) reach Python."""
@@ -370,20 +367,18 @@ def line_streams(df: DataFrame, id_cols: list[str], path: str, text: str) -> Dat
 def wrappers(found: DataFrame) -> DataFrame:
     """Rows ``host, stream, wrapper, marks, kinds``: the wrapper that reads each stream of a host, the stream's tokens that the
     wrapper makes markup and the kinds of these (both empty where there are none). Streams are counted before they meet, so a
-    group holds a host's distinct streams with one leading token, PART at most or so, however many records they come from."""
+    group holds a host's distinct streams with one leading token, all of them, however many records they come from."""
     held = found.select("host", "stream", F.explode("holds").alias("x"))
     pool = held.groupBy("x.f").agg(F.approx_count_distinct("x.l").alias("pn"), F.approx_count_distinct("x.h").alias("pd"))
     held = held.groupBy("host", "stream", "x.f").agg(F.approx_count_distinct("x.l").alias("n"), F.approx_count_distinct("x.h").alias("d"))
     held = held.join(pool, "f").groupBy("host", "stream").agg(F.collect_list(F.struct("f", "n", "d", "pn", "pd")).alias("evidence"))
     counted = found.groupBy("host", "stream").agg(F.count(F.lit(1)).alias("n")).join(held, ["host", "stream"], "left")
     counted = counted.withColumn("lead", F.regexp_extract("stream", r"^[( ]*(?:#T )?[( ]*(\S+)", 1))
-    sizes = counted.groupBy("host", "lead").agg(F.ceil(F.count(F.lit(1)) / PART).alias("_parts"))
-    counted = counted.join(sizes, ["host", "lead"]).withColumn("part", F.pmod(F.xxhash64("stream"), F.col("_parts")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own: dict[tuple, list[tuple]] = {}
-        for host, stream, n, lead, part, ev in zip(*(pdf[c] for c in ("host", "stream", "n", "lead", "part", "evidence")), strict=True):
-            own.setdefault((host, lead, part), []).append((-n, stream, ev if ev is not None else ()))
+        for host, stream, n, lead, ev in zip(*(pdf[c] for c in ("host", "stream", "n", "lead", "evidence")), strict=True):
+            own.setdefault((host, lead), []).append((-n, stream, ev if ev is not None else ()))
         out = []
         for (host, *_), rows in own.items():
             rows.sort(key=lambda r: r[:2])
@@ -403,7 +398,7 @@ def wrappers(found: DataFrame) -> DataFrame:
     # few bytes, much work: a set number of partitions keeps them from being put into one task; each call of Python takes a
     # bucket of groups, of which there are as many more as the session has partitions
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = counted.withColumn("_bucket", F.pmod(F.xxhash64("host", "lead", "part"), F.lit(16 * parts))).repartition(parts, "_bucket")
+    spread = counted.withColumn("_bucket", F.pmod(F.xxhash64("host", "lead"), F.lit(16 * parts))).repartition(parts, "_bucket")
     return spread.groupBy("_bucket").applyInPandas(run, "host string, stream string, wrapper string, marks string, kinds string")
 
 

@@ -202,6 +202,16 @@ def test_wrappers_read_their_streams(found):
     assert all(markup.reads(ws[k], s) for s, k in zip(found, owner, strict=True))
 
 
+def test_all_streams_of_a_host_meet(spark):
+    tags = "<a> <b> <em> <i> <code> <kbd> <sub> <sup> <span> <u> <s> <q>".split()
+    found = [markup.show(("<p>", *(t for k, t in enumerate(tags) if n >> k & 1), markup.TEXT)) for n in range(2500)]
+    df = spark.createDataFrame([("h", s, []) for s in found], "host string, stream string, holds array<struct<f: string, h: bigint, l: bigint>>")
+    got = {r["stream"]: r["wrapper"] for r in markup.wrappers(df).collect()}
+    order = sorted(found)
+    ws, owner = markup.induce([markup.parse(s) for s in order])
+    assert got == {s: markup.show(ws[k]) for s, k in zip(order, owner, strict=True)}
+
+
 # -- 4 -----------------------------------------------------------------------------------------------------------
 
 KINDS = [
