@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 
 from foliary.llm.ngrams import NGram, count_slots, gram_slots
 from foliary.llm.words import coded, words
-from foliary.runtime import cut
+from foliary.runtime import cut, small
 
-BITS, ORDER = 18, 2
-LABELLED = 20_000
-"""Graded documents that models and scale are fitted on, at most (those with the smallest hash); all documents are scored."""
+BITS, MOST_BITS, ORDER = 18, 21, 2
+"""A model has ORDER rows of 2**BITS cells, or of one cell for four words of graded text up to 2**MOST_BITS: 64 MB at most for the two models."""
+MOST_GRADED = 1_000_000
+"""Grades are broadcast up to so many; beyond, they are joined by a shuffle. All count."""
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 _STOP = re.compile(r"[.!?…。！？]+(?=\s|$|[\"”’»])")
 
@@ -63,7 +65,7 @@ class Without:
     def features(self, text: str, kind: str) -> np.ndarray:
         """``kind``: the model that has read the text, or neither."""
         own = self.models.get(kind)
-        at = gram_slots(_encode([text]), BITS, ORDER) if own is not None else []
+        at = gram_slots(_encode([text]), own.bits, ORDER) if own is not None else []
         for n, slots in enumerate(at):
             np.subtract.at(own.counts[n], slots, 1.0)
         if at:
@@ -80,23 +82,34 @@ def kind_of(band: float) -> str:
     return "easy" if band < 2.5 else "hard" if band > 3.5 else ""
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pooled(blocks: Iterable[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
+    """(end, value, weight) in the order of their ends, pooled with adjacent ones until the values rise."""
+    out: list[tuple[float, float, float]] = []
+    for end, value, weight in blocks:
+        while out and out[-1][1] >= value:
+            _, v, w = out.pop()
+            value, weight = (v * w + value * weight) / (w + weight), w + weight
+        out.append((end, value, weight))
+    return out
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Least-squares non-decreasing fit (pool adjacent violators): block ends and block values."""
     order = np.argsort(x, kind="stable")
-    vals: list[float] = []
-    weights: list[int] = []
-    ends: list[float] = []
-    for xi, yi in zip(x[order], y[order], strict=True):
-        vals.append(float(yi))
-        weights.append(1)
-        ends.append(float(xi))
-        while len(vals) > 1 and vals[-2] >= vals[-1]:
-            w = weights[-2] + weights[-1]
-            vals[-2] = (vals[-2] * weights[-2] + vals[-1] * weights[-1]) / w
-            weights[-2] = w
-            ends[-2] = ends[-1]
-            vals.pop(), weights.pop(), ends.pop()
-    return np.array(ends), np.array(vals)
+    w = np.ones(len(x)) if weights is None else weights
+    got = pooled(zip(x[order].tolist(), y[order].tolist(), w[order].tolist(), strict=True))
+    return np.array([e for e, _, _ in got]), np.array([v for _, v, _ in got])
+
+
+def _moments(rows: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, means and summed products of the deviations from them."""
+    mean = rows.mean(axis=0)
+    return len(rows), mean, (rows - mean).T @ (rows - mean)
+
+
+def _together(a: tuple, b: tuple) -> tuple[int, np.ndarray, np.ndarray]:
+    n, d = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
 
 
 @dataclass
@@ -108,8 +121,8 @@ class Scale:
     weights: np.ndarray
     ends: np.ndarray
     values: np.ndarray
-    read: dict = field(default_factory=dict)
-    """Graded document -> the model that has read it: LABELLED at most."""
+    graded: DataFrame | None = None
+    """Rows ``_id, _band``: the graded documents, which a model has read."""
 
     def models(self) -> tuple[NGram, NGram]:
         return _model(self.easy), _model(self.hard)
@@ -119,21 +132,26 @@ class Scale:
         return np.where(np.isnan(s), np.nan, self.values[np.minimum(np.searchsorted(self.ends, s), len(self.values) - 1)])
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        z = (features - self.center) / self.spread
-        return z @ self.weights[:-1] + self.weights[-1]
+        return _score(features, self.center, self.spread, self.weights)
+
+
+def _score(features: np.ndarray, center: np.ndarray, spread: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return (features - center) / spread @ weights[:-1] + weights[-1]
 
 
 def _model(counts: np.ndarray) -> NGram:
-    return NGram(counts, max(0.0, float(counts[0].sum())), BITS, ORDER, strength=2.0, symbols=20_000.0)
+    return NGram(counts, max(0.0, float(counts[0].sum())), counts.shape[1].bit_length() - 1, ORDER, strength=2.0, symbols=20_000.0)
 
 
 def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", band: str = "band") -> Scale | None:
-    """Models and scale from the graded documents, each scored by models that have not read it."""
-    graded = labels.filter(F.col(band).between(1, 5)).groupBy(F.col(doc_id).alias("_id")).agg(F.avg(band).alias("_band"))
-    graded = graded.orderBy(F.xxhash64("_id"), "_id").limit(LABELLED)
+    """Models and scale from all graded documents, each scored by models that have not read it."""
+    graded = cut(labels.filter(F.col(band).between(1, 5)).groupBy(F.col(doc_id).alias("_id")).agg(F.avg(band).alias("_band")))
     docs = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).filter("_t is not null and _t <> ''")
-    rows = cut(docs.join(F.broadcast(graded), "_id"))
-    counts = {k: count_slots(rows.filter(cond), F.col("_t"), BITS, ORDER, _encode) for k, cond in (("easy", "_band < 2.5"), ("hard", "_band > 3.5"))}
+    few = small(graded, MOST_GRADED)
+    rows = cut(docs.join(graded if few is None else few, "_id").select("_t", "_band"))
+    size = rows.agg(F.sum(F.size(F.split("_t", r"\s+")))).first()[0] or 1
+    bits = min(MOST_BITS, max(BITS, math.ceil(math.log2(size / 4))))
+    counts = {k: count_slots(rows.filter(cond), F.col("_t"), bits, ORDER, _encode) for k, cond in (("easy", "_band < 2.5"), ("hard", "_band > 3.5"))}
     if not all(c[0].sum() for c in counts.values()):
         return None
     shared = documents.sparkSession.sparkContext.broadcast(counts)
@@ -141,18 +159,43 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     def features(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = Without(shared.value["easy"], shared.value["hard"])
         for pdf in it:
-            yield pd.DataFrame({"_id": pdf["_id"], "x": [models.features(t, kind_of(b)) for t, b in zip(pdf["_t"], pdf["_band"], strict=True)], "_band": pdf["_band"]})
+            x = [models.features(t, kind_of(b)) for t, b in zip(pdf["_t"], pdf["_band"], strict=True)]
+            ok = [k for k, v in enumerate(x) if not np.isnan(v).any()]
+            yield pd.DataFrame({"x": [x[k] for k in ok], "y": pdf["_band"].to_numpy()[ok]})
+
+    def moments(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [_moments(np.column_stack([np.array(pdf["x"].tolist()), pdf["y"]])) for pdf in it if len(pdf)]
+        if parts:
+            n, mean, products = reduce(_together, parts)
+            yield pd.DataFrame({"n": [n], "mean": [mean], "products": [products.ravel()]})
+
+    seen = cut(rows.mapInPandas(features, "x array<double>, y double"))
+    shared.destroy()
+    parts = seen.mapInPandas(moments, "n long, mean array<double>, products array<double>").collect()  # one row a partition
+    n, mean, products = reduce(_together, [(r["n"], np.array(r["mean"]), np.array(r["products"]).reshape(len(r["mean"]), -1)) for r in parts])
+    center, spread = mean[:-1], np.sqrt(np.diag(products)[:-1] / n) + 1e-9
+    w = np.linalg.solve(products[:-1, :-1] / np.outer(spread, spread) + np.eye(len(center)), products[:-1, -1] / spread)
+    line = (center, spread, np.append(w, mean[-1]))
+    return Scale(counts["easy"], counts["hard"], *line, *_bands(seen, line), graded)
+
+
+def _bands(seen: DataFrame, line: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic fit of ``y`` on the score of ``x`` over all rows, equal scores first put together: pooled by range of scores in the
+    cluster, so that blocks come to the driver, and pooled again there."""
+
+    def scores(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"s": _score(np.array(pdf["x"].tolist()), *line) if len(pdf) else [], "y": pdf["y"]})
+
+    def blocks(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got: list[tuple[float, float, float]] = []
+        for pdf in it:
+            got = pooled([*got, *zip(pdf["s"].tolist(), pdf["y"].tolist(), pdf["n"].tolist(), strict=True)])
+        yield pd.DataFrame(got, columns=["s", "y", "n"], dtype=float)
 
-    got = rows.mapInPandas(features, f"_id {documents.schema[doc_id].dataType.simpleString()}, x array<double>, _band double").toPandas()  # LABELLED rows at most
-    x, y = np.array(got["x"].tolist()), got["_band"].to_numpy()
-    ok = ~np.isnan(x).any(axis=1)
-    x, y = x[ok], y[ok]
-    center, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.column_stack([(x - center) / spread, np.ones(len(x))])
-    w = np.linalg.solve(z.T @ z + 1.0 * np.diag([1.0] * (z.shape[1] - 1) + [0.0]), z.T @ y)
-    ends, values = isotonic(z @ w, y)
-    read = {i: k for i, b in zip(got["_id"].tolist(), got["_band"], strict=True) if (k := kind_of(b))}
-    return Scale(counts["easy"], counts["hard"], center, spread, w, ends, values, read)
+    each = seen.mapInPandas(scores, "s double, y double").groupBy("s").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("n"))
+    got = cut(each).repartitionByRange("s").sortWithinPartitions("s").mapInPandas(blocks, "s double, y double, n double").collect()
+    return isotonic(*(np.array([r[c] for r in got]) for c in ("s", "y", "n")))
 
 
 def levels(documents: DataFrame, scale: Scale | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -160,7 +203,9 @@ def levels(documents: DataFrame, scale: Scale | None, doc_id: str = "doc_id", te
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"))
     if scale is None:
         return rows.select("doc_id", F.lit(None).cast("double").alias("level"), F.lit(None).cast("double").alias("score"))
-    shared = documents.sparkSession.sparkContext.broadcast(scale)
+    shared = documents.sparkSession.sparkContext.broadcast(replace(scale, graded=None))
+    few = small(scale.graded, MOST_GRADED)
+    rows = rows.join((scale.graded if few is None else few).withColumnRenamed("_id", "doc_id"), "doc_id", "left")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = shared.value
@@ -169,9 +214,9 @@ def levels(documents: DataFrame, scale: Scale | None, doc_id: str = "doc_id", te
         for pdf in it:
             texts = [t if t is not None else "" for t in pdf["_t"]]
             x = surprisals(texts, easy, hard)
-            for k, i in enumerate(pdf["doc_id"].tolist()):
-                if i in s.read and texts[k]:
-                    x[k] = without.features(texts[k], s.read[i])
+            for k, kind in enumerate(map(kind_of, pdf["_band"])):
+                if kind and texts[k]:
+                    x[k] = without.features(texts[k], kind)
             lv, sc = s.level(x), s.score(x)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "level": pd.Series(lv, index=pdf.index), "score": pd.Series(sc, index=pdf.index)})
 

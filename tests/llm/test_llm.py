@@ -450,6 +450,27 @@ def test_levels(spark):
     assert none.filter("level is not null").count() == 0
 
 
+def test_all_graded_documents_count(spark):
+    docs = spark.range(24_000).selectExpr("id AS doc_id", "concat(if(id % 2 = 0, 'the dog ran to ', 'institutional methodology presupposes it '), id, '.') AS text")
+    scale = levels.fit(docs, docs.selectExpr("doc_id", "if(doc_id % 2 = 0, 1, 5) AS band"))
+    assert scale.easy[0].sum() == scale.hard[0].sum() == 12_000 * (5 + levels.ORDER - 1)
+
+
+def test_scale_is_that_of_all_at_once(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(list("abcdefgh"), 20 + k % 7)) + ("." if k % 3 else " institutional.") for k in range(300)]
+    bands = [1 + k % 5 if k % 3 else 5 for k in range(300)]
+    scale = levels.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), spark.createDataFrame(list(enumerate(bands)), "doc_id long, band int"))
+    without = levels.Without(scale.easy, scale.hard)
+    x, y = np.array([without.features(t, levels.kind_of(b)) for t, b in zip(texts, bands, strict=True)]), np.array(bands, dtype=float)
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9)
+    z = np.column_stack([z, np.ones(len(z))])
+    w = np.linalg.solve(z.T @ z + np.diag([1.0] * (z.shape[1] - 1) + [0.0]), z.T @ y)
+    assert np.allclose(scale.weights, w)
+    ends, values = levels.isotonic(scale.score(x), y)
+    assert np.allclose(scale.ends, ends) and np.allclose(scale.values, values)
+
+
 def test_own_words_are_taken_out():
     rng = np.random.default_rng(1)
     texts = [" ".join(rng.choice(list("abcdefgh"), 30)) for _ in range(6)]
