@@ -1,5 +1,7 @@
+import os
 import random
 import string
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -132,6 +134,36 @@ def test_all_clean_records_set_the_margin(spark, monkeypatch):
     assert sum(map(len, held)) == len(every) and set().union(*held) == every == {r["_h"] for r in spark.createDataFrame([(t,) for t in CLEAN], "t string").select(F.xxhash64("t").alias("_h")).collect()}
 
 
+def test_counts_of_parts(spark):
+    words = spark.createDataFrame([(p, w, n) for w, n in (("für", 3), ("mañana" + mojibake.END, 2), ("ñu", 1)) for p in (0, 2)] + [(2, "ñu", 4)], "_part long, w string, n long")
+    got = mojibake._counted_parts(words, 16, 3)
+    assert got.shape == (3, 4, 1 << 16) and not got[1].any()
+    for p in (0, 2):
+        assert (got[p] == mojibake._counted(words.filter(F.col("_part") == p), 16)).all()
+
+
+def test_gains_count_within_their_part(spark, monkeypatch):
+    rows = spark.createDataFrame([(p, k, ["fÃ¼r", "Ã¶"]) for p in range(2) for k in range(3)], "_part long, id long, ws array<string>")
+    fix = spark.createDataFrame([(0, "fÃ¼r", 3.0, "für"), (1, "fÃ¼r", 4.0, "für"), (1, "Ã¶", 2.5, "ö")], "_part long, w string, gain double, fixed string")
+    ask = lambda: {(r["_part"], r["id"]): r["gain"] for r in mojibake.gains(rows, ["_part", "id"], fix).collect()}
+    assert ask() == {(p, k): 6.5 if p else 3.0 for p in range(2) for k in range(3)}
+    monkeypatch.setattr(mojibake, "MOST_WORDS", 1)
+    assert ask() == {(p, k): 6.5 if p else 3.0 for p in range(2) for k in range(3)}
+
+
+def test_models_are_not_kept_in_the_driver(spark, monkeypatch):
+    words = spark.createDataFrame([("für", 3), ("mañana" + mojibake.END, 2)], "w string, n long")
+    tracemalloc.start()
+    assert mojibake._counted(words, 20).nbytes == 16 << 20
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20  # a table would be 16 MB
+    sc, seen = spark.sparkContext, []
+    monkeypatch.setattr(sc, "broadcast", lambda value, own=sc.broadcast: seen.append(own(value)) or seen[-1])
+    mojibake.train(spark.createDataFrame([(t,) for t in CLEAN], "text string"))
+    assert len(seen) > mojibake.FOLDS and not any(os.path.exists(b._path) for b in seen)
+
+
 # -- 3 -----------------------------------------------------------------------------------------------------------
 
 MARKED = [
